@@ -33,15 +33,23 @@ def _rank(doc_id: str, row: str) -> Column:
 class DigestIndex:
     """Sorted runs (digest, keeper, copies) in a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    def __init__(self, spark: SparkSession, rows: int, path: str | None = None):
+        """rows: about how many rows all ingests bring; it sizes the filters."""
         self.spark = spark
+        self.rows = rows
         self.path = path or f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}"
         self.runs: list[str] = []
 
     def _flush(self, entries: DataFrame, level: int) -> str:
-        """Writes entries as a run: sorted by digest within each hash partition of the digest, with Bloom filters."""
+        """Writes entries as a run: sorted by digest within each hash partition of the digest, with Bloom filters made
+        for as many digests as a file gets on average (unsized, each file's filter would take a megabyte)."""
         run = f"{self.path}/level{level}-{uuid.uuid4().hex}"
-        entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(run)
+        files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        filters = {
+            "parquet.bloom.filter.enabled#digest": "true",
+            "parquet.bloom.filter.expected.ndv#digest": str(max(64, self.rows // (files * FAN_IN))),
+        }
+        entries.sortWithinPartitions("digest").write.options(**filters).parquet(run)
         return run
 
     def ingest(self, rows: DataFrame) -> None:
@@ -112,7 +120,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         ),
         "digests",
     )
-    index = DigestIndex(spark)
+    index = DigestIndex(spark, rows.count())
     for part in range(FAN_IN):  # row_no's upper bits are the scan's partition: each ingest gets every fourth of them
         index.ingest(rows.where(F.shiftright("row_no", 33) % FAN_IN == part))
     entries = index.entries()
