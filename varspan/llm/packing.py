@@ -3,8 +3,8 @@ pieces of equal length form a bucket. Each piece is a sequence of its own, so no
 none needs padding; a trainer draws batches from one bucket at a time.
 
 One narrow pass: tokenise, cut, number. Nothing is shuffled, and no task holds more than a few MB of text.
-Whole words are tokenised once per task: the vocabulary's pre-tokeniser never joins across white space, so the ids of
-a text are those of its white-space-separated words in turn.
+The ids of a text are those of its white-space-separated words in turn, and the ids of a plain word those of its
+runs of letters, digits and signs, which the tokeniser treats apart; so each distinct run is tokenised once a task.
 """
 
 from __future__ import annotations
@@ -17,31 +17,32 @@ from varspan.llm.common import sliced
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, sequence_id long, offset long"
 )
-#: Words whose ids a task remembers before it starts anew.
-WORDS_KEPT = 400_000
-#: A character that the vocabulary keeps as a token of its own; it separates words that are tokenised together.
-MARK = "\x01"
+#: Runs whose ids a task remembers before it starts anew.
+RUNS_KEPT = 600_000
+#: The pre-tokeniser's runs in lower-case words of ASCII and Latin-1 letters, and the ends of words.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+|\n"
+#: Words that hold nothing else; other words, and those with a special token's '<|', go to the tokeniser whole.
+PLAIN = r"^[\x21-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+$"
+#: Stands for the end of a word among ids.
+WORD_END = 0xFFFFFFFF
 
 
 class WordIds:
-    """Token ids of words: `first` and `size` say where each word's ids lie in `ids`.
-
-    Unseen words go to the tokeniser by the hundreds in one string, a mark between them, which costs far less than
-    a call for each; words that hold the mark go alone.
-    """
+    """Token ids of words, as bytes of little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.reset()
+        import re
 
-    def reset(self) -> None:
         import numpy as np
+        from tokenizers import Tokenizer
 
-        self.number: dict[str, int] = {}
-        self.ids, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: whether an id ends a run: the vocabulary writes that into the token
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.runs_of = re.compile(RUNS).findall
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]):
         import numpy as np
@@ -49,29 +50,40 @@ class WordIds:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4") for x in got]
 
-    def learn(self, words: list[str]) -> None:
+    def _learn(self, runs: list[str]) -> None:
+        """Tokenises runs by the hundreds in one text, cut apart again at the ids that end a run."""
         import numpy as np
 
-        if len(self.number) > WORDS_KEPT:
-            self.reset()
-        unseen = [w for w in words if w not in self.number]
-        plain, marked = [w for w in unseen if MARK not in w], [w for w in unseen if MARK in w]
-        sep = f" {MARK} "
-        joined = self._encode([sep.join(plain[i : i + 500]) + sep for i in range(0, len(plain), 500)])
-        stream = np.concatenate(joined) if joined else np.zeros(0, "<u4")
-        ends = np.flatnonzero(stream == self.mark)
-        sizes = np.diff(ends, prepend=-1) - 1
-        alone = self._encode(marked)
-        for w in (*plain, *marked):
-            self.number[w] = len(self.number)
-        self.ids = np.concatenate([self.ids, stream[stream != self.mark], *alone])
-        self.size = np.concatenate([self.size, sizes, np.array([len(x) for x in alone], np.int64)])
-        self.first = np.cumsum(self.size) - self.size
-
-    def numbers(self, words: list[str]):
+        for at in range(0, len(runs), 500):
+            some = runs[at : at + 500]
+            (ids,) = self._encode([" ".join(some)])
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                self.known.update(zip(some, (data[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))))
+            else:
+                self.known.update(zip(some, (x.tobytes() for x in self._encode(some))))
+
+    def of(self, words):
+        """(ids, first, size): the ids of all words (an Arrow array of distinct ones), and where each word's lie."""
         import numpy as np
+        import pyarrow.compute as pc
 
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.known) > RUNS_KEPT:
+            self.known.clear()
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        runs = self.runs_of("".join(f"{w}\n" for w in words.filter(plain).to_pylist()).lower())
+        self._learn(sorted(set(runs) - self.known.keys() - {"\n"}))
+        self.known["\n"] = WORD_END.to_bytes(4, "little")
+        stream = np.frombuffer(b"".join(map(self.known.__getitem__, runs)), "<u4")
+        ends = np.flatnonzero(stream == WORD_END)
+        odd = self._encode(words.filter(pc.invert(plain)).to_pylist())
+        sizes = np.concatenate([np.diff(ends, prepend=-1) - 1, np.array([len(x) for x in odd], np.int64)])
+        starts = np.cumsum(sizes) - sizes
+        mask = plain.to_numpy(zero_copy_only=False)
+        row = np.empty(len(mask), np.int64)
+        row[mask], row[~mask] = np.arange(mask.sum()), mask.sum() + np.arange((~mask).sum())
+        return np.concatenate([stream[stream != WORD_END], *odd]), starts[row], sizes[row]
 
 
 def piece_lengths(tokens: int, max_len: int) -> list[int]:
@@ -97,11 +109,8 @@ def _packer(tokenizer_path: str, max_len: int, end_id: int):
                 texts = pc.fill_null(part.column("text").cast(pa.large_string()), "")
                 words = pc.ascii_split_whitespace(texts)
                 coded = words.flatten().dictionary_encode()
-                distinct = coded.dictionary.to_pylist()
-                known.learn(distinct)
-                flat = known.ids
-                codes = known.numbers(distinct)[coded.indices.to_numpy(zero_copy_only=False)] if distinct else np.zeros(0, np.int64)
-                size, first = known.size, known.first
+                flat, first, size = known.of(coded.dictionary)
+                codes = coded.indices.to_numpy(zero_copy_only=False)
                 # tokens of each word in turn, and where each document's words end
                 n = size[codes]
                 ends = np.cumsum(n)
