@@ -15,7 +15,7 @@ def trios(cells: DataFrame, pedigree: DataFrame, coverage: DataFrame | None = No
     """(variant_id, child, gt and depths of child c_, father f_, mother m_) of every complete trio. pedigree: child, father,
     mother; with coverage (id), all three must have some and no parent is 0. The pedigree is small; cells shuffle once a
     role by (variant, sample)."""
-    ped = pedigree.where("father != 0 and mother != 0")
+    ped = pedigree.where((F.col("father").cast("string") != "0") & (F.col("mother").cast("string") != "0"))
     if coverage is not None:
         for role in ("child", "father", "mother"):
             ped = ped.join(coverage.select(F.col("id").alias(role)).distinct(), role, "left_semi")
@@ -58,7 +58,7 @@ def depth_histogram(table: DataFrame, most: int) -> DataFrame:
 def mendelian_error() -> Column:
     """Whether the child's alleles can't be one of each parent's (all called, diploid)."""
     c, f, m = (G.alleles(F.col(f"{p}_gt")) for p in "cfm")
-    a, b = F.element_at(c, 1), F.element_at(c, 2)
+    a, b = F.get(c, F.lit(0)), F.get(c, F.lit(1))
     fine = (F.array_contains(f, a) & F.array_contains(m, b)) | (F.array_contains(f, b) & F.array_contains(m, a))
     return ~fine
 

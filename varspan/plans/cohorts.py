@@ -149,11 +149,11 @@ def _(t):
 
 @register(
     "ag20_bin_coverage", "tr",
-    """select concat('r_', id % 100) as id, (id // 100)::int as bin, round(id / ("end" - start) / 30, 4) as value from tr""",
+    """select concat('r_', id % 100) as id, (id // 100)::int as bin, round(id / ("end" - start) / 7.3, 4) as value from tr""",
 )
 def _(t):
     cov = t.tr.select("chrom", "start", "end", F.concat(F.lit("r_"), F.col("id") % 100, F.lit("_"), F.floor(F.col("id") / 100)).alias("bin_key"), F.col("id").cast("double").alias("cov"))
-    return ST.bin_coverage(cov, 30.0)
+    return ST.bin_coverage(cov, 7.3)
 
 
 @register(
