@@ -269,3 +269,53 @@ def with_coverage(manifest: DataFrame, coverage: DataFrame, key: str) -> DataFra
 def sites_only(df: DataFrame) -> DataFrame:
     """Genotypes give way to one 0/1 for each site."""
     return df.select("chrom", "pos", "id", "ref", "alt", F.lit("0/1").alias("gt")).distinct()
+
+
+def copy_fields(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """target's map column `fields` with the source's fields that it lacks, matched by key (never by row order)."""
+    extra = source.select(*keys, F.col("fields").alias("_source"))
+    own = F.col("fields")
+    added = F.map_filter(F.coalesce("_source", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key(own, k))
+    return target.join(extra, keys, "left").withColumn("fields", F.map_concat(own, added)).drop("_source")
+
+
+def set_genotypes(gt: Column, mode: str) -> Column:
+    """'carrier': cells without an alternative allele become 0/1; 'reference': missing ones become 0; 'all': all are 0/1."""
+    if mode == "all":
+        return F.lit("0/1")
+    if mode == "carrier":
+        return F.when(G.n_alts(gt) == 0, "0/1").otherwise(gt)
+    return F.when(G.is_missing(gt), F.regexp_replace(gt, "\\.", "0")).otherwise(gt)
+
+
+def caller_table(df: DataFrame, caller: str, fields: list[str]) -> DataFrame:
+    """Rows whose id names the caller, with the given INFO fields as number columns (absent: -1)."""
+    return df.where(F.col("id").contains(caller)).select("id", *[F.coalesce(info_field(F.col("info"), k).try_cast("double"), F.lit(-1.0)).alias(k.lower()) for k in fields])
+
+
+def split_remapped(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(duplications, insertions) by remap class: 'tandem...' are duplications, 'partial' with a hit inside the record's
+    length are both, the rest stay insertions. df: class, hit_distance, svlen."""
+    tandem = F.col("class").startswith("tandem")
+    both = (F.col("class") == "partial") & (F.col("hit_distance") <= F.col("svlen"))
+    return df.where(tandem | both), df.where(~tandem)
+
+
+def assign_genotypes(df: DataFrame) -> DataFrame:
+    """new_gt, gq and p_ref's phred from posteriors (p0, p1, p2) of each cell: the likeliest class; a het keeps its phase if it was
+    het; haploid cells get one allele; cells without reads keep their genotype."""
+    best = F.greatest("p0", "p1", "p2")
+    called = F.when(F.col("p0") == best, 0).when(F.col("p1") == best, 1).otherwise(2)
+    old = F.col("gt")
+    phased_het = G.is_het(old) & old.contains("|")
+    diploid = F.when(called == 0, "0/0").when((called == 1) & phased_het, old).when(called == 1, "0/1").otherwise("1/1")
+    haploid = F.when(called == 0, "0").otherwise("1")
+    floor = F.lit(1e-10)
+    logs = F.array(*[F.log10(F.greatest(F.col(p), floor)) for p in ("p0", "p1", "p2")])
+    return df.withColumns(
+        {
+            "new_gt": F.when(F.col("depth") == 0, old).when(G.is_diploid(old), diploid).otherwise(haploid),
+            "new_gq": G.genotype_quality(logs),
+            "new_sq": G.reference_phred(F.col("p0")),
+        }
+    )

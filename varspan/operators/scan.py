@@ -38,3 +38,16 @@ def running_max_before(df: DataFrame, part: list[str], position: str, order: lis
 def running_sum(df: DataFrame, part: list[str], position: str, order: list[str], value: Column, out: str, block: int = BLOCK) -> DataFrame:
     """out: the sum of value over all rows up to this one by position and order, within part."""
     return _two_levels(df, part, position, order, value, out, block, "sum")
+
+
+def previous_value(df: DataFrame, part: list[str], position: str, order: list[str], value: str, out: str, block: int = BLOCK) -> DataFrame:
+    """out: the value of the row before this one by position and order within part, in two levels as above; and
+    out_first: whether there is no such row."""
+    df = df.withColumn("_block", F.floor(F.col(position) / block))
+    within = Window.partitionBy(*part, "_block").orderBy(position, *order)
+    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(position, *order))
+    blocks = df.groupBy(*part, "_block").agg(last.alias("_last"))
+    blocks = blocks.select(*part, "_block", F.lag("_last").over(Window.partitionBy(*part).orderBy("_block")).alias("_before"))
+    tagged = df.withColumns({"_here": F.lag(F.struct(F.col(value).alias("v"))).over(within)}).join(blocks, [*part, "_block"])
+    before = F.coalesce("_here", "_before")
+    return tagged.withColumns({out: before["v"], f"{out}_first": before.isNull()}).drop("_block", "_here", "_before")

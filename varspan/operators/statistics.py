@@ -215,3 +215,55 @@ def mapping_quality(reads: DataFrame, *by: str) -> DataFrame:
 def chunk_summary(chunks: DataFrame) -> DataFrame:
     n = F.col("n")
     return chunks.agg(F.count("*").alias("count"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("std"), F.min(n).alias("min"), F.percentile(n, 0.5).alias("median"), F.max(n).alias("max"))
+
+
+def de_novo_multiallelic(rows: DataFrame, least: int) -> DataFrame:
+    """Alleles of a child's multiallelic records (ref, child_alts, parent_alts: arrays) by two definitions of a structural
+    allele (longest of both alleles, or their difference, `least` or more): how many there are and how many no parent has."""
+    one = rows.select("ref", "parent_alts", F.explode("child_alts").alias("a"))
+    long = F.greatest(F.length("ref"), F.length("a")) >= least
+    differs = F.abs(F.length("ref") - F.length("a")) >= least
+    new = ~F.array_contains("parent_alts", F.col("a"))
+    return one.agg(
+        F.count_if(long).alias("long"), F.count_if(long & new).alias("long_new"), F.count_if(differs).alias("differs"), F.count_if(differs & new).alias("differs_new")
+    )
+
+
+def position_histogram(df: DataFrame, quantum: int, *by: str) -> DataFrame:
+    """How many intervals (start, end) cover each position bin; an interval counts once in every bin it touches."""
+    bins = F.explode(F.sequence(F.floor(F.col("start") / quantum), F.floor((F.col("end") - 1) / quantum)))
+    return df.where("start < end").select(*by, bins.alias("bin")).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+
+
+def grouped_margins(df: DataFrame, sets: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
+    """Counts by each of the given sets of columns, in one pass (GROUPING SETS); columns outside a set are null."""
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(F.count("*").alias("n"))
+
+
+def read_features(reads: DataFrame, records: DataFrame, distance: int) -> DataFrame:
+    """Per record (id, chrom, start, end): reads near it, their mean quality, share on the reverse strand, share clipped, and
+    the median absolute deviation of quality over its mean. reads: read_id, chrom, start, end, mapq, flag, clipped."""
+    from varspan.operators.intervals import overlap_join
+
+    pairs = overlap_join(records.select("id", "chrom", "start", "end"), reads.select("chrom", "start", "end", "mapq", "flag", "clipped"), distance)
+    q = F.col("b_mapq")
+    middle = pairs.groupBy("a_id").agg(F.percentile(q, 0.5).alias("_m"))
+    spread = pairs.join(middle, "a_id").groupBy(F.col("a_id").alias("id")).agg(
+        F.count("*").alias("reads"),
+        F.avg(q).alias("mean_mapq"),
+        (F.count_if(F.col("b_flag").bitwiseAND(16) != 0) / F.count("*")).alias("reverse_share"),
+        (F.count_if(F.col("b_clipped")) / F.count("*")).alias("clipped_share"),
+        F.try_divide(F.percentile(F.abs(q - F.col("_m")), 0.5), F.avg(q)).alias("deviation"),
+    )
+    return spread
+
+
+def contig_layout(contigs: DataFrame) -> DataFrame:
+    """Contigs in natural order with the sum of the lengths before them and its share of the whole, for circular plots.
+    Contigs are few, so one window over all of them will do."""
+    from varspan.operators.rewrite import chromosome_number
+
+    rank = F.coalesce(chromosome_number(F.col("chrom")), F.lit(99))
+    w = Window.orderBy(rank, "chrom")
+    before = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return contigs.select("chrom", "length", before.alias("before"), (before / F.sum("length").over(Window.partitionBy(F.lit(0)))).alias("share"))

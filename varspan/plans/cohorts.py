@@ -66,10 +66,10 @@ def _(t):
 
 @register(
     "ag09_mendelian", "g ped",
-    TRIO + """, a as (select *, not contains(c_gt || f_gt || m_gt, '.') and len(c_gt) = 3 and len(f_gt) = 3 and len(m_gt) = 3 as ok, contains(c_gt || f_gt || m_gt, '1') as some,
+    TRIO + """, a as (select *, not contains(c_gt || f_gt || m_gt, '.') and len(c_gt) = 3 and len(f_gt) = 3 and len(m_gt) = 3 as ok, contains(c_gt || f_gt || m_gt, '1') as carried,
   not ((contains(f_gt, c_gt[1:1]) and contains(m_gt, c_gt[3:3])) or (contains(f_gt, c_gt[3:3]) and contains(m_gt, c_gt[1:1]))) as bad from e)
-select child, count(*) filter (where ok and some and not bad) as good_alt, count(*) filter (where ok and bad) as errors,
-  round(count(*) filter (where ok and bad) / nullif(count(*) filter (where ok and bad) + count(*) filter (where ok and some and not bad), 0), 6) as error_rate from a group by child""",
+select child, count(*) filter (where ok and carried and not bad) as good_alt, count(*) filter (where ok and bad) as errors,
+  round(count(*) filter (where ok and bad) / nullif(count(*) filter (where ok and bad) + count(*) filter (where ok and carried and not bad), 0), 6) as error_rate from a group by child""",
 )
 def _(t):
     return ST.mendelian(_trio(t), "child").withColumn("error_rate", F.round("error_rate", 6))
@@ -102,12 +102,10 @@ r as (select *, sum(new) over (partition by chrom order by pos, id rows unbounde
 select chrom, label, run, min(pos) as first, max(pos + svlen) as last, count(*) as n, count(*) filter (where qual > 7) as errors from r group by 1, 2, 3 having max(pos + svlen) - min(pos) >= 500""",
 )
 def _(t):
-    from varspan.operators.scan import running_sum
-    from pyspark.sql import Window
+    from varspan.operators.scan import previous_value, running_sum
 
-    # the label before each row comes from a window in blocks of positions, with the block's first row looked up in the block before
-    w = Window.partitionBy("chrom").orderBy("pos", "id")
-    tagged = t.v.withColumn("new", (~F.col("caller").eqNullSafe(F.lag("caller").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
+    seen = previous_value(t.v, ["chrom"], "pos", ["id"], "caller", "before")
+    tagged = seen.withColumn("new", (F.col("before_first") | ~F.col("caller").eqNullSafe(F.col("before"))).cast("int"))
     runs = running_sum(tagged, ["chrom"], "pos", ["id"], F.col("new"), "run")
     out = runs.groupBy("chrom", F.col("caller").alias("label"), "run").agg(
         F.min("pos").alias("first"), F.max(F.col("pos") + F.col("svlen")).alias("last"), F.count("*").alias("n"), F.count_if(F.col("qual") > 7).alias("errors")
