@@ -4,7 +4,7 @@ Markup is stripped into lines, one for each block element. Frames that are never
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) leave lines of length zero; where a page
 marks its article, so does what lies outside it. Text lengths are summed over sliding windows of lines. Where the sum
 surges from zero begins a region, where it dives back to zero it ends; the text between a surge and its dive is kept
-if some window between them is dense enough.
+if some window between them is dense enough, or no window of the page is denser.
 """
 
 from __future__ import annotations
@@ -64,15 +64,22 @@ def _frame(name: str, attrs: str, in_article: bool) -> bool:
     return bool(words & (COMMENTS if name == "article" else MARKS | COMMENTS))
 
 
-def lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
+def lines(page: str, reopen: bool = False) -> tuple[list[tuple[str, bool]], bool]:
     """(text, in article) of each line in page order, '' where a frame or an empty block stood, and whether the page
-    marks an article."""
+    marks an article. reopen: an article ends frames that are open, as if they had been left unclosed."""
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is a frame
     frames = articles = 0
     marked = False
 
+    def pop_to(depth: int) -> None:
+        nonlocal frames, articles
+        while len(stack) > depth:
+            name, frame = stack.pop()
+            frames -= frame
+            articles -= name in ("article", "main") and not frame
+
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
@@ -93,24 +100,24 @@ def lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
         if name in VOID or token["attrs"].endswith("/"):
             continue
         if token["close"]:
-            if any(name == n for n, _ in stack):
-                while stack:
-                    n, frame = stack.pop()
-                    frames -= frame
-                    articles -= n in ("article", "main") and not frame
-                    if n == name:
-                        break
+            depth = max((i for i, (n, _) in enumerate(stack) if n == name), default=-1)
+            if depth >= 0:
+                pop_to(depth)
             continue
         if name not in BLOCKS and name not in ("span", "a"):
             continue
+        if name in BLOCKS and stack:  # a block ends an open paragraph
+            depth = len(stack) - 1
+            while depth > 0 and stack[depth][0] in ("span", "a"):
+                depth -= 1
+            if stack[depth][0] == "p":
+                pop_to(depth)
         frame = _frame(name, token["attrs"], articles > 0)
-        if name in ("article", "main") and not frame and not articles:
-            frames, stack = 0, [(n, False) for n, _ in stack]  # an article ends frames that were left open
         if name in ("article", "main") and not frame:
+            if reopen and frames and not articles:
+                frames, stack = 0, [(n, False) for n, _ in stack]
             articles += 1
             marked = marked or not frames
-        if name == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
         stack.append((name, frame))
         frames += frame
     flush()
@@ -119,9 +126,12 @@ def lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
 
 def main_text(page: str | None) -> str:
     """The text between surges and dives; '' for null, empty and textless pages."""
-    rows, marked = lines(page or "")
+    return _between(*lines(page or "")) or _between(*lines(page or "", reopen=True))
+
+
+def _between(rows: list[tuple[str, bool]], marked: bool) -> str:
     sizes = [len(t) if inside or not marked else 0 for t, inside in rows]
-    kept: list[str] = []
+    regions: list[tuple[int, list[int]]] = []
     run: list[int] = []  # lines since the last surge
     window = peak = 0
     for i in range(len(sizes) + WINDOW):
@@ -132,10 +142,10 @@ def main_text(page: str | None) -> str:
             if i < len(sizes):
                 run.append(i)
         elif run:  # the dive: windows are empty again
-            if marked or peak >= DENSE:
-                kept += [rows[j][0] for j in run if sizes[j]]
+            regions.append((peak, run))
             run, peak = [], 0
-    return " ".join(kept)
+    dense = 1 if marked else min(DENSE, max((p for p, _ in regions), default=0))
+    return " ".join(rows[j][0] for p, lines_of in regions if p >= dense for j in lines_of if sizes[j])
 
 
 def _extract(batches):
