@@ -80,29 +80,31 @@ def _kmeans(x, k: int, rounds: int = 12):
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> dict | None:
-    """A model from rows with text and non-null lang; about `sample` rows of each language, chosen by a hash of the
-    text, reach the driver as n-gram counts. None without a usable row."""
+    """A model from rows with text and non-null lang; about `sample` rows of each language, chosen by a hash of
+    identifier and text, reach the driver as n-gram counts. Repeated rows count once, so that they can't swell the
+    sample. None without a usable row."""
     import numpy as np
 
-    labelled = labelled.where("lang is not null").select("lang", "text")
+    labelled = labelled.where("lang is not null").select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return None
     share = F.element_at(
         F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n))]), F.col("lang")
     )
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = sorted(
-        ((r["lang"], tuple(r["slots"]), tuple(r["counts"])) for r in chosen.mapInArrow(_sparse, "lang string, slots array<int>, counts array<int>").toLocalIterator()),
-    )
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)).distinct()
+    found = chosen.select("lang", "text").mapInArrow(_sparse, "lang string, slots array<int>, counts array<int>").toLocalIterator()
+    rows = [(r["lang"], np.array(r["slots"], np.int32), np.array(r["counts"], np.int32)) for r in found]
     if not rows:
         return None
+    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, (_, slots, counts) in enumerate(rows):
-        x[i, list(slots)] = counts
+        x[i, slots] = counts
     idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.log1p(x) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]  # in place: no second matrix
     langs = np.array([r[0] for r in rows])
     names, centres, floors = [], [], []
     for lang in sorted(set(langs.tolist())):
