@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varspan.llm.common import sliced, written
+from varspan.llm.common import fresh, sliced, written
 
 BITS = 64
 MAX_DISTANCE = 2
@@ -134,7 +134,7 @@ def allocate(costs: list[dict[int, float]], budget: int) -> tuple[float, list[in
     return best[budget]
 
 
-def plan_masks(fps: DataFrame, k: int = MAX_DISTANCE, options: tuple[int, ...] = (1, 2, 3, 4)) -> list[int]:
+def plan_masks(fps: DataFrame, k: int = MAX_DISTANCE, options: tuple[int, ...] = (2, 3, 4)) -> list[int]:
     """The masks of the cheapest allocation. fps: distinct fingerprints. Counts cover all of them."""
     import math
 
@@ -163,7 +163,7 @@ def plan_masks(fps: DataFrame, k: int = MAX_DISTANCE, options: tuple[int, ...] =
             for t in range(k + 1):
                 # a probe for each mask, and the pairs equal under it: about as many under each as under none
                 masks = math.comb(len(group), t)
-                cost[t] = masks * (rows + pairs.get(100 * m + i, 0.0) * 2.0**t)
+                cost[t] = masks * (max(rows, 1) + pairs.get(100 * m + i, 0.0) * 2.0**t)
             costs.append(cost)
         total, chosen = allocate(costs, k - m + 1)
         if best is None or total < best[0]:
@@ -190,8 +190,9 @@ def _star(keyed: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, masks: list[int], bucket: int = BUCKET) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all within two bits of each other."""
-    probes = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    keyed = written(fps.select("fp", F.inline(probes)), "simhash-probes")
+    # the masks are one constant array, so the plan stays small however many there are
+    probes = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("mask", "bits"))
+    keyed = written(probes.select("fp", "mask", F.col("fp").bitwiseAND(F.col("bits")).alias("key")), "simhash-probes")
     sizes = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
     members = written(keyed.join(sizes, ["mask", "key"]), "simhash-members")
 
@@ -207,8 +208,8 @@ def links(fps: DataFrame, masks: list[int], bucket: int = BUCKET) -> DataFrame:
         .select(F.inline("pairs"))
     )
     large = members.where(F.col("n") > bucket).select("fp").distinct()
-    neighbours = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(BITS)])
-    exact = _star(large.select("fp", F.explode(neighbours).alias("key")))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)).cast("long") for b in range(BITS)])
+    exact = _star(large.withColumn("flip", F.explode(flips)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key")))
     return small.unionByName(exact).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -260,7 +261,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row's identifier of each component: its smallest (rows without identifier stay). All columns."""
     found = written(near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct(), "near-drops")
-    return docs.join(found.withColumnRenamed("doc_id", "near_drop"), docs["doc_id"] == F.col("near_drop"), "left_anti")
+    drop = fresh("near_drop", docs)
+    return docs.join(found.withColumnRenamed("doc_id", drop), docs["doc_id"] == F.col(drop), "left_anti")
 
 
 def op6_simhash(docs: DataFrame) -> DataFrame:
