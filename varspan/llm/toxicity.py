@@ -189,7 +189,8 @@ def fit_logistic(x, y, ridge: float = 1.0, rounds: int = 25):
     """Weights and intercept (last) by Newton steps with a ridge penalty; scaled inside, so features may be of any size."""
     import numpy as np
 
-    scale = np.maximum(x.std(axis=0), 1e-9)
+    scale = x.std(axis=0)
+    scale[scale < 1e-9] = 1.0  # a constant feature
     z = np.hstack([x / scale, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [1e-3])
@@ -204,12 +205,14 @@ def fit_logistic(x, y, ridge: float = 1.0, rounds: int = 25):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, size: int = SAMPLE) -> DataFrame:
-    """text, toxic: about `size` labelled rows of each class, chosen by a hash; labels is small beside the texts."""
+    """text, toxic: about `size` labelled rows of each class, chosen by a hash; of repeated identifiers
+    one row counts, so that they can't swell the sample. labels is small beside the texts."""
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, size / max(n.get(1, 0), 1))).otherwise(min(1.0, size / max(n.get(0, 0), 1)))
     picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return written(docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic"), "toxic-sample")
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return written(rows.select("text", "toxic"), "toxic-sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[dict[str, float], list[float]]:
