@@ -14,7 +14,7 @@ from varspan.functions import info as I
 from varspan.functions import sequence as S
 from varspan.operators import breakends, cohort, collapse, filters, intervals, islands, proximity, rewrite, scoring, statistics
 from varspan.operators.chains import chain_breakpoints
-from varspan.plans.proxies import materializer
+from varspan.shared import written
 from varspan.sources import sinks, text
 
 
@@ -146,7 +146,7 @@ def test_collapse_is_the_sequential_rule(spark):
     rows = [(f"v{i:02}", "c", rnd.randrange(400), rnd.choice([50, 52, 80]), rnd.randrange(5)) for i in range(50)]
     df = spark.createDataFrame(rows, "id string, chrom string, pos int, svlen int, qual int").withColumn("svtype", F.lit("DEL"))
     pairs = collapse.similar_pairs(df, 20, 0.9)
-    got = {r.id: r.keeper for r in collapse.collapse(df, pairs, materializer(spark)).collect()}
+    got = {r.id: r.keeper for r in collapse.collapse(df, pairs, written).collect()}
     assert got == greedy_collapse(rows, lambda a, b: abs(a[2] - b[2]) <= 20 and min(a[3], b[3]) / max(a[3], b[3]) >= 0.9)
 
 
@@ -156,7 +156,7 @@ def test_single_match_is_the_sequential_rule(spark):
     rnd = random.Random(5)
     rows = [(b, c, rnd.choice([0.8, 0.9, 1.0]), rnd.randrange(3), 0) for b in range(12) for c in range(12) if rnd.random() < 0.4]
     df = spark.createDataFrame(rows, "base_id long, comp_id long, score double, dstart int, dend int")
-    got = {(r.base_id, r.comp_id) for r in proximity.match_single(df, materializer(spark)).collect()}
+    got = {(r.base_id, r.comp_id) for r in proximity.match_single(df, written).collect()}
     expected, used_b, used_c = set(), set(), set()
     for b, c, s, d, e in sorted(rows, key=lambda r: (-r[2], r[3], r[4], r[0], r[1])):
         if b not in used_b and c not in used_c:

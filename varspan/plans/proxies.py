@@ -134,20 +134,3 @@ def register(name: str, uses: str, sql: str | None = None):
 
     return add
 
-
-def materializer(spark: SparkSession):
-    """A function that turns a DataFrame into a table in the shared folder, for iterative operators."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="varspan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-
-    def table(df: DataFrame) -> DataFrame:
-        path = f"{folder}/step-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return table

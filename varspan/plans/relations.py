@@ -13,7 +13,8 @@ from varspan.operators import intervals as IV
 from varspan.operators import islands as IS
 from varspan.operators import proximity as PX
 from varspan.operators.collapse import collapse, similar_pairs
-from varspan.plans.proxies import materializer, register
+from varspan.plans.proxies import register
+from varspan.shared import written
 
 
 def spans(v):
@@ -186,7 +187,7 @@ def _(t):
 
 @register("jn21_truth_single", "v")
 def _(t):
-    return PX.match_single(_truth(t)[2], materializer(t.spark))
+    return PX.match_single(_truth(t)[2], written)
 
 
 @register("jn22_close_breakpoints", "v", CANDIDATES + "select base_id, comp_id, dstart, dend from m where dstart <= 50 and dend <= 80 and dend <= 50")
@@ -438,7 +439,7 @@ def _(t):
 @register("wn18_collapse", "v")
 def _(t):
     v = t.v.where("svtype = 'DEL'")
-    return collapse(v, similar_pairs(v, 100, 0.9), materializer(t.spark))
+    return collapse(v, similar_pairs(v, 100, 0.9), written)
 
 
 @register(
