@@ -1,13 +1,14 @@
-"""What the corpus operators share: tables in the cluster's shared folder, and bounded Arrow batches."""
+"""What the corpus operators share: hashes, column names, bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varspan.shared import shared_dir, written
+
+__all__ = ["SPACE", "WORD", "crc_bucket", "fresh", "read_table", "shared_dir", "sliced", "unit_hash", "written"]
+
 #: ASCII white space of the contracts: space and \x09 to \x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,23 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in local tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="varspan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(base: str, *frames: DataFrame) -> str:
     """A column name none of the frames has (Spark compares names without case)."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -18,7 +18,9 @@ PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, sequence_id long, offset long"
 )
 #: Runs whose ids a task remembers before it starts anew.
-RUNS_KEPT = 600_000
+RUNS_KEPT = 350_000
+#: Bytes of text that a task works on at a time; a longer text is worked on alone.
+SLICE = 3 << 20
 #: The pre-tokeniser's runs in lower-case words of ASCII and Latin-1 letters, and the ends of words.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+|\n"
 #: Words that hold nothing else; other words, and those with a special token's '<|', go to the tokeniser whole.
@@ -105,7 +107,7 @@ def _packer(tokenizer_path: str, max_len: int, end_id: int):
         known = WordIds(tokenizer_path)
         partition, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in sliced(batch, "text", 8 << 20):
+            for part in sliced(batch, "text", SLICE):
                 texts = pc.fill_null(part.column("text").cast(pa.large_string()), "")
                 words = pc.ascii_split_whitespace(texts)
                 coded = words.flatten().dictionary_encode()
@@ -114,11 +116,12 @@ def _packer(tokenizer_path: str, max_len: int, end_id: int):
                 # tokens of each word in turn, and where each document's words end
                 n = size[codes]
                 ends = np.cumsum(n)
-                stream = flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - first[codes], n)]
+                shift = (ends - n - first[codes]).astype(np.int32)
+                stream = flat[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) - np.repeat(shift, n)]
                 last_word = words.offsets.to_numpy()[1:] - words.offsets.to_numpy()[0]
                 doc_end = np.concatenate([[0], ends])[last_word]
                 doc_tokens = np.diff(np.concatenate([[0], doc_end])) + 1
-                ids = np.insert(stream, doc_end, end_id).astype("<u4")
+                ids = np.insert(stream, doc_end, end_id)
                 cuts = [piece_lengths(int(t), max_len) for t in doc_tokens]
                 row = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
                 length = np.array([x for c in cuts for x in c], dtype=np.int64)

@@ -102,8 +102,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     table = written(table, "quality-features")
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, min(1.0, SAMPLE / max(n.get(1, 0), 1))).otherwise(min(1.0, SAMPLE / max(n.get(0, 0), 1)))
+    # about 2 * SAMPLE pairs of numbers, however many labels there are: small enough to broadcast
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = table.join(picked, "doc_id").groupBy("doc_id").agg(F.first("features").alias("features"), F.first("label").alias("label")).collect()
+    rows = table.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("features").alias("features"), F.first("label").alias("label")).collect()
     y = np.array([r["label"] for r in rows], dtype=float)
     if len(set(y.tolist())) == 2:
         weights = [float(a) for a in fit_logistic(np.array([r["features"] for r in rows]), y)]

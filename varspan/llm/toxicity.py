@@ -211,7 +211,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, size: in
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, size / max(n.get(1, 0), 1))).otherwise(min(1.0, size / max(n.get(0, 0), 1)))
     picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # the broadcast holds about 2 * size pairs of numbers, however many labels there are
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     return written(rows.select("text", "toxic"), "toxic-sample")
 
 
