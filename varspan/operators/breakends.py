@@ -38,13 +38,8 @@ def orientation_table(df: DataFrame) -> DataFrame:
     """Counts by orientation (++, +-, -+, --) and place of the mate: same contig after, same contig before, other."""
     sign = [F.when(F.col(f"dir{i}") == 1, "+").otherwise("-") for i in (1, 2)]
     place = F.when(F.col("chrom1") != F.col("chrom2"), "other").when(F.col("pos2") > F.col("pos1"), "after").otherwise("before")
-    return (
-        df.groupBy(F.concat(*sign).alias("orientation"))
-        .pivot("_place", ["after", "before", "other"])
-        .count()
-        if "_place" in df.columns
-        else df.withColumn("_place", place).transform(orientation_table)
-    )
+    placed = df.select(F.concat(*sign).alias("orientation"), place.alias("place"))
+    return placed.groupBy("orientation").pivot("place", ["after", "before", "other"]).count()
 
 
 def chromosome_matrix(df: DataFrame) -> DataFrame:
