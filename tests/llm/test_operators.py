@@ -201,6 +201,10 @@ def test_mixing(spark, docs, empty):
     assert out.groupby("doc_id").copy_no.apply(lambda c: sorted(c) == list(range(len(c)))).all()
     again = mixing.mix(many, {"hot": 1.0, "s0": 3.0}, budget=2.0).toPandas()
     assert sorted(map(tuple, out.values)) == sorted(map(tuple, again.values))
+    mixing.BROADCAST_SOURCES, most = 0, mixing.BROADCAST_SOURCES  # the way for many sources
+    joined = mixing.mix(many, {"hot": 1.0, "s0": 3.0}, budget=2.0).toPandas()
+    mixing.BROADCAST_SOURCES = most
+    assert sorted(map(tuple, out.values)) == sorted(map(tuple, joined.values))
     assert mixing.mix(docs).columns == [*docs.columns, "copy_no"] and mixing.mix(empty).count() == 0
     assert mixing.mix(docs.withColumnRenamed("fp", "copy_no")).columns[-1] == "copy_no_"
 

@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varspan.llm.common import fresh, unit_hash
+from varspan.llm.common import fresh, unit_hash, written
 
 #: Largest mean that one quantile is taken of; a larger rate is the sum of several independent parts.
 PART = 8.0
+#: Sources whose rates are broadcast to the documents' tasks; more are joined by a shuffle, which adaptive execution
+#: splits where one source holds much of the table.
+BROADCAST_SOURCES = 100_000
 #: A Poisson of mean PART or less exceeds this with a probability below 1e-17, under the 52 bits of a hash.
 MOST = 48
 
@@ -56,7 +59,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     rows of one identifier get equal counts; texts and other columns pass unchanged; an empty table stays empty.
     """
     source, rate, key, copies = (fresh(x, docs) for x in ("mix_source", "mix_rate", "mix_key", "mix_copies"))
-    found = rates(docs, weights, budget).select(F.col("source").alias(source), F.col("rate").alias(rate))
+    found = written(rates(docs, weights, budget).select(F.col("source").alias(source), F.col("rate").alias(rate)), "rates")
+    if found.count() <= BROADCAST_SOURCES:
+        found = F.broadcast(found)
     parts = F.greatest(F.ceil(F.col(rate) / PART), F.lit(1)).cast("int")
     drawn = F.aggregate(
         F.sequence(F.lit(1), parts),

@@ -25,7 +25,6 @@ ADDED = ("national_phone", "identity", "account", "name", "address", "birth_date
 ACCEPT = 0.5
 LABELERS = 5
 
-LEFT = re.compile(r"[A-Za-z0-9._%+-]*+")
 TAIL = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -82,7 +81,7 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
+def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, order of kind, end) of the four fixed kinds, sorted."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
     if any(d in text for d in "0123456789"):
@@ -137,7 +136,7 @@ def votes(kind: str, text: str, start: int, end: int) -> list[int]:
     ]
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, str, int, list[int]]]:
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, str, int, list[int]]]:
     out = []
     for kind, pattern in LOOSE.items():
         for m in pattern.finditer(text):
