@@ -150,16 +150,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_duplicates drops, all columns as they were."""
-    found = written(exact_duplicates(docs).select("doc_id", "digest", "kept"), "exact-groups")
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("keeper_id")
+    found = written(exact_duplicates(docs).select("doc_id", "digest", "kept", own), "exact-groups")
     key, id_key = fresh("digest_of_text", docs), fresh("id_of_row", docs)
     kept = found.where("kept").select(F.col("digest").alias(key), F.col("doc_id").alias(id_key))
     keyed = docs.withColumn(key, F.unhex(F.sha2(normal_text(F.col("text")), 256)))
     same = keyed[key].eqNullSafe(kept[key]) & keyed["doc_id"].cast("long").eqNullSafe(kept[id_key])
-    repeated = found.where("not kept").join(
-        found.where("kept").select("digest", F.col("doc_id").alias("kept_id")), "digest"
-    ).where(F.col("doc_id").eqNullSafe(F.col("kept_id")))
     left = keyed.join(kept, same, "left_semi")
-    if not repeated.isEmpty():  # rows repeated with their identifier: one of each stays
+    if not found.where("not kept and keeper_id").isEmpty():  # rows repeated with their identifier: one of each stays
         left = left.dropDuplicates(["doc_id", key])
     return left.select(*docs.columns)
 
