@@ -329,3 +329,24 @@ def test_quality_model(spark, docs, labels, empty):
     got = Q.op2_quality(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id", suffixes=("", "_label"))
     assert ((got.quality >= 0.5) == got.quality_label).mean() > 0.97
     assert quality_model.op2_quality(docs, labels).count() == len(ROWS) and quality_model.op2_quality(empty, labels).count() == 0
+
+
+def test_sampled_classes_keep_the_table_s_shares(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    rows, marks = [], []
+    for i in range(3000):
+        bad = i % 10 == 0
+        words = [f"w{x}" for x in rng.integers(0, 50, 12)]
+        if rng.random() < (0.5 if bad else 0.1):
+            words[3:3] = ["you", "idiot", "|", "|"]
+        rows.append((i, " ".join(words), "s", "en"))
+        marks.append((i, int(not bad), int(bad)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    m = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    for size in (10_000, 200):  # all rows, and samples of one to one
+        model = toxicity.fit(d, m, F.lit(True), size)
+        assert abs(toxicity.score(d, model).agg(F.avg("score")).first()[0] - 0.1) < 0.03
+        monkeypatch.setattr(quality_model, "SAMPLE", size)
+        assert abs(quality_model.op2_quality(d, m).agg(F.avg("evidence")).first()[0] - 0.9) < 0.03

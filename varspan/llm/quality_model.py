@@ -87,8 +87,8 @@ def _strength(sites: DataFrame, mean: Column) -> float:
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """doc_id, host, path, evidence, host_quality, path_quality, quality, keep for every row of docs.
 
-    labels: doc_id, quality (1 good, 0 bad); about SAMPLE of each class fit the document model (fixed weights if a
-    class is missing). host and path are expressions over docs; null sites are a site each. Null and empty texts
+    labels: doc_id, quality (1 good, 0 bad); about SAMPLE of each class fit the document model, each for as many labels
+    as it stands for (fixed weights if a class is missing). host and path are expressions over docs; null sites are a site each. Null and empty texts
     count as bad evidence; repeated rows get equal results; an empty table gives none; other columns are ignored.
     """
     import numpy as np
@@ -101,13 +101,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     ).mapInArrow(_featurize(["doc_id", "host", "path"]), "doc_id long, host string, path string, features array<double>")
     table = written(table, "quality-features")
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    share = F.when(F.col("label") == 1, min(1.0, SAMPLE / max(n.get(1, 0), 1))).otherwise(min(1.0, SAMPLE / max(n.get(0, 0), 1)))
+    shares = {c: min(1.0, SAMPLE / max(n.get(c, 0), 1)) for c in (0, 1)}
+    share = F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])
     # about 2 * SAMPLE pairs of numbers, however many labels there are: small enough to broadcast
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     rows = table.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("features").alias("features"), F.first("label").alias("label")).collect()
     y = np.array([r["label"] for r in rows], dtype=float)
     if len(set(y.tolist())) == 2:
-        weights = [float(a) for a in fit_logistic(np.array([r["features"] for r in rows]), y)]
+        counts = np.where(y == 1, 1 / shares[1], 1 / shares[0])
+        weights = [float(a) for a in fit_logistic(np.array([r["features"] for r in rows]), y, counts=counts)]
     else:
         weights = [0.0, 0.0, -8.0, -8.0, -8.0, -4.0, -8.0, 0.0, -4.0, -2.0, 2.0]
     own = sum((F.get("features", F.lit(i)) * w for i, w in enumerate(weights[:-1])), F.lit(weights[-1]))

@@ -185,19 +185,21 @@ def _featurize(lexicon: dict[str, float], columns: list[str]):
     return run
 
 
-def fit_logistic(x, y, ridge: float = 1.0, rounds: int = 25):
-    """Weights and intercept (last) by Newton steps with a ridge penalty; scaled inside, so features may be of any size."""
+def fit_logistic(x, y, ridge: float = 1.0, rounds: int = 25, counts=None):
+    """Weights and intercept (last) by Newton steps with a ridge penalty; scaled inside, so features may be of any size.
+    counts: how many rows of the table each row stands for (none: one)."""
     import numpy as np
 
-    scale = x.std(axis=0)
+    counts = np.ones(len(x)) if counts is None else counts
+    scale = np.sqrt(np.average((x - np.average(x, axis=0, weights=counts)) ** 2, axis=0, weights=counts))
     scale[scale < 1e-9] = 1.0  # a constant feature
     z = np.hstack([x / scale, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [1e-3])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + penalty
-        step = np.linalg.solve(h, z.T @ (y - p) - penalty @ w)
+        h = (z * (counts * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + penalty
+        step = np.linalg.solve(h, z.T @ (counts * (y - p)) - penalty @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -205,29 +207,30 @@ def fit_logistic(x, y, ridge: float = 1.0, rounds: int = 25):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, size: int = SAMPLE) -> DataFrame:
-    """text, toxic: about `size` labelled rows of each class, chosen by a hash; of repeated identifiers
-    one row counts, so that they can't swell the sample. labels is small beside the texts."""
+    """text, toxic, rows: about `size` labelled rows of each class, chosen by a hash, and how many labelled rows each stands
+    for; of repeated identifiers one row counts, so that they can't swell the sample. labels is small beside the texts."""
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, size / max(n.get(1, 0), 1))).otherwise(min(1.0, size / max(n.get(0, 0), 1)))
     picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     # the broadcast holds about 2 * size pairs of numbers, however many labels there are
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return written(rows.select("text", "toxic"), "toxic-sample")
+    return written(rows.select("text", "toxic", (1 / share).alias("rows")), "toxic-sample")
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[dict[str, float], list[float]]:
-    """Lexicon and logistic weights. Without both classes in the sample: seeds alone and fixed weights."""
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, size: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
+    """Lexicon and logistic weights, at the labels' own class shares whatever the sample's are. Without both classes in
+    the sample: seeds alone and fixed weights."""
     import numpy as np
 
-    sample = labelled_sample(docs, labels, usable)
+    sample = labelled_sample(docs, labels, usable, size)
     lexicon = learn_lexicon(sample)
-    rows = sample.mapInArrow(_featurize(lexicon, ["toxic"]), "toxic int, features array<double>").collect()
+    rows = sample.mapInArrow(_featurize(lexicon, ["toxic", "rows"]), "toxic int, rows double, features array<double>").collect()
     y = np.array([r["toxic"] for r in rows], dtype=float)
     if len(set(y.tolist())) < 2:
         return lexicon, [1.0, 0.2, 1.0, 0.5, 0.2, -2.0]
     x = np.array([r["features"] for r in rows])
-    return lexicon, [float(v) for v in fit_logistic(x, y)]
+    return lexicon, [float(v) for v in fit_logistic(x, y, counts=np.array([r["rows"] for r in rows]))]
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], list[float]]) -> DataFrame:
