@@ -166,6 +166,19 @@ def test_single_match_is_the_sequential_rule(spark):
     assert got == expected
 
 
+def test_single_match_pairs_large_tied_groups(spark):
+    rows = [(b, c, 1.0, 0, 0) for b in range(60) for c in range(100, 155)]
+    df = spark.createDataFrame(rows, "base_id long, comp_id long, score double, dstart int, dend int")
+    assert sorted((r.base_id, r.comp_id) for r in proximity.match_single(df, lambda x: x.localCheckpoint()).collect()) == [(i, 100 + i) for i in range(55)]
+
+
+def test_collapse_loses_no_record_silently(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "id string, pos int, qual int")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a")], "better string, worse string")
+    with pytest.raises(ValueError):
+        collapse.collapse(df, pairs, lambda x: x.localCheckpoint()).collect()
+
+
 def test_trios_and_hardy_weinberg(spark):
     cells = spark.createDataFrame(
         [("v1", "c", "0/1", 5, 5), ("v1", "f", "0/0", 9, 0), ("v1", "m", "0/0", 9, 0), ("v2", "c", "0/1", 5, 5), ("v2", "f", "0/1", 5, 5), ("v2", "m", "./.", 0, 0), ("v3", "c", "1/1", 0, 9), ("v3", "f", "1/1", 0, 9), ("v3", "m", "0/0", 9, 0)],

@@ -24,23 +24,27 @@ def similar_pairs(df: DataFrame, distance: int, size: float, sequence: float | N
     return pairs.select(F.col("a_id").alias("better"), F.col("b_id").alias("worse"))
 
 
-def collapse(df: DataFrame, pairs: DataFrame, materialize, most_rounds: int = 100) -> DataFrame:
+def collapse(df: DataFrame, pairs: DataFrame, materialize) -> DataFrame:
     """id, keeper: the greedy collapse by rank. A record that no undecided better record is similar to is kept, and takes
     its similar, still undecided ones; rounds go on until all are decided. That is the sequential rule (best first, each
-    collapses what it is similar to), found for all neighbourhoods at once; materialize(df) returns df as a table."""
+    collapses what it is similar to), found for all neighbourhoods at once; materialize(df) returns df as a table. Raises
+    where the pairs run in a circle, so that none of the undecided is best."""
     open_pairs, undecided = materialize(pairs), materialize(df.select("id"))
-    decided = None
-    for _ in range(most_rounds):
+    decided, rounds = None, 0
+    while not undecided.isEmpty():
         beaten = open_pairs.select(F.col("worse").alias("id")).distinct()
         kept = materialize(undecided.join(beaten, "id", "left_anti"))
         if kept.isEmpty():
-            break
+            raise ValueError("similar pairs run in a circle")
         # of several keepers that a record is similar to, the best comes first in rank: the least by its own order
         rank = df.select(F.col("id").alias("better"), F.struct(-F.col("qual"), F.col("pos"), F.col("id")).alias("rank"))
         taken = open_pairs.join(kept.withColumnRenamed("id", "better"), "better").join(rank, "better")
         taken = taken.groupBy(F.col("worse").alias("id")).agg(F.min_by("better", "rank").alias("keeper"))
         step = materialize(kept.withColumn("keeper", F.col("id")).unionByName(taken))
         decided = step if decided is None else decided.unionByName(step)
+        rounds += 1
+        if rounds % 20 == 0:  # keeps the plan of the union short
+            decided = materialize(decided)
         gone = step.select("id")
         undecided = materialize(undecided.join(gone, "id", "left_anti"))
         open_pairs = materialize(

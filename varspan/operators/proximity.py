@@ -87,24 +87,43 @@ def match_multi(base: DataFrame, comp: DataFrame, candidates: DataFrame) -> Data
     return parts[0].unionByName(parts[1])
 
 
-def match_single(candidates: DataFrame, materialize, most_rounds: int = 50) -> DataFrame:
-    """One-to-one pairs by greedy choice: a pair that is best for both its ends is taken, its ends leave, and again.
+def _twins(candidates: DataFrame, side: str, other: str) -> DataFrame:
+    """side_id, side_class, side_rank: ids with the same candidates form a class (its least id), ranked by id within it."""
+    links = F.struct(F.col(f"{other}_id"), "score", "dstart", "dend")
+    same = candidates.groupBy(f"{side}_id").agg(F.sort_array(F.collect_list(links)).alias("links"))
+    w = Window.partitionBy(F.sha2(F.to_json(F.struct("links")), 256)).orderBy(f"{side}_id")
+    return same.select(f"{side}_id", F.first(f"{side}_id").over(w).alias(f"{side}_class"), F.row_number().over(w).alias(f"{side}_rank"))
+
+
+def match_single(candidates: DataFrame, materialize) -> DataFrame:
+    """One-to-one pairs by greedy choice: a pair that is best for both its ends is taken, its ends leave, and again, until
+    no pair is left. Raises where a pair without identifiers could never be taken.
 
     That is the sequential greedy by (score, nearness, ids), run in rounds over all pairs at once; ties are broken by
-    identifiers, so the result is unique. materialize(df) returns df as a table (it cuts the plan between rounds).
+    identifiers, so the result is unique. Ends with the same candidates tie as a block: where two blocks have no best
+    candidate but each other, their ends are paired in the order of ids in one round. materialize(df) returns df as a
+    table (it cuts the plan between rounds).
     """
-    left, taken = materialize(candidates), None
-    for _ in range(most_rounds):
-        rank = F.struct(-F.col("score"), "dstart", "dend", "base_id", "comp_id")
-        best = left.withColumn("rank", rank)
-        by_base = best.groupBy("base_id").agg(F.min("rank").alias("base_best"))
-        by_comp = best.groupBy("comp_id").agg(F.min("rank").alias("comp_best"))
-        mutual = materialize(
-            best.join(by_base, "base_id").join(by_comp, "comp_id").where("rank = base_best and rank = comp_best").select(*candidates.columns)
-        )
-        if mutual.isEmpty():
-            break
+    if not candidates.where("base_id is null or comp_id is null").isEmpty():
+        raise ValueError("candidates without identifier")
+    classed = candidates.join(_twins(candidates, "base", "comp"), "base_id").join(_twins(candidates, "comp", "base"), "comp_id")
+    left, taken, rounds = materialize(classed), None, 0
+    while not left.isEmpty():
+        level = F.struct(-F.col("score"), "dstart", "dend")
+        best = left.withColumn("level", level).withColumn("rank", F.struct("level", "base_id", "comp_id"))
+        for side, other in (("base", "comp"), ("comp", "base")):
+            w = Window.partitionBy(f"{side}_id")
+            best = best.withColumns({f"{side}_level": F.min("level").over(w), f"{side}_best": F.min("rank").over(w)})
+            top = F.when(F.col("level") == F.col(f"{side}_level"), F.col(f"{other}_class"))
+            best = best.withColumn(f"{side}_one", F.min(top).over(w) == F.max(top).over(w))
+        best = best.withColumn("block", F.expr("level = base_level and level = comp_level and base_one and comp_one"))
+        for side in ("base", "comp"):  # the place of an end among those left of its block
+            best = best.withColumn(f"{side}_at", F.dense_rank().over(Window.partitionBy("base_class", "comp_class", "block").orderBy(f"{side}_rank")))
+        mutual = materialize(best.where("(block and base_at = comp_at) or (rank = base_best and rank = comp_best)").select(*candidates.columns))
         taken = mutual if taken is None else taken.unionByName(mutual)
+        rounds += 1
+        if rounds % 20 == 0:
+            taken = materialize(taken)
         left = materialize(left.join(mutual.select("base_id"), "base_id", "left_anti").join(mutual.select("comp_id"), "comp_id", "left_anti"))
     return candidates.limit(0) if taken is None else taken
 
