@@ -229,6 +229,12 @@ def test_scoring(spark):
     assert means[0] < 0.1 and 0.4 < means[1] < 0.6 and means[2] > 0.9
 
 
+def test_mixture_keeps_the_ratio_of_deep_cells(spark):
+    cells = spark.createDataFrame([(1000 - k, k) for k in [0] * 6 + [500] * 6 + [1000] * 6], "ad_ref int, ad_alt int")
+    got = scoring.mixture_genotypes(cells, rounds=8)
+    assert all(abs(w - 1 / 3) < 0.02 for w in got["weights"][:3]) and abs(got["means"][1] - 0.5) < 0.01
+
+
 def test_text_sources(spark, tmp_path):
     vcf = tmp_path / "a.vcf"
     vcf.write_text("##contig=<ID=chr1,length=500>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\nchr1\t5\tx\tA\tACG\t.\tPASS\tK=1\tGT:DP\t0/1:7\t./.\n")

@@ -58,39 +58,59 @@ def add_sensitivity(scored: DataFrame, table: DataFrame, bins: int = 1000) -> Da
     return scored.withColumn("bin", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1))).join(F.broadcast(filled), "bin", "left").drop("bin")
 
 
-def mixture_genotypes(cells: DataFrame, rounds: int = 60, most: int = 200) -> dict[str, list[float]]:
+def _mixture_sums(mu: list[float], nu: list[float], pi: list[float]):
+    """What a round of the mixture needs of the counts (d, a, n): for each class the sums of its share of n, and of that
+    times depth, alternative depth, their ratio, the ratio's square and the inverse depth."""
+
+    def run(frames):
+        from math import lgamma
+
+        import numpy as np
+        import pandas as pd
+
+        lg = np.vectorize(lgamma, otypes=[float])
+        for f in frames:
+            if f.empty:
+                continue
+            d, a, n = (f[k].to_numpy(dtype=float) for k in ("d", "a", "n"))
+            choose, share = lg(d + 1) - lg(a + 1) - lg(d - a + 1), a / d
+            logp = np.empty((len(d), 4))
+            for k in range(3):
+                x, y = mu[k] * nu[k], (1 - mu[k]) * nu[k]
+                logp[:, k] = choose + lg(a + x) + lg(d - a + y) - lg(d + x + y) + lgamma(x + y) - lgamma(x) - lgamma(y)
+            logp[:, 3] = -np.log(d + 1)  # outliers: any alternative depth alike
+            logp += np.log(np.maximum(pi, 1e-12))
+            post = np.exp(logp - logp.max(axis=1, keepdims=True))
+            post *= (n / post.sum(axis=1))[:, None]
+            terms = np.stack([np.ones(len(d)), d, a, share, share**2, 1 / d])
+            yield pd.DataFrame([(k, *map(float, terms @ post[:, k])) for k in range(4)], columns=["k", "w", "wd", "wa", "ws", "wss", "wi"])
+
+    return run
+
+
+def mixture_genotypes(cells: DataFrame, rounds: int = 60) -> dict[str, list[float]]:
     """Weights, means and concentrations of three beta-binomial classes (0, 1, 2 copies) and an outlier weight, by
-    expectation-maximisation over the counts of (depth, alternative depth), both capped at `most`, so the table that
-    reaches the driver has a bounded size. cells: ad_ref, ad_alt."""
+    expectation-maximisation over the exact counts of (depth, alternative depth). The counts stay a table; each round
+    brings four rows of sums to the driver. cells: ad_ref, ad_alt."""
     import numpy as np
-    from math import lgamma
-
-    depth = F.least(F.col("ad_ref") + F.col("ad_alt"), F.lit(most)).alias("d")
-    rows = cells.where("ad_ref + ad_alt > 0").groupBy(depth, F.least("ad_alt", F.lit(most)).alias("a")).agg(F.count("*").alias("n")).collect()
-    d, a, n = (np.array([float(r[k]) for r in rows]) for k in ("d", "a", "n"))
-    a = np.minimum(a, d)
-    lg = np.vectorize(lgamma)
-    choose = lg(d + 1) - lg(a + 1) - lg(d - a + 1)
+
+    from varspan.shared import written
+
+    depth = (F.col("ad_ref") + F.col("ad_alt")).alias("d")
+    counts = written(cells.where("ad_ref + ad_alt > 0").groupBy(depth, F.col("ad_alt").alias("a")).agg(F.count("*").alias("n")), "mixture-counts")
+    columns = ("w", "wd", "wa", "ws", "wss", "wi")
     mu, nu, pi = np.array([0.03, 0.5, 0.97]), np.array([30.0, 30.0, 30.0]), np.array([0.3, 0.3, 0.3, 0.1])
     for _ in range(rounds):
-        logp = np.empty((len(d), 4))
-        for k in range(3):
-            x, y = mu[k] * nu[k], (1 - mu[k]) * nu[k]
-            logp[:, k] = choose + lg(a + x) + lg(d - a + y) - lg(d + x + y) + lgamma(x + y) - lgamma(x) - lgamma(y)
-        logp[:, 3] = -np.log(d + 1)  # outliers: any alternative depth alike
-        logp += np.log(np.maximum(pi, 1e-12))
-        post = np.exp(logp - logp.max(axis=1, keepdims=True))
-        post *= (n / post.sum(axis=1))[:, None]
-        pi = post.sum(axis=0) / n.sum()
+        sums = counts.mapInPandas(_mixture_sums(mu.tolist(), nu.tolist(), pi.tolist()), "k int, " + ", ".join(f"{c} double" for c in columns))
+        found = {r["k"]: [r[c] for c in columns] for r in sums.groupBy("k").agg(*[F.sum(c).alias(c) for c in columns]).collect()}
+        pi = np.array([found[k][0] for k in range(4)]) / sum(found[k][0] for k in range(4))
         for k in range(3):
-            w = post[:, k]
-            if w.sum() > 1e-6:
-                share = a / d
-                mu[k] = np.clip((w * d * share).sum() / (w * d).sum(), 0.001, 0.999)
-                var = (w * (share - mu[k]) ** 2).sum() / w.sum()
-                mean_inverse = (w / d).sum() / w.sum()
+            w, wd, wa, ws, wss, wi = found[k]
+            if w > 1e-6:
+                mu[k] = np.clip(wa / wd, 0.001, 0.999)
+                var = (wss - 2 * mu[k] * ws + mu[k] ** 2 * w) / w
                 base = mu[k] * (1 - mu[k])
-                nu[k] = np.clip((base - var) / max(var - base * mean_inverse, 1e-6), 2.0, 1e4)
+                nu[k] = np.clip((base - var) / max(var - base * wi / w, 1e-6), 2.0, 1e4)
     return {"weights": pi.tolist(), "means": mu.tolist(), "concentrations": nu.tolist()}
 
 
