@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state grammar.
 
-Words map to classes: insult, threat, target, negation, report, other. Insults are learned from labelled rows as
-whole words and word beginnings that mark toxic documents (log-odds over a bounded sample), besides a short seed
-list for words no sample has. Five small transducers read the classes of a clause: the insult and threat transducers
-emit matches, target, negation and report ones keep what was read before. Their composition is one table over
-product states; a match is worth its weight, more when it is aimed at someone, less when negated or reported.
+Words map to classes: insult, threat, target, copula, intent, negation, report, other. Insults are learned from labelled
+rows as whole words and word beginnings that mark toxic documents (log-odds over a bounded sample), besides short seed
+lists in four languages for words no sample has. The grammar is composed of small transducers over the classes of a
+clause. Target, copula, intent, negation and report transducers remember what was read; their products, one read
+from left to right and one from right to left, tell what stands before and after each word. The insult and threat
+transducers are composed with both: an insult is worth its weight, more when it is aimed ("you are an ...", "..., you"),
+a threat counts where its verb has a target after it, or a target and an intent before it ("you will be ..."). A match
+that is negated or reported, on either side, is worth less and is summed apart.
 
 A document's clause scores are summed up in five numbers, which a logistic model, fitted on the same sample, turns
 into a probability.
@@ -13,6 +16,7 @@ into a probability.
 from __future__ import annotations
 
 import math
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,54 +25,90 @@ from varspan.llm.common import crc_bucket, sliced, written
 
 #: Labelled rows of each class that the lexicon and the model are fitted on, in expectation.
 SAMPLE = 6000
-#: A learned entry needs this share of the toxic sample, this many rows and these log-odds; at most LEXICON are kept.
-LEAST_SHARE, LEAST_ROWS, LEAST_ODDS, LEXICON = 0.002, 3, 2.0, 20_000
+#: A learned entry needs this share of the toxic sample, this many rows and these log-odds.
+LEAST_SHARE, LEAST_ROWS, LEAST_ODDS = 0.002, 3, 2.0
 STEMS = (4, 5, 6, 7)
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
+OTHER, INSULT, THREAT, TARGET, COPULA, INTENT, NEGATION, REPORT, BREAK = range(9)
+#: Seed words of each class: English, German, French, Spanish.
 SEEDS = {
     INSULT: "idiot idiots moron morons stupid scum loser losers pathetic worthless trash clown disgusting dumb imbecile "
-    "vermin filth garbage scumbag bastard jerk fool fools ugly retard cretin",
-    THREAT: "kill hurt destroy murder stab shoot strangle beat smash",
-    TARGET: "you your youre yourself he she they him her them his their",
-    NEGATION: "not never no isnt arent wasnt dont nobody",
-    REPORT: "said says called calls calling claimed wrote quoted quote term word insult phrase reported",
+    "vermin filth garbage scumbag bastard jerk fool fools ugly retard cretin "
+    "dummkopf idioten trottel arschloch abschaum schwachkopf widerlich erbärmlich "
+    "imbécile crétin ordure connard salaud débile abruti pathétique "
+    "idiota idiotas imbécil estúpido estúpida escoria patético patética asqueroso asquerosa",
+    THREAT: "kill kills killed killing hurt hurts hurting destroy destroyed murder murdered stab stabbed shoot strangle "
+    "strangled beat beaten smash smashed töten umbringen erschießen erstechen schlagen tuer frapper étrangler "
+    "poignarder matar matarte golpear apuñalar",
+    TARGET: "you your youre yourself u ya he she they him her hers them his their theyre hes shes everyone all "
+    "dich dir euch ihn ihnen ihr du sie toi vous lui eux elle ils elles tu te usted ustedes ellos ellas él",
+    COPULA: "are is am was were be being been re such an a bist ist seid sind es êtes est sont eres son",
+    INTENT: "will ll going gonna shall must should want wants would werde werden wirst will muss vais va allons vont voy "
+    "va vamos van",
+    NEGATION: "not never no isnt arent wasnt werent dont doesnt wont cant nobody neither nor without nicht kein keine nie "
+    "pas jamais aucun nunca ningún ninguna",
+    REPORT: "said says saying called calls calling claimed claims wrote writes quoted quote term word insult phrase "
+    "reported yelled shouted tweeted sagte nannte schrieb wort dit appelé écrit mot dijo llamó escribió palabra",
 }
-SEED_CLASS = {w: c for c, ws in SEEDS.items() for w in ws.split()}
+#: A word of several classes (or languages) is of the first one here.
+SEED_CLASS = {w: c for c in sorted(SEEDS, reverse=True) for w in SEEDS[c].split()}
 SEED_WEIGHT = 3.0
 
-#: How long a target, a negation or a report stays in force, in words.
-REACH = {TARGET: 4, NEGATION: 2, REPORT: 3}
+#: How long a class stays in force, in words: before a match, and after it.
+BEFORE = {TARGET: 4, COPULA: 3, INTENT: 4, NEGATION: 3, REPORT: 4}
+AFTER = {TARGET: 3, NEGATION: 2, REPORT: 3}
 
+State = tuple[int, ...]
 
-def memory(kind: int) -> dict[tuple[int, int], int]:
+
+def memory(kind: int, reach: int) -> dict[tuple[int, int], int]:
     """A transducer that counts down the words since its kind was read: (state, class) -> state; a break resets it."""
-    reach = REACH[kind]
     return {
-        (s, c): reach if c == kind else 0 if c == BREAK else max(s - 1, 0)
-        for s in range(reach + 1)
-        for c in range(7)
+        (s, c): reach if c == kind else 0 if c == BREAK else max(s - 1, 0) for s in range(reach + 1) for c in range(BREAK + 1)
     }
 
 
-def compose() -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], tuple[float, int]]]:
-    """The product of the three memories with the insult and threat matchers: next state by (state, class), and
-    (factor, kind) emitted by (state, class): kind 0 asserted, 1 negated or reported, 2 a threat at someone."""
-    target, negation, report = memory(TARGET), memory(NEGATION), memory(REPORT)
-    sizes = REACH[NEGATION] + 1, REACH[REPORT] + 1
-    go, emit = {}, {}
-    for t in range(REACH[TARGET] + 1):
-        for n in range(sizes[0]):
-            for r in range(sizes[1]):
-                state = (t * sizes[0] + n) * sizes[1] + r
-                for c in range(7):
-                    go[state, c] = (target[t, c] * sizes[0] + negation[n, c]) * sizes[1] + report[r, c]
-                aimed, denied, told = t > 0, n > 0, r > 0
-                factor = (1.25 if aimed else 1.0) * (0.3 if denied else 1.0) * (0.5 if told else 1.0)
-                emit[state, INSULT] = (factor, 1 if denied or told else 0)
-                if aimed:
-                    emit[state, THREAT] = (0.5 * factor, 1 if denied or told else 2)
-    return go, emit
+def parallel(reaches: dict[int, int]) -> tuple[dict[tuple[int, int], int], list[State]]:
+    """The product of a memory for each kind: next state by (state, class), and each state's memories in the order of kinds."""
+    tables = [memory(kind, reach) for kind, reach in reaches.items()]
+    states = list(product(*[range(r + 1) for r in reaches.values()]))
+    number = {s: i for i, s in enumerate(states)}
+    go = {(number[s], c): number[tuple(t[x, c] for t, x in zip(tables, s))] for s in states for c in range(BREAK + 1)}
+    return go, states
+
+
+def insult(before: dict[int, bool], after: dict[int, bool]) -> float | None:
+    """The factor of an insult: half as much again where it is said of a target, a quarter more where one is near."""
+    if before[TARGET] and before[COPULA]:
+        return 1.5
+    return 1.25 if before[TARGET] or after[TARGET] else 1.0
+
+
+def threat(before: dict[int, bool], after: dict[int, bool]) -> float | None:
+    """A verb of harm with its target, stronger with an intent; without a target it is no threat."""
+    if after[TARGET]:
+        return 1.0 if before[INTENT] else 0.6
+    return 1.0 if before[TARGET] and before[INTENT] else None
+
+
+ASSERTED, DISCOUNTED, THREATENED = range(3)
+
+
+def compose():
+    """(left, right, emit): the left-to-right and right-to-left products, and (factor, sum) of each match by (left state,
+    right state, class), with negation and report composed in. Matches that emit nothing are left out."""
+    left, left_states = parallel(BEFORE)
+    right, right_states = parallel(AFTER)
+    emit = {}
+    for (i, ls), (j, rs) in product(enumerate(left_states), enumerate(right_states)):
+        before = {k: x > 0 for k, x in zip(BEFORE, ls)}
+        after = {k: x > 0 for k, x in zip(AFTER, rs)}
+        denied, told = before[NEGATION] or after[NEGATION], before[REPORT] or after[REPORT]
+        scale = (0.3 if denied else 1.0) * (0.5 if told else 1.0)
+        for c, match, kind in ((INSULT, insult, ASSERTED), (THREAT, threat, THREATENED)):
+            if (factor := match(before, after)) is not None:
+                emit[i, j, c] = (factor * scale, DISCOUNTED if denied or told else kind)
+    return left, right, emit
 
 
 def _words():
@@ -104,13 +144,8 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     counts = sample.mapInArrow(_learn, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (pos_rows + 1.0)) - F.log((F.col("neg") + 0.5) / (neg_rows + 1.0))
     enough = F.col("pos") >= max(LEAST_ROWS, LEAST_SHARE * pos_rows)
-    rows = (
-        counts.withColumn("odds", odds)
-        .where((enough & (F.col("odds") >= LEAST_ODDS)) | F.col("term").isin(list(SEED_CLASS)))
-        .orderBy(F.desc("pos"), "term")
-        .limit(LEXICON)
-        .collect()
-    )
+    # each entry is in LEAST_SHARE of the toxic sample's texts, so the sample bounds how many there are
+    rows = counts.withColumn("odds", odds).where((enough & (F.col("odds") >= LEAST_ODDS)) | F.col("term").isin(list(SEED_CLASS))).collect()
     return {r["term"]: float(r["odds"]) for r in rows}
 
 
@@ -147,25 +182,42 @@ FEATURES = 5
 def scorer(lexicon: dict[str, float]):
     """text -> (asserted, negated or reported, threats, best clause, matches per 100 words), each damped by log1p."""
     classes, find = Classes(lexicon), _words().findall
-    go, emit = compose()
+    left, right, emit = compose()
     hits = (INSULT, THREAT)
 
+    def clause(read: list[tuple[int, float]], sums: list[float]) -> tuple[float, int]:
+        """Adds a clause's matches to sums; its score and how many matches it has."""
+        after, state = [0] * len(read), 0
+        for i in range(len(read) - 1, -1, -1):
+            after[i] = state
+            state = right[state, read[i][0]]
+        total, n, state = 0.0, 0, 0
+        for (c, weight), r in zip(read, after):
+            if c in hits and (got := emit.get((state, r, c))) is not None:
+                sums[got[1]] += weight * got[0]
+                total += weight * got[0]
+                n += 1
+            state = left[state, c]
+        return total, n
+
     def features(text: str | None) -> list[float]:
         words = find((text or "").lower())
         read = [classes[w] for w in words]
-        if not any(c in hits for c, _ in read):
+        at = [i for i, (c, _) in enumerate(read) if c in hits]
+        if not at:
             return [0.0] * FEATURES
-        sums, best, clause, n, state = [0.0, 0.0, 0.0], 0.0, 0.0, 0, 0
-        for c, weight in read:
-            if c in hits and (got := emit.get((state, c))) is not None:
-                value = weight * got[0]
-                sums[got[1]] += value
-                clause += value
-                n += 1
-            elif c == BREAK:
-                best, clause = max(best, clause), 0.0
-            state = go[state, c]
-        return [math.log1p(x) for x in (*sums, max(best, clause), 100.0 * n / len(words))]
+        sums, best, n, done = [0.0, 0.0, 0.0], 0.0, 0, 0
+        for i in at:
+            if i < done:  # in a clause that has been scored
+                continue
+            start, done = i, i
+            while start > 0 and read[start - 1][0] != BREAK:
+                start -= 1
+            while done < len(read) and read[done][0] != BREAK:
+                done += 1
+            score, matches = clause(read[start:done], sums)
+            best, n = max(best, score), n + matches
+        return [math.log1p(x) for x in (*sums, best, 100.0 * n / len(words))]
 
     return features
 
@@ -228,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, size: int = SAMPLE)
     rows = sample.mapInArrow(_featurize(lexicon, ["toxic", "rows"]), "toxic int, rows double, features array<double>").collect()
     y = np.array([r["toxic"] for r in rows], dtype=float)
     if len(set(y.tolist())) < 2:
-        return lexicon, [1.0, 0.2, 1.0, 0.5, 0.2, -2.0]
+        return lexicon, [1.0, 0.2, 1.0, 0.5, 0.2, -3.0]
     x = np.array([r["features"] for r in rows])
     return lexicon, [float(v) for v in fit_logistic(x, y, counts=np.array([r["rows"] for r in rows]))]
 
