@@ -141,6 +141,34 @@ def test_exact_dedup_edge_cases(docs, empty):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 5, None, 6, 7, 8, 9])
 
 
+def test_exact_dedup_keeps_one_defined_row_of_each_text(spark):
+    rows = [(5, "a  b", "z", 1), (5, "a b", "y", 2), (None, "a\tb", "x", 3), (7, "a b", "w", 4), (8, "only", "v", 5), (None, None, "u", 6), (None, "", "t", 7), (9, "", "s", 8)]
+    schema = "doc_id long, text string, digest_of_text string, salt int"
+    kept = [sorted(map(tuple, exact_dedup.drop_exact_duplicates(spark.createDataFrame(r, schema).repartition(n)).collect()), key=str) for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [5, 8, 9]
+    assert exact_dedup.drop_exact_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_digest_filter_loses_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
+    some = rows.where("id % 10 = 0")
+    for most in (1 << 28, 1 << 15):  # wide enough, and full
+        monkeypatch.setattr(exact_dedup, "MOST_BITS", most)
+        got = {r.id for r in exact_dedup._filtered(rows, "digest", exact_dedup.digest_filter(some.select("digest"))).collect()}
+        assert got >= set(range(0, 3000, 10)) and len(got) < 1000
+    marked = exact_dedup._filtered(rows, "digest", exact_dedup.digest_filter(some.select("digest")), "held").collect()
+    assert len(marked) == 3000 and {r.id for r in marked if r.held} == got
+
+
+def test_filter_does_not_shuffle_texts(spark):
+    texts = spark.range(2000).selectExpr("repeat('x', 500) as body", "unhex(sha2(cast(id as string), 256)) as digest")
+    found = exact_dedup.digest_filter(texts.select("digest").limit(10))
+    plan = exact_dedup._filtered(texts, "digest", found)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+
+
 def test_digest_index_compacts_and_looks_up(spark):
     index = exact_dedup.DigestIndex(spark, 100)
     for run in range(6):

@@ -2,9 +2,9 @@
 
 A batch of rows fills memtables (Spark's partial aggregation: one entry per digest and task), which flush into
 digest-sorted runs, written as Parquet with a Bloom filter on the digest. Compaction merges runs level by level and
-keeps the smallest identifier of each digest. Rows that hit another row's digest are verified byte by byte: the least
-and the greatest text of each digest that occurs twice must be the same bytes. Both are aggregates, so a group of
-copies that holds a third of the table collapses in the map tasks.
+keeps the smallest identifier of each digest. The digests of two rows or more make a filter of bounded size; the texts it
+lets through, and no others, are verified byte by byte: the different texts of a digest, gathered before each shuffle,
+must be one. So texts without a copy never leave their task.
 """
 
 from __future__ import annotations
@@ -13,11 +13,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from varspan.llm.common import SPACE, fresh, shared_dir, written
 
 #: Runs that one ingest flushes, and that one compaction merges.
 FAN_IN = 4
+#: Bits of the filter of repeated digests: 4 kB at least, 32 MB at most.
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 28
+#: Reduce tasks that a digest's rows are first aggregated in.
+SALTS = 16
 
 
 def normal_text(text: Column) -> Column:
@@ -89,42 +94,83 @@ class DigestIndex:
         return found.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.sum("copies").alias("copies"))
 
 
-def _verified_keys(docs: DataFrame, rows: DataFrame, entries: DataFrame) -> DataFrame | None:
-    """Byte verification of all hits. None if every digest stands for one text, else the digests that don't."""
-    hit = entries.where("copies > 1").select("digest")
-    texts = docs.select(normal_text(F.col("text")).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
+def _bit(digest: Column, bits: int) -> Column:
+    """The filter's bit of a digest."""
+    return F.pmod(F.xxhash64(digest), F.lit(bits))
+
+
+def digest_filter(digests: DataFrame) -> tuple[DataFrame, int]:
+    """(slot, bitmap) and the number of bits of a filter over a table of digests: 16 bits a digest, LEAST_BITS at least and
+    MOST_BITS at most, in rows of 4 kB. Beyond that it lets more digests through; what it holds it never loses."""
+    n, bits = digests.count(), LEAST_BITS
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    at = _bit(F.col("digest"), bits)
+    rows = digests.select(F.bitmap_bucket_number(at).alias("slot"), F.bitmap_bit_position(at).alias("bit"))
+    return rows.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bitmap")), bits
+
+
+def _filtered(keyed: DataFrame, key: str, found: tuple[DataFrame, int], mark: str | None = None) -> DataFrame:
+    """The rows whose digest in column key the filter may hold; with mark: all rows, and a column that says so. The filter is
+    broadcast: MOST_BITS bound it at 32 MB. Nothing of keyed is shuffled."""
+    filters, bits = found
+    slot, bit, bitmap = (fresh(x, keyed) for x in ("filter_slot", "filter_bit", "filter_map"))
+    at = _bit(F.col(key), bits)
+    probe = keyed.withColumns({slot: F.bitmap_bucket_number(at), bit: F.bitmap_bit_position(at).cast("int")})
+    filters = F.broadcast(filters.select(F.col("slot").alias(slot), F.col("bitmap").alias(bitmap)))
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, F.col(bit) % 8) == 1, F.lit(False))
+    out = probe.join(filters, slot, "left" if mark else "inner")
+    return (out.withColumn(mark, held) if mark else out.where(held)).drop(slot, bit, bitmap)
+
+
+def _collisions(texts: DataFrame) -> DataFrame | None:
+    """Byte verification. texts: digest, body of all rows that share a digest with another row (and perhaps others). None
+    if every digest stands for one text, else the digests that don't. The set of a digest's different texts (one, but for a
+    collision of SHA-256) is made in the map tasks, then by digest and salt, then by digest, so a group of copies of any
+    size sends a text a task."""
+    salt = fresh("salt", texts)
     wrong = (
-        texts.join(hit, "digest", "left_semi")
+        texts.withColumn(salt, F.spark_partition_id() % SALTS)
+        .groupBy("digest", salt)
+        .agg(F.collect_set("body").alias("bodies"))
         .groupBy("digest")
-        .agg(F.min("body").alias("least"), F.max("body").alias("most"))
-        .where("least != most")
+        .agg(F.array_distinct(F.flatten(F.collect_list("bodies"))).alias("bodies"))
+        .where(F.size("bodies") > 1)
         .select("digest")
     )
     wrong = written(wrong, "digest-collisions")
     return None if wrong.isEmpty() else wrong
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (columns doc_id, text; others are ignored): doc_id, keep_id, group_size, kept, digest.
-
-    Null text counts as empty. Of equal texts the row with the smallest doc_id stays (a null doc_id is largest;
-    of repeated rows with that doc_id, one stays). An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    body = normal_text(F.col("text"))
+def _indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, int]]:
+    """(rows, entries, filter): digest of each row, the compacted index, and the filter of the digests of two rows or more."""
     rows = written(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
-            F.unhex(F.sha2(body, 256)).alias("digest"),
+            F.unhex(F.sha2(normal_text(F.col("text")), 256)).alias("digest"),
             F.monotonically_increasing_id().alias("row_no"),
         ),
         "digests",
     )
-    index = DigestIndex(spark, rows.count())
+    index = DigestIndex(docs.sparkSession, rows.count())
     for part in range(FAN_IN):  # row_no's upper bits are the scan's partition: each ingest gets every fourth of them
         index.ingest(rows.where(F.shiftright("row_no", 33) % FAN_IN == part))
     entries = index.entries()
-    wrong = _verified_keys(docs, rows, entries)
+    filters, bits = digest_filter(entries.where("copies > 1"))
+    return rows, entries, (written(filters, "digest-filter"), bits)
+
+
+def exact_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (columns doc_id, text; others are ignored): doc_id, keep_id, group_size, kept, digest.
+
+    Null text counts as empty. Of equal texts the row with the smallest doc_id stays (a null doc_id is largest;
+    of repeated rows with that doc_id, one stays). An empty table gives an empty result.
+    """
+    rows, entries, found = _indexed(docs)
+    body = normal_text(F.col("text"))
+    texts = docs.select(body.alias("body"), F.unhex(F.sha2(body, 256)).alias("digest"))
+    wrong = _collisions(_filtered(texts, "digest", found))
     if wrong is not None:  # a collision of SHA-256: the digest of these rows is made from text and digest alike
         salted = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -149,17 +195,32 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates drops, all columns as they were."""
-    own = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("keeper_id")
-    found = written(exact_duplicates(docs).select("doc_id", "digest", "kept", own), "exact-groups")
-    key, id_key = fresh("digest_of_text", docs), fresh("id_of_row", docs)
-    kept = found.where("kept").select(F.col("digest").alias(key), F.col("doc_id").alias(id_key))
+    """docs with one row of each text, all columns as they were.
+
+    Texts are equal as in exact_duplicates (null as empty). The row with the smallest doc_id stays (null is largest); of
+    rows with that doc_id the one with the least hash of its columns, so which one stays doesn't depend on the run (map and
+    variant columns apart). A row whose text no other row has passes through without a
+    shuffle; an empty table stays empty; columns may have any names.
+    """
+    found = _indexed(docs)[2]
+    key, mark, body = (fresh(x, docs) for x in ("digest_of_text", "may_repeat", "body_of_text"))
     keyed = docs.withColumn(key, F.unhex(F.sha2(normal_text(F.col("text")), 256)))
-    same = keyed[key].eqNullSafe(kept[key]) & keyed["doc_id"].cast("long").eqNullSafe(kept[id_key])
-    left = keyed.join(kept, same, "left_semi")
-    if not found.where("not kept and keeper_id").isEmpty():  # rows repeated with their identifier: one of each stays
-        left = left.dropDuplicates(["doc_id", key])
-    return left.select(*docs.columns)
+    repeated = written(_filtered(keyed, key, found), "exact-candidates")
+    wrong = _collisions(repeated.select(normal_text(F.col("text")).alias("body"), F.col(key).alias("digest")))
+    keys = [key] if wrong is None else [key, body]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*hashed).alias("hash"))
+    salt = fresh("salt", docs)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = (
+        repeated.withColumns({salt: F.spark_partition_id() % SALTS, body: normal_text(F.col("text"))})
+        .groupBy(*keys, salt)
+        .agg(F.min_by(whole, rank).alias("row"), F.min(rank).alias("rank"))
+        .groupBy(*keys)
+        .agg(F.min_by("row", "rank").alias("row"))
+        .select("row.*")
+    )
+    return _filtered(keyed, key, found, mark).where(~F.col(mark)).select(*docs.columns).unionByName(first)
 
 
 def op10_exact_dedup(docs: DataFrame) -> DataFrame:
