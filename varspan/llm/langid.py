@@ -2,8 +2,11 @@
 
 A text is a vector of hashed character 2- and 3-grams of its letters, weighted by log frequency and inverse document
 frequency and brought to length one. Each language has several centroids, found by spherical k-means over a bounded
-sample of its labelled texts, so that varieties of one language don't blur into one mean. The language of the
-nearest centroid by cosine wins; texts farther from it than nearly all of its training texts are rejected.
+sample of its labelled texts, so that varieties of one language don't blur into one mean. The language of the nearest
+centroid by cosine wins. A text is rejected where it lies far out: how near a language's texts come to its centroids grows
+with their length, so medians and spreads by length are taken of training texts that k-means has not seen, and a
+cosine REJECT spreads under the median of its length is too far. (Prose keeps to the upper side of the median; the spread
+is that side's, so junk among the training texts doesn't widen it.)
 """
 
 from __future__ import annotations
@@ -11,14 +14,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varspan.llm.common import crc_bucket, sliced
+from varspan.llm.common import crc_bucket, sliced, written
 
 DIMENSIONS = 1 << 13
-#: Labelled texts of a language that centroids are fitted on, in expectation.
+#: Labelled texts of a language that its centroids and spreads are fitted on, in expectation; every HELD-th is for the spreads.
 SAMPLE = 1200
+HELD = 4
 CENTROIDS = 3
-#: Rejected: cosine under this share of the cosine that all but 0.5 % of the language's training texts reach.
-SLACK = 0.4
+#: Spreads under the median that are too far; the least spread that is believed, and the texts of a length that it takes.
+REJECT, LEAST_SPREAD, LEAST_TEXTS = 8.0, 0.03, 8
+#: Lengths are binned by the bits of their number of n-grams.
+LENGTHS = 48
+#: Characters of a text that are counted at a time.
+BLOCK = 1 << 18
+
+
+def _not_letters():
+    """Matches runs of what is no letter. Number signs such as a half are word characters to `re`, but no letters."""
+    import re
+    import sys
+
+    signs = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{signs}]+")
 
 
 def _grams(text: str | None, not_letter):
@@ -28,21 +45,22 @@ def _grams(text: str | None, not_letter):
     clean = not_letter.sub(" ", (text or "").lower()).strip()
     if not clean:
         return None
-    code = np.frombuffer(f" {clean} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    two = code[:-1] * np.uint64(0x9E3779B1) + code[1:] * np.uint64(0x85EBCA77)
-    three = two[:-1] * np.uint64(0xC2B2AE3D) + code[2:] * np.uint64(0x27D4EB2F)
-    shift = np.uint64(19)
-    slots = np.concatenate([(two & np.uint64(0xFFFFFFFF)) >> shift, (three & np.uint64(0xFFFFFFFF)) >> shift])
-    return np.bincount(slots.astype(np.int64), minlength=DIMENSIONS)
+    padded, total, shift = f" {clean} ", np.zeros(DIMENSIONS, np.int64), np.uint64(19)
+    for at in range(0, len(padded), BLOCK):
+        part = padded[max(at - 2, 0) : at + BLOCK]
+        code = np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+        two = code[:-1] * np.uint64(0x9E3779B1) + code[1:] * np.uint64(0x85EBCA77)
+        three = two[:-1] * np.uint64(0xC2B2AE3D) + code[2:] * np.uint64(0x27D4EB2F)
+        for grams in (two[1:] if at else two, three):  # the first pair is the last of the block before
+            total += np.bincount(((grams & np.uint64(0xFFFFFFFF)) >> shift).astype(np.int64), minlength=DIMENSIONS)
+    return total
 
 
 def _sparse(batches):
-    import re
-
     import numpy as np
     import pyarrow as pa
 
-    not_letter = re.compile(r"[\W\d_]+")
+    not_letter = _not_letters()
     for batch in batches:
         for part in sliced(batch, "text"):
             langs, slots, counts = [], [], []
@@ -79,10 +97,49 @@ def _kmeans(x, k: int, rounds: int = 12):
     return centres
 
 
+def floors(cosines, sizes) -> list[float]:
+    """The least cosine that is accepted, for each bin of lengths. Bins of too few texts take the next shorter one's."""
+    import numpy as np
+
+    bins, out = np.floor(np.log2(np.maximum(sizes, 1))).astype(int), []
+    for b in range(LENGTHS):
+        own = cosines[bins == b]
+        if len(own) >= LEAST_TEXTS:
+            middle = float(np.median(own))
+            spread = (float(np.quantile(own, 0.9)) - middle) / 1.2816  # of a normal distribution, from its upper side
+            out.append(middle - REJECT * max(spread, LEAST_SPREAD))
+        else:
+            out.append(out[-1] if out else -1.0)
+    return out
+
+
+def _language(idf, centroids: int):
+    """The centroids and floors of one language from its sample."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        order = sorted(range(len(pdf)), key=lambda i: (pdf.slots[i].tobytes(), pdf.counts[i].tobytes()))
+        x = np.zeros((len(order), DIMENSIONS), np.float32)
+        for row, i in enumerate(order):
+            x[row, pdf.slots[i]] = pdf.counts[i]
+        sizes = x.sum(axis=1)
+        np.log1p(x, out=x)
+        x *= idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]  # in place: no second matrix
+        held = np.arange(len(x)) % HELD == HELD - 1
+        centres = _kmeans(x[~held], centroids)
+        limits = floors((x[held] @ centres.T).max(axis=1), sizes[held]) if held.any() else [-1.0] * LENGTHS
+        return pd.DataFrame({"lang": [pdf.lang[0]], "centres": [centres.astype(np.float32).ravel()], "floors": [np.array(limits)]})
+
+    return run
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> dict | None:
-    """A model from rows with text and non-null lang; about `sample` rows of each language, chosen by a hash of
-    identifier and text, reach the driver as n-gram counts. Repeated rows count once, so that they can't swell the
-    sample. None without a usable row."""
+    """A model from rows with text and non-null lang; about `sample` rows of each language are fitted on, chosen by a hash
+    of identifier and text, a language a task. Repeated rows count once, so that they can't swell the sample. The
+    driver gets centroids alone, about 100 kB a language. None without a usable row."""
     import numpy as np
 
     labelled = labelled.where("lang is not null").select("doc_id", "lang", "text")
@@ -93,38 +150,30 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
         F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n))]), F.col("lang")
     )
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)).distinct()
-    found = chosen.select("lang", "text").mapInArrow(_sparse, "lang string, slots array<int>, counts array<int>").toLocalIterator()
-    rows = [(r["lang"], np.array(r["slots"], np.int32), np.array(r["counts"], np.int32)) for r in found]
+    found = written(chosen.select("lang", "text").mapInArrow(_sparse, "lang string, slots array<int>, counts array<int>"), "langid-sample")
+    rows = found.count()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, (_, slots, counts) in enumerate(rows):
-        x[i, slots] = counts
-    idf = (np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    np.log1p(x, out=x)
-    x *= idf
-    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]  # in place: no second matrix
-    langs = np.array([r[0] for r in rows])
-    names, centres, floors = [], [], []
-    for lang in sorted(set(langs.tolist())):
-        own = x[langs == lang]
-        got = _kmeans(own, centroids)
-        floor = float(np.quantile((own @ got.T).max(axis=1), 0.005)) * SLACK
-        names += [lang] * len(got)
-        floors += [floor] * len(got)
+    seen = np.zeros(DIMENSIONS)
+    for r in found.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect():
+        seen[r["slot"]] = r["count"]
+    idf = (np.log((1 + rows) / (1 + seen)) + 1).astype(np.float32)
+    fitted = found.groupBy("lang").applyInPandas(_language(idf, centroids), "lang string, centres array<float>, floors array<double>").collect()
+    names, centres, limits = [], [], []
+    for r in sorted(fitted, key=lambda r: r["lang"]):
+        got = np.array(r["centres"], np.float32).reshape(-1, DIMENSIONS)
+        names += [r["lang"]] * len(got)
+        limits += [r["floors"]] * len(got)
         centres.append(got)
-    return {"idf": idf, "centres": np.concatenate(centres).astype(np.float32), "langs": names, "floors": floors}
+    return {"idf": idf, "centres": np.concatenate(centres), "langs": names, "floors": np.array(limits)}
 
 
 def _predictor(model: dict | None):
     def run(batches):
-        import re
-
         import numpy as np
         import pyarrow as pa
 
-        not_letter = re.compile(r"[\W\d_]+")
+        not_letter = _not_letters()
         for batch in batches:
             for part in sliced(batch, "text", 1 << 20):
                 texts = part.column("text").to_pylist()
@@ -133,12 +182,14 @@ def _predictor(model: dict | None):
                     found = [(i, g) for i, t in enumerate(texts[at : at + 256], at) if (g := _grams(t, not_letter)) is not None]
                     if not found or model is None:
                         continue
-                    x = np.log1p(np.stack([g for _, g in found]).astype(np.float32)) * model["idf"]
+                    x = np.stack([g for _, g in found]).astype(np.float32)
+                    length = np.floor(np.log2(x.sum(axis=1))).astype(int)
+                    x = np.log1p(x) * model["idf"]
                     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                     cosine = x @ model["centres"].T
-                    for (i, _), j, c in zip(found, cosine.argmax(axis=1), cosine.max(axis=1)):
+                    for (i, _), j, c, n in zip(found, cosine.argmax(axis=1), cosine.max(axis=1), length):
                         lang[i], score[i] = model["langs"][j], min(max(float(c), 0.0), 1.0)
-                        rejected[i] = c < model["floors"][j]
+                        rejected[i] = c < model["floors"][j, n]
                 rest = [part.column(c) for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays(
                     [*rest, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
@@ -171,7 +222,11 @@ def op4_langid(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects: no letters, or too far from every centroid. All columns."""
+    """docs without the rows that the classifier rejects: no letters, or too far from every centroid. All columns.
+
+    The model is fitted on docs' own labelled rows (docs needs doc_id, text and lang). Null texts and those without a letter go; if no row is
+    labelled, all go. Repeated rows and ties are judged alike; an empty table stays empty; other columns may have any names.
+    """
     model = fit(_training(docs))
 
     def run(batches):
