@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tests.oracle import same
-from varspan.llm import exact_dedup, html_text, langid, mixing, packing, pii, quality_model, quality_rules, simhash, toxicity
+from varspan.llm import common, exact_dedup, html_text, langid, mixing, packing, pii, quality_model, quality_rules, simhash, toxicity
 from varspan.llm import queries as Q
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, digest string, kept boolean, bucket int"
@@ -155,17 +155,17 @@ def test_digest_filter_loses_nothing(spark, monkeypatch):
     rows = spark.range(3000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
     some = rows.where("id % 10 = 0")
     for most in (1 << 28, 1 << 15):  # wide enough, and full
-        monkeypatch.setattr(exact_dedup, "MOST_BITS", most)
-        got = {r.id for r in exact_dedup._filtered(rows, "digest", exact_dedup.digest_filter(some.select("digest"))).collect()}
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        got = {r.id for r in common.where_held(rows, "digest", common.value_filter(some, "digest")).collect()}
         assert got >= set(range(0, 3000, 10)) and len(got) < 1000
-    marked = exact_dedup._filtered(rows, "digest", exact_dedup.digest_filter(some.select("digest")), "held").collect()
+    marked = common.where_held(rows, "digest", common.value_filter(some, "digest"), "held").collect()
     assert len(marked) == 3000 and {r.id for r in marked if r.held} == got
 
 
 def test_filter_does_not_shuffle_texts(spark):
     texts = spark.range(2000).selectExpr("repeat('x', 500) as body", "unhex(sha2(cast(id as string), 256)) as digest")
-    found = exact_dedup.digest_filter(texts.select("digest").limit(10))
-    plan = exact_dedup._filtered(texts, "digest", found)._jdf.queryExecution().executedPlan().toString()
+    found = common.value_filter(texts.limit(10), "digest")
+    plan = common.where_held(texts, "digest", found)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
 
 

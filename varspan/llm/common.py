@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from varspan.shared import shared_dir, written
 
-__all__ = ["SPACE", "WORD", "crc_bucket", "fresh", "read_table", "shared_dir", "sliced", "unit_hash", "written"]
+__all__ = [
+    "SPACE", "WORD", "crc_bucket", "fresh", "read_table", "shared_dir", "sliced", "unit_hash", "value_filter", "where_held", "written"
+]
 
 #: ASCII white space of the contracts: space and \x09 to \x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a filter of values: 4 kB at least, 32 MB at most.
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 28
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,31 @@ def crc_bucket(doc_id: Column, buckets: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % buckets
 
 
+def value_filter(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(slot, bitmap) and the number of bits of a filter over a column's values: 16 bits a value, LEAST_BITS at least and
+    MOST_BITS at most, in rows of 4 kB. Beyond that it lets more values through; what it holds it never loses."""
+    n, bits = df.count(), LEAST_BITS
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    rows = df.select(F.bitmap_bucket_number(at).alias("slot"), F.bitmap_bit_position(at).alias("bit"))
+    return rows.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bitmap")), bits
+
+
+def where_held(df: DataFrame, column: str, found: tuple[DataFrame, int], mark: str | None = None) -> DataFrame:
+    """The rows whose value in a column the filter may hold; with mark: all rows, and a column that says so. The filter is
+    broadcast: MOST_BITS bound it at 32 MB. Nothing of df is shuffled."""
+    filters, bits = found
+    slot, bit, bitmap = (fresh(x, df) for x in ("filter_slot", "filter_bit", "filter_map"))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    probe = df.withColumns({slot: F.bitmap_bucket_number(at), bit: F.bitmap_bit_position(at).cast("int")})
+    filters = F.broadcast(filters.select(F.col("slot").alias(slot), F.col("bitmap").alias(bitmap)))
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, F.col(bit) % 8) == 1, F.lit(False))
+    out = probe.join(filters, slot, "left" if mark else "inner")
+    return (out.withColumn(mark, held) if mark else out.where(held)).drop(slot, bit, bitmap)
+
+
 def sliced(batch, text_column: str, limit: int = 4 << 20):
     """Pieces of an Arrow batch of about `limit` bytes of text, at least a row each, so that memory stays bounded."""
     import numpy as np

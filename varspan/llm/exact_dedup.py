@@ -15,12 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from varspan.llm.common import SPACE, fresh, shared_dir, written
+from varspan.llm.common import SPACE, fresh, shared_dir, value_filter, where_held, written
 
 #: Runs that one ingest flushes, and that one compaction merges.
 FAN_IN = 4
-#: Bits of the filter of repeated digests: 4 kB at least, 32 MB at most.
-LEAST_BITS, MOST_BITS = 1 << 15, 1 << 28
 #: Reduce tasks that a digest's rows are first aggregated in.
 SALTS = 16
 
@@ -94,36 +92,6 @@ class DigestIndex:
         return found.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.sum("copies").alias("copies"))
 
 
-def _bit(digest: Column, bits: int) -> Column:
-    """The filter's bit of a digest."""
-    return F.pmod(F.xxhash64(digest), F.lit(bits))
-
-
-def digest_filter(digests: DataFrame) -> tuple[DataFrame, int]:
-    """(slot, bitmap) and the number of bits of a filter over a table of digests: 16 bits a digest, LEAST_BITS at least and
-    MOST_BITS at most, in rows of 4 kB. Beyond that it lets more digests through; what it holds it never loses."""
-    n, bits = digests.count(), LEAST_BITS
-    while bits < min(16 * n, MOST_BITS):
-        bits *= 2
-    at = _bit(F.col("digest"), bits)
-    rows = digests.select(F.bitmap_bucket_number(at).alias("slot"), F.bitmap_bit_position(at).alias("bit"))
-    return rows.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bitmap")), bits
-
-
-def _filtered(keyed: DataFrame, key: str, found: tuple[DataFrame, int], mark: str | None = None) -> DataFrame:
-    """The rows whose digest in column key the filter may hold; with mark: all rows, and a column that says so. The filter is
-    broadcast: MOST_BITS bound it at 32 MB. Nothing of keyed is shuffled."""
-    filters, bits = found
-    slot, bit, bitmap = (fresh(x, keyed) for x in ("filter_slot", "filter_bit", "filter_map"))
-    at = _bit(F.col(key), bits)
-    probe = keyed.withColumns({slot: F.bitmap_bucket_number(at), bit: F.bitmap_bit_position(at).cast("int")})
-    filters = F.broadcast(filters.select(F.col("slot").alias(slot), F.col("bitmap").alias(bitmap)))
-    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = F.coalesce(F.getbit(byte, F.col(bit) % 8) == 1, F.lit(False))
-    out = probe.join(filters, slot, "left" if mark else "inner")
-    return (out.withColumn(mark, held) if mark else out.where(held)).drop(slot, bit, bitmap)
-
-
 def _collisions(texts: DataFrame) -> DataFrame | None:
     """Byte verification. texts: digest, body of all rows that share a digest with another row (and perhaps others). None
     if every digest stands for one text, else the digests that don't. The set of a digest's different texts (one, but for a
@@ -157,7 +125,7 @@ def _indexed(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, in
     for part in range(FAN_IN):  # row_no's upper bits are the scan's partition: each ingest gets every fourth of them
         index.ingest(rows.where(F.shiftright("row_no", 33) % FAN_IN == part))
     entries = index.entries()
-    filters, bits = digest_filter(entries.where("copies > 1"))
+    filters, bits = value_filter(entries.where("copies > 1"), "digest")
     return rows, entries, (written(filters, "digest-filter"), bits)
 
 
@@ -170,7 +138,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rows, entries, found = _indexed(docs)
     body = normal_text(F.col("text"))
     texts = docs.select(body.alias("body"), F.unhex(F.sha2(body, 256)).alias("digest"))
-    wrong = _collisions(_filtered(texts, "digest", found))
+    wrong = _collisions(where_held(texts, "digest", found))
     if wrong is not None:  # a collision of SHA-256: the digest of these rows is made from text and digest alike
         salted = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -205,7 +173,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     found = _indexed(docs)[2]
     key, mark, body = (fresh(x, docs) for x in ("digest_of_text", "may_repeat", "body_of_text"))
     keyed = docs.withColumn(key, F.unhex(F.sha2(normal_text(F.col("text")), 256)))
-    repeated = written(_filtered(keyed, key, found), "exact-candidates")
+    repeated = written(where_held(keyed, key, found), "exact-candidates")
     wrong = _collisions(repeated.select(normal_text(F.col("text")).alias("body"), F.col(key).alias("digest")))
     keys = [key] if wrong is None else [key, body]
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
@@ -220,7 +188,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min_by("row", "rank").alias("row"))
         .select("row.*")
     )
-    return _filtered(keyed, key, found, mark).where(~F.col(mark)).select(*docs.columns).unionByName(first)
+    return where_held(keyed, key, found, mark).where(~F.col(mark)).select(*docs.columns).unionByName(first)
 
 
 def op10_exact_dedup(docs: DataFrame) -> DataFrame:

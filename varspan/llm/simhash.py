@@ -1,6 +1,6 @@
 """SimHash near-dedup by the generalised pigeonhole principle.
 
-Fingerprints: 64 bits, each set where over half of the text's shingle hashes (XXH64, seed 42) set it.
+Fingerprints: 64 bits, each set where over half of the hashes (XXH64, seed 42) of a text's shingles set it.
 
 Candidates: bits that vary together over the table are grouped into m partitions; thresholds t_1..t_m with
 sum t_i = k - m + 1 suffice, for two fingerprints that differ in k bits at most must differ in t_i at most in some
@@ -8,12 +8,20 @@ partition i (-1: the partition is left out). For each m, dynamic programming cho
 candidate counts, and the cheapest m is used: fewer, wider partitions with thresholds above zero as tables grow. A
 threshold t becomes the masks that leave t bits of its partition out; fingerprints equal under a mask share a bucket.
 
-Probe and verify: buckets of at most BUCKET fingerprints emit their pairs, verified by Hamming distance. The members
-of larger buckets take an exact way that has no large groups: each emits itself and its 64 one-bit neighbours as
-keys, and two fingerprints are within two bits exactly if they share a key; a key has 65 members at most.
+Probe and verify. `near_duplicates` links fingerprints by distance alone (two bits): buckets of at most BUCKET emit their
+pairs, verified by Hamming distance; the members of larger ones take an exact way that has no large groups: each emits
+itself and its 64 one-bit neighbours as keys, and two fingerprints are within two bits exactly if they share a key; a
+key has 65 members at most.
 
-Only distinct fingerprints are compared; copies hang on their fingerprint. Components come from alternating
-large-star and small-star steps, in tables; nothing of a size that grows with the corpus reaches the driver.
+`similar_groups` links rows by distance (any k) and by the Jaccard similarity of their word shingles. Rows of buckets over
+BUCKET are held against the bucket's least row: those near it form a cluster, those similar to it a group. Then all that is
+left is compared, exactly: rows of a bucket in different clusters by a join on the bucket, in which a large bucket's main
+cluster stands on one side only; rows of one cluster in different groups block by block, with the similarity in the join's
+condition, and the cluster's main group on one side only. So copies of a text are never paired with each other, pairs
+that are not similar are never written, and no task holds more than a block.
+
+Components come from alternating large-star and small-star steps, in tables; nothing of a size that grows with the corpus
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,61 +31,80 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varspan.llm.common import fresh, sliced, written
+from varspan.llm.common import fresh, sliced, value_filter, where_held, written
 
 BITS = 64
 MAX_DISTANCE = 2
 #: Distinct fingerprints of a bucket whose pairs are listed; larger buckets take the one-bit-neighbour way.
 BUCKET = 48
+#: Near copies of texts (similar_groups): words of a shingle, their least similarity, and the bits that fingerprints of a
+#: text's words, weighted by the square root of their counts, may differ in. A copy of similarity 0.8 differs in few words,
+#: so in few bits: 7 hold 98 to 99 in a hundred.
+WORDS, SIMILARITY, DISTANCE, WORD_POWER = 5, 0.8, 7, 0.5
+#: Comparisons of a bucket that cost as much as a probe; rows of a block of a cluster.
+PROBE_COST, BLOCK_ROWS = 20.0, 1024
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _fingerprinter(shingle: int):
+def _shingles(text: str | None, k: int, word, lower) -> list[str]:
+    """The word shingles of a text in turn: its whole sequence if it has fewer words."""
+    words = word.findall((text or "").translate(lower))
+    return [" ".join(words)] if len(words) < k else list(map(" ".join, zip(*(words[i:] for i in range(k)))))
+
+
+def _reader():
+    """What `_shingles` takes: the words' pattern, and the table that lower-cases A to Z."""
+    import re
+
+    return re.compile(r"[^\x20\x09-\x0D]+"), str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+
+
+def _fingerprinter(shingle: int, power: float, kept: list[str]):
     def run(batches):
-        import re
+        from collections import Counter
 
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        word = re.compile(r"[^\x20\x09-\x0D]+")
-        lower = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+        word, lower = _reader()
         block = 1 << 16
         shift = np.arange(64, dtype=np.uint64)
 
         def fingerprint(text: str | None) -> int:
-            words = word.findall((text or "").translate(lower))
-            if not words:
+            rows, weights = _shingles(text, shingle, word, lower), None
+            if rows == [""]:
                 return 0
-            if len(words) < shingle:
-                rows = [" ".join(words)]
-            else:
-                rows = map(" ".join, zip(*(words[i:] for i in range(shingle))))
-            n = max(len(words) - shingle + 1, 1)
+            if power != 1:
+                counts = Counter(rows)
+                rows, weights = list(counts), np.fromiter(counts.values(), np.float64, len(counts)) ** power
+            n = len(rows)
             hashes = np.fromiter((xxh64_intdigest(x, 42) for x in rows), np.uint64, n)
-            counts = np.zeros(64, np.int64)
+            votes = np.zeros(64)
             for at in range(0, n, block):  # bits of a block of hashes, little-endian
                 part = np.ascontiguousarray(hashes[at : at + block])
                 bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                counts += bits.sum(axis=0, dtype=np.int64)
-            return int(((2 * counts > n).astype(np.uint64) << shift).sum(dtype=np.uint64))
+                votes += bits.sum(axis=0, dtype=np.int64) if weights is None else weights[at : at + block] @ bits
+            total = n if weights is None else weights.sum()
+            return int(((2 * votes > total).astype(np.uint64) << shift).sum(dtype=np.uint64))
 
         for batch in batches:
             for part in sliced(batch, "text"):
                 got = np.array([fingerprint(t) for t in part.column("text").to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(got.view(np.int64))], names=["doc_id", "fp"]
-                )
+                rest = [part.column(c).cast(pa.int64()) for c in kept]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(got.view(np.int64))], names=[*kept, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; null and wordless texts have fp 0."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprinter(shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = 3, power: float = 1.0, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns kept (numbers) and fp (the 64 bits as a signed long) of every row; null and wordless texts have fp 0.
+    A shingle's weight is how often it occurs, to that power."""
+    schema = ", ".join(f"{c} long" for c in (*kept, "fp"))
+    return docs.select(*kept, "text").mapInArrow(_fingerprinter(shingle, power, list(kept)), schema)
 
 
 def _bit_sums(batches):
@@ -134,8 +161,9 @@ def allocate(costs: list[dict[int, float]], budget: int) -> tuple[float, list[in
     return best[budget]
 
 
-def plan_masks(fps: DataFrame, k: int = MAX_DISTANCE, options: tuple[int, ...] = (2, 3, 4)) -> list[int]:
-    """The masks of the cheapest allocation. fps: distinct fingerprints. Counts cover all of them."""
+def plan_masks(fps: DataFrame, k: int = MAX_DISTANCE, options: tuple[int, ...] = (2, 3, 4), probe_cost: float = 1.0) -> list[int]:
+    """The masks of the cheapest allocation. fps: distinct fingerprints. Counts cover all of them. probe_cost: comparisons
+    that cost as much as a probe."""
     import math
 
     import numpy as np
@@ -163,7 +191,7 @@ def plan_masks(fps: DataFrame, k: int = MAX_DISTANCE, options: tuple[int, ...] =
             for t in range(k + 1):
                 # a probe for each mask, and the pairs equal under it: about as many under each as under none
                 masks = math.comb(len(group), t)
-                cost[t] = masks * (max(rows, 1) + pairs.get(100 * m + i, 0.0) * 2.0**t)
+                cost[t] = masks * (probe_cost * max(rows, 1) + pairs.get(100 * m + i, 0.0) * 2.0**t)
             costs.append(cost)
         total, chosen = allocate(costs, k - m + 1)
         if best is None or total < best[0]:
@@ -214,7 +242,7 @@ def links(fps: DataFrame, masks: list[int], bucket: int = BUCKET) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: each node of edges (a, b) with the least node of its component.
+    """node, root: each node of edges (a, b), but the least of its component, with that one.
 
     Alternating stars: large-star hangs a node's larger neighbours on its least neighbour, small-star its smaller
     ones; the end is a star for each component. Each step is a table, so plans stay short and lost executors cost
@@ -258,11 +286,138 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row's identifier of each component: its smallest (rows without identifier stay). All columns."""
-    found = written(near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct(), "near-drops")
-    drop = fresh("near_drop", docs)
-    return docs.join(found.withColumnRenamed("doc_id", drop), docs["doc_id"] == F.col(drop), "left_anti")
+def _sets(shingle: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        word, lower = _reader()
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                found = [
+                    np.array([xxh64_intdigest(x, 42) for x in set(_shingles(t, shingle, word, lower))], np.uint64).view(np.int64)
+                    for t in part.column("text").to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "set"])
+
+    return run
+
+
+def _held(nodes: DataFrame) -> tuple[DataFrame, int]:
+    found, bits = value_filter(nodes, "node")
+    return written(found, "near-filter"), bits
+
+
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, set: the shingle hashes of the rows in nodes, and of the few more that the filter lets through."""
+    some = where_held(docs.select("node", "text"), "node", _held(nodes))
+    return written(some.mapInArrow(_sets(shingle), "node long, set array<long>"), "near-sets")
+
+
+def _alike(x: str, y: str, least: float) -> Column:
+    """Whether two sets' Jaccard similarity is `least` or more; sizes alone settle it where they are too different."""
+    n, m = F.size(x), F.size(y)
+    shared = F.size(F.array_intersect(x, y))
+    return (F.least(n, m) >= least * F.greatest(n, m)) & (shared >= least * (n + m - shared))
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of rows (column node of docs) whose shingle sets are similar."""
+    pairs = written(pairs.select("a", "b").distinct(), "near-pairs")
+    sets = _shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b"
+    )
+    return written(both.where(_alike("x", "y", least)).select("a", "b"), "near-links")
+
+
+def _rooted(edges: DataFrame, name: str) -> DataFrame:
+    """node and the least node of its component, which itself is there too, in a column of that name."""
+    found = written(components(edges), "near-roots")
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", name)
+
+
+def _main(df: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """keys, main: the largest part of each key."""
+    shares = df.groupBy(*keys, part).agg(F.count("*").alias("share"))
+    return shares.groupBy(*keys).agg(F.max_by(part, F.struct("share", part)).alias("main"))
+
+
+def _close(x: str, y: str, distance: int) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+
+
+def _within_clusters(members: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the groups of each cluster. members: cluster, node, fp, group, set. Blocks of about BLOCK_ROWS
+    rows meet each other; rows of the cluster's main group are on the right side only."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    blocked = members.join(sizes, "cluster").join(_main(members, ["cluster"], "group"), "cluster")
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = blocked.where("group != main").select("cluster", F.col("block").alias("i"), each.alias("j"), F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("group").alias("group_a"), F.col("set").alias("x"))
+    right = blocked.select("cluster", each.alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("group").alias("group_b"), F.col("set").alias("y"), "main")
+    once = (F.col("a") < F.col("b")) | (F.col("group_b") == F.col("main"))
+    apart = F.col("group_a") != F.col("group_b")
+    return left.join(right, ["cluster", "i", "j"]).where(apart & once & _close("fp_a", "fp_b", distance) & _alike("x", "y", similarity)).select("a", "b")
+
+
+def similar_groups(
+    docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY, distance: int = DISTANCE, bucket: int = BUCKET
+) -> DataFrame:
+    """node, root: every row (column node, a number of its own; text) that is similar to another, and the least node of its
+    group. Two rows are linked where their words' fingerprints differ in `distance` bits at most and the Jaccard similarity
+    of their shingles is `similarity` or more; a group is what links connect.
+
+    Null and wordless texts are alike (similarity 1); texts of fewer words than a shingle are similar if equal. No bound
+    on rows of a fingerprint, a bucket or a group; an empty table gives none. docs must be a table or file scan.
+    """
+    rows = written(fingerprints(docs, 1, WORD_POWER, ("node",)), "near-fingerprints")
+    masks = plan_masks(written(rows.select("fp").distinct(), "near-distinct"), distance, (3, 4, 5, 6), PROBE_COST)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        probes = df.select("*", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("mask", "bits"))
+        return probes.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("bits")))).drop("mask", "bits")
+
+    hot = keyed(rows).groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("first"))
+    hot = written(hot.where(F.col("n") > bucket).select("bucket", F.col("first.node").alias("a"), F.col("first.fp").alias("fp_a")), "near-hot")
+    star = keyed(rows).join(hot, "bucket").where((F.col("node") != F.col("a")) & _close("fp", "fp_a", distance))
+    star = written(star.select("a", F.col("node").alias("b")).distinct(), "near-star")
+    clusters = written(_rooted(star, "cluster"), "near-clusters")
+    links_ = _similar(docs, star, shingle, similarity)
+
+    tagged = written(rows.join(clusters, "node", "left"), "near-tagged")
+    main = written(_main(keyed(tagged.where("cluster is not null")).join(hot.select("bucket"), "bucket"), ["bucket"], "cluster"), "near-main")
+    left = keyed(tagged).join(main, "bucket", "left").where("main is null or cluster is null or cluster != main")
+    left = left.select("bucket", F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("cluster").alias("cluster_a"), "main")
+    right = keyed(tagged).select("bucket", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("cluster").alias("cluster_b"))
+    apart = F.coalesce(F.col("cluster_a") != F.col("cluster_b"), F.lit(True))
+    once = (F.col("a") < F.col("b")) | F.coalesce(F.col("cluster_b") == F.col("main"), F.lit(False))
+    across = left.join(right, "bucket").where(apart & once & (F.col("a") != F.col("b")) & _close("fp_a", "fp_b", distance))
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links_ = written(links_.unionByName(_similar(docs, across, shingle, similarity)), "near-links")
+
+    groups = _rooted(links_, "group")
+    sets = _shingle_sets(docs, clusters.select("node"), shingle)
+    members = tagged.where("cluster is not null").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    within = _within_clusters(written(members.join(sets, "node"), "near-members"), distance, similarity)
+    return _rooted(links_.unionByName(within), "root")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each group of near copies (similar_groups), all columns as they were: the row with the smallest
+    doc_id, null last (of repeated ones the first). Rows that have no near copy are not shuffled; an empty table stays empty."""
+    node = fresh("node_of_row", docs)
+    numbered = docs.withColumn(node, F.monotonically_increasing_id())
+    found = written(similar_groups(numbered.select(F.col(node).alias("node"), "text"), similarity=similarity, distance=distance), "near-roots")
+    ids = where_held(numbered.select(F.col(node).alias("node"), F.col("doc_id").cast("long").alias("id")), "node", _held(found))
+    grouped = ids.join(found, "node")
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("best"))
+    dropped = written(found.join(best, "root").where(F.col("node") != F.col("best.node")).select("node"), "near-drops")
+    mark, gone = fresh("near_mark", docs), fresh("near_gone", docs)
+    marked = where_held(numbered, node, _held(dropped), mark)
+    doubtful = marked.where(F.col(mark)).join(dropped.select(F.col("node").alias(gone)), F.col(node) == F.col(gone), "left_anti")
+    return marked.where(~F.col(mark)).unionByName(doubtful).select(*docs.columns)
 
 
 def op6_simhash(docs: DataFrame) -> DataFrame:
