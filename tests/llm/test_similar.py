@@ -22,7 +22,7 @@ def shingles(text):
 
 
 def word_fingerprint(text):
-    votes = {xxhash.xxh64(w.encode(), seed=42).intdigest(): n**0.5 for w, n in Counter(words(text)).items()}
+    votes = {xxhash.xxh64(w.encode(), seed=42).intdigest(): n**S.WORD_POWER for w, n in Counter(words(text)).items()}
     return sum(1 << b for b in range(64) if 2 * sum(x for h, x in votes.items() if h >> b & 1) > sum(votes.values())) if votes else 0
 
 

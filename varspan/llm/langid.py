@@ -30,19 +30,23 @@ BLOCK = 1 << 18
 
 
 def _not_letters():
-    """Matches runs of what is no letter. Number signs such as a half are word characters to `re`, but no letters."""
+    """Patterns of what is no letter: number signs such as a half, which are word characters to `re`, and all else."""
     import re
     import sys
 
     signs = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{signs}]+")
+    return re.compile(f"[{signs}]"), re.compile(r"[\W\d_]+")
 
 
-def _grams(text: str | None, not_letter):
+def _grams(text: str | None, not_letters):
     """Counts of the hashed n-grams of a whole text, or None if it has no letter."""
     import numpy as np
 
-    clean = not_letter.sub(" ", (text or "").lower()).strip()
+    signs, others = not_letters
+    clean = (text or "").lower()
+    if not clean.isascii():
+        clean = signs.sub(" ", clean)
+    clean = others.sub(" ", clean).strip()
     if not clean:
         return None
     padded, total, shift = f" {clean} ", np.zeros(DIMENSIONS, np.int64), np.uint64(19)
@@ -60,12 +64,12 @@ def _sparse(batches):
     import numpy as np
     import pyarrow as pa
 
-    not_letter = _not_letters()
+    not_letters = _not_letters()
     for batch in batches:
         for part in sliced(batch, "text"):
             langs, slots, counts = [], [], []
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                got = _grams(text, not_letter)
+                got = _grams(text, not_letters)
                 if got is not None:
                     at = np.flatnonzero(got)
                     langs.append(lang)
@@ -173,13 +177,13 @@ def _predictor(model: dict | None):
         import numpy as np
         import pyarrow as pa
 
-        not_letter = _not_letters()
+        not_letters = _not_letters()
         for batch in batches:
             for part in sliced(batch, "text", 1 << 20):
                 texts = part.column("text").to_pylist()
                 lang, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 for at in range(0, len(texts), 256):
-                    found = [(i, g) for i, t in enumerate(texts[at : at + 256], at) if (g := _grams(t, not_letter)) is not None]
+                    found = [(i, g) for i, t in enumerate(texts[at : at + 256], at) if (g := _grams(t, not_letters)) is not None]
                     if not found or model is None:
                         continue
                     x = np.stack([g for _, g in found]).astype(np.float32)

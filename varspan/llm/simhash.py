@@ -38,11 +38,11 @@ MAX_DISTANCE = 2
 #: Distinct fingerprints of a bucket whose pairs are listed; larger buckets take the one-bit-neighbour way.
 BUCKET = 48
 #: Near copies of texts (similar_groups): words of a shingle, their least similarity, and the bits that fingerprints of a
-#: text's words, weighted by the square root of their counts, may differ in. A copy of similarity 0.8 differs in few words,
-#: so in few bits: 7 hold 98 to 99 in a hundred.
-WORDS, SIMILARITY, DISTANCE, WORD_POWER = 5, 0.8, 7, 0.5
-#: Comparisons of a bucket that cost as much as a probe; rows of a block of a cluster.
-PROBE_COST, BLOCK_ROWS = 20.0, 1024
+#: text's words may differ in. A copy of similarity 0.8 differs in few words, so in few bits: 7 hold 98 in a hundred. A word
+#: weighs its count to a power so low that the words every text has don't make texts alike.
+WORDS, SIMILARITY, DISTANCE, WORD_POWER = 5, 0.8, 7, 0.25
+#: Comparisons of a bucket that cost as much as a probe; rows of a block of a cluster; numbers of partitions tried.
+PROBE_COST, BLOCK_ROWS, PARTITIONS = 100.0, 1024, (4, 5, 6, 8)
 
 
 def _signed(x: int) -> int:
@@ -188,7 +188,7 @@ def plan_masks(fps: DataFrame, k: int = MAX_DISTANCE, options: tuple[int, ...] =
         costs = []
         for i, group in enumerate(groups):
             cost = {-1: 0.0}
-            for t in range(k + 1):
+            for t in range(min(k, len(group) - 1) + 1):
                 # a probe for each mask, and the pairs equal under it: about as many under each as under none
                 masks = math.comb(len(group), t)
                 cost[t] = masks * (probe_cost * max(rows, 1) + pairs.get(100 * m + i, 0.0) * 2.0**t)
@@ -373,7 +373,7 @@ def similar_groups(
     on rows of a fingerprint, a bucket or a group; an empty table gives none. docs must be a table or file scan.
     """
     rows = written(fingerprints(docs, 1, WORD_POWER, ("node",)), "near-fingerprints")
-    masks = plan_masks(written(rows.select("fp").distinct(), "near-distinct"), distance, (3, 4, 5, 6), PROBE_COST)
+    masks = plan_masks(written(rows.select("fp").distinct(), "near-distinct"), distance, PARTITIONS, PROBE_COST)
 
     def keyed(df: DataFrame) -> DataFrame:
         probes = df.select("*", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("mask", "bits"))
