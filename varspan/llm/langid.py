@@ -30,22 +30,26 @@ BLOCK = 1 << 18
 
 
 def _not_letters():
-    """Patterns of what is no letter: number signs such as a half, which are word characters to `re`, and all else."""
+    """Patterns of what is no letter: number signs such as a half, which are word characters to `re` (those of two code
+    units apart, as `re` looks classes with them up sign by sign), and all else."""
     import re
     import sys
 
-    signs = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(f"[{signs}]"), re.compile(r"[\W\d_]+")
+    signs = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    near, far = ("".join(c for c in signs if (c > "\uffff") == high) for high in (False, True))
+    return re.compile(f"[{near}]"), re.compile("[\U00010000-\U0010ffff]"), re.compile(f"[{far}]"), re.compile(r"[\W\d_]+")
 
 
 def _grams(text: str | None, not_letters):
     """Counts of the hashed n-grams of a whole text, or None if it has no letter."""
     import numpy as np
 
-    signs, others = not_letters
+    near, high, far, others = not_letters
     clean = (text or "").lower()
     if not clean.isascii():
-        clean = signs.sub(" ", clean)
+        clean = near.sub(" ", clean)
+        if high.search(clean):
+            clean = far.sub(" ", clean)
     clean = others.sub(" ", clean).strip()
     if not clean:
         return None

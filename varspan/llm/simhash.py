@@ -311,7 +311,7 @@ def _held(nodes: DataFrame) -> tuple[DataFrame, int]:
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """node, set: the shingle hashes of the rows in nodes, and of the few more that the filter lets through."""
-    some = where_held(docs.select("node", "text"), "node", _held(nodes))
+    some = where_held(docs.select("node", "text"), "node", _held(nodes)).repartition("node")  # few rows are left of many tasks
     return written(some.mapInArrow(_sets(shingle), "node long, set array<long>"), "near-sets")
 
 
