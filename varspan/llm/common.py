@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from varspan.shared import shared_dir, written
 
 __all__ = [
-    "SPACE", "WORD", "crc_bucket", "fresh", "read_table", "shared_dir", "sliced", "unit_hash", "value_filter", "where_held", "written"
+    "SPACE", "WORD", "crc_bucket", "fresh", "read_table", "shared_dir", "sliced", "small_batches", "unit_hash", "value_filter", "where_held", "written"
 ]
 
 #: ASCII white space of the contracts: space and \x09 to \x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 #: Bits of a filter of values: 4 kB at least, 32 MB at most.
 LEAST_BITS, MOST_BITS = 1 << 15, 1 << 28
 
@@ -66,6 +68,15 @@ def where_held(df: DataFrame, column: str, found: tuple[DataFrame, int], mark: s
     return (out.withColumn(mark, held) if mark else out.where(held)).drop(slot, bit, bitmap)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python in batches of BATCH_ROWS rows from now on, unless the session has a number of its own:
+    Spark's 10,000 rows of texts are tens of MB for each buffer on either side."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def sliced(batch, text_column: str, limit: int = 4 << 20):
     """Pieces of an Arrow batch of about `limit` bytes of text, at least a row each, so that memory stays bounded."""
     import numpy as np

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varspan.llm.common import crc_bucket, sliced, written
+from varspan.llm.common import crc_bucket, sliced, small_batches, written
 
 DIMENSIONS = 1 << 13
 #: Labelled texts of a language that its centroids and spreads are fitted on, in expectation; every HELD-th is for the spreads.
@@ -25,8 +25,8 @@ CENTROIDS = 3
 REJECT, LEAST_SPREAD, LEAST_TEXTS = 8.0, 0.03, 8
 #: Lengths are binned by the bits of their number of n-grams.
 LENGTHS = 48
-#: Characters of a text that are counted at a time.
-BLOCK = 1 << 18
+#: Characters of a text that are counted at a time, and texts whose vectors are compared at a time.
+BLOCK, ROWS = 1 << 18, 64
 
 
 def _not_letters():
@@ -97,7 +97,8 @@ def _kmeans(x, k: int, rounds: int = 12):
     centres = x[chosen].copy()
     for _ in range(rounds):
         own = np.argmax(x @ centres.T, axis=1)
-        new = np.stack([x[own == i].mean(axis=0) if (own == i).any() else centres[i] for i in range(len(centres))])
+        members = (own == np.arange(len(centres))[:, None]).astype(np.float32)  # sums by a product: no copies of rows
+        new = np.where(members.any(axis=1, keepdims=True), members @ x, centres)
         new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
         if np.allclose(new, centres):
             break
@@ -129,6 +130,8 @@ def _language(idf, centroids: int):
         import pandas as pd
 
         order = sorted(range(len(pdf)), key=lambda i: (pdf.slots[i].tobytes(), pdf.counts[i].tobytes()))
+        order = [i for n, i in enumerate(order) if n % HELD != HELD - 1] + order[HELD - 1 :: HELD]  # the held back come last
+        fitted = len(order) - len(order) // HELD
         x = np.zeros((len(order), DIMENSIONS), np.float32)
         for row, i in enumerate(order):
             x[row, pdf.slots[i]] = pdf.counts[i]
@@ -136,9 +139,8 @@ def _language(idf, centroids: int):
         np.log1p(x, out=x)
         x *= idf
         x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]  # in place: no second matrix
-        held = np.arange(len(x)) % HELD == HELD - 1
-        centres = _kmeans(x[~held], centroids)
-        limits = floors((x[held] @ centres.T).max(axis=1), sizes[held]) if held.any() else [-1.0] * LENGTHS
+        centres = _kmeans(x[:fitted], centroids)
+        limits = floors((x[fitted:] @ centres.T).max(axis=1), sizes[fitted:]) if fitted < len(x) else [-1.0] * LENGTHS
         return pd.DataFrame({"lang": [pdf.lang[0]], "centres": [centres.astype(np.float32).ravel()], "floors": [np.array(limits)]})
 
     return run
@@ -186,8 +188,8 @@ def _predictor(model: dict | None):
             for part in sliced(batch, "text", 1 << 20):
                 texts = part.column("text").to_pylist()
                 lang, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-                for at in range(0, len(texts), 256):
-                    found = [(i, g) for i, t in enumerate(texts[at : at + 256], at) if (g := _grams(t, not_letters)) is not None]
+                for at in range(0, len(texts), ROWS):
+                    found = [(i, g) for i, t in enumerate(texts[at : at + ROWS], at) if (g := _grams(t, not_letters)) is not None]
                     if not found or model is None:
                         continue
                     x = np.stack([g for _, g in found]).astype(np.float32)
@@ -213,7 +215,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     lang_pred is a language of the model, or und (rejected, score 0) where text is null or has no letter or there is
     no model; score is the cosine of the nearest centroid. Equal texts get equal rows; an empty table gives none.
     """
-    return docs.select("doc_id", "text").mapInArrow(
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(
         _predictor(model), "doc_id long, lang_pred string, score double, rejected boolean"
     )
 
@@ -242,8 +244,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
         judge = _predictor(model)
         for batch in batches:
-            view = pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])
-            verdicts = [r for got in judge([view]) for r in got.column("rejected").to_pylist()]
-            yield batch.filter(pa.array([not r for r in verdicts]))
+            for part in sliced(batch, "text"):
+                view = pa.RecordBatch.from_arrays([part.column("text")], names=["text"])
+                verdicts = [r for got in judge([view]) for r in got.column("rejected").to_pylist()]
+                yield part.filter(pa.array([not r for r in verdicts]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -12,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varspan.llm.common import sliced
+from varspan.llm.common import sliced, small_batches
 
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, sequence_id long, offset long"
 )
 #: Runs whose ids a task remembers before it starts anew.
-RUNS_KEPT = 350_000
+RUNS_KEPT = 300_000
 #: Bytes of text that a task works on at a time; a longer text is worked on alone.
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: The pre-tokeniser's runs in lower-case words of ASCII and Latin-1 letters, and the ends of words.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+|\n"
 #: Words that hold nothing else; other words, and those with a special token's '<|', go to the tokeniser whole.
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int
     """
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
-    return docs.select("doc_id", "text").mapInArrow(_packer(tokenizer_path, max_len, end_id), PIECES)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(_packer(tokenizer_path, max_len, end_id), PIECES)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

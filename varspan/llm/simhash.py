@@ -31,7 +31,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varspan.llm.common import fresh, sliced, value_filter, where_held, written
+from varspan.llm.common import fresh, sliced, small_batches, value_filter, where_held, written
 
 BITS = 64
 MAX_DISTANCE = 2
@@ -42,7 +42,7 @@ BUCKET = 48
 #: weighs its count to a power so low that the words every text has don't make texts alike.
 WORDS, SIMILARITY, DISTANCE, WORD_POWER = 5, 0.8, 7, 0.25
 #: Comparisons of a bucket that cost as much as a probe; rows of a block of a cluster; numbers of partitions tried.
-PROBE_COST, BLOCK_ROWS, PARTITIONS = 100.0, 1024, (4, 5, 6, 8)
+PROBE_COST, BLOCK_ROWS, PARTITIONS = 200.0, 1024, (4, 5, 6)
 
 
 def _signed(x: int) -> int:
@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, power: float = 1.0, kept: tu
     """The columns kept (numbers) and fp (the 64 bits as a signed long) of every row; null and wordless texts have fp 0.
     A shingle's weight is how often it occurs, to that power."""
     schema = ", ".join(f"{c} long" for c in (*kept, "fp"))
-    return docs.select(*kept, "text").mapInArrow(_fingerprinter(shingle, power, list(kept)), schema)
+    return small_batches(docs.select(*kept, "text")).mapInArrow(_fingerprinter(shingle, power, list(kept)), schema)
 
 
 def _bit_sums(batches):
