@@ -13,8 +13,8 @@ pairs, verified by Hamming distance; the members of larger ones take an exact wa
 itself and its 64 one-bit neighbours as keys, and two fingerprints are within two bits exactly if they share a key; a
 key has 65 members at most.
 
-`similar_groups` links rows by distance (any k) and by the Jaccard similarity of their word shingles. Rows of buckets over
-BUCKET are held against the bucket's least row: those near it form a cluster, those similar to it a group. Then all that is
+`similar_groups` links rows by distance (any k) and by the Jaccard similarity of their word shingles. Rows that agree on two
+partitions, if over BUCKET do, are held against three of them: those near one form a cluster, those similar a group. Then all that is
 left is compared, exactly: rows of a bucket in different clusters by a join on the bucket, in which a large bucket's main
 cluster stands on one side only; rows of one cluster in different groups block by block, with the similarity in the join's
 condition, and the cluster's main group on one side only. So copies of a text are never paired with each other, pairs
@@ -205,6 +205,17 @@ def plan_masks(fps: DataFrame, k: int = MAX_DISTANCE, options: tuple[int, ...] =
     ]
 
 
+def partitions_of(masks: list[int]) -> list[int]:
+    """The partitions that masks leave bits out of: unions of the masks that share bits."""
+    parts: list[int] = []
+    for mask in masks:
+        for other in [p for p in parts if p & mask]:
+            parts.remove(other)
+            mask |= other
+        parts.append(mask)
+    return parts
+
+
 def _star(keyed: DataFrame) -> DataFrame:
     """Links of each key's least fingerprint to its others: enough for components, as all of a key are linked."""
     return (
@@ -375,19 +386,22 @@ def similar_groups(
     rows = written(fingerprints(docs, 1, WORD_POWER, ("node",)), "near-fingerprints")
     masks = plan_masks(written(rows.select("fp").distinct(), "near-distinct"), distance, PARTITIONS, PROBE_COST)
 
-    def keyed(df: DataFrame) -> DataFrame:
+    def keyed(df: DataFrame, masks: list[int] = masks) -> DataFrame:
         probes = df.select("*", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("mask", "bits"))
         return probes.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("bits")))).drop("mask", "bits")
 
-    hot = keyed(rows).groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("first"))
-    hot = written(hot.where(F.col("n") > bucket).select("bucket", F.col("first.node").alias("a"), F.col("first.fp").alias("fp_a")), "near-hot")
-    star = keyed(rows).join(hot, "bucket").where((F.col("node") != F.col("a")) & _close("fp", "fp_a", distance))
+    # under two partitions at once a bucket is large only by copies, so any of its rows is one of them
+    wide = [a | b for a, b in combinations(partitions_of(masks), 2)]
+    row = F.struct("node", "fp")
+    hot = keyed(rows, wide).groupBy("bucket").agg(F.count("*").alias("n"), F.array(F.min(row), F.max(row), F.min_by(row, F.xxhash64("node"))).alias("ends"))
+    hot = written(hot.where(F.col("n") > bucket).select("bucket", F.explode("ends").alias("end")).select("bucket", F.col("end.node").alias("a"), F.col("end.fp").alias("fp_a")), "near-hot")
+    star = keyed(rows, wide).join(hot, "bucket").where((F.col("node") != F.col("a")) & _close("fp", "fp_a", distance))
     star = written(star.select("a", F.col("node").alias("b")).distinct(), "near-star")
     clusters = written(_rooted(star, "cluster"), "near-clusters")
     links_ = _similar(docs, star, shingle, similarity)
 
     tagged = written(rows.join(clusters, "node", "left"), "near-tagged")
-    main = written(_main(keyed(tagged.where("cluster is not null")).join(hot.select("bucket"), "bucket"), ["bucket"], "cluster"), "near-main")
+    main = written(_main(keyed(tagged.where("cluster is not null")), ["bucket"], "cluster"), "near-main")
     left = keyed(tagged).join(main, "bucket", "left").where("main is null or cluster is null or cluster != main")
     left = left.select("bucket", F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("cluster").alias("cluster_a"), "main")
     right = keyed(tagged).select("bucket", F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("cluster").alias("cluster_b"))
