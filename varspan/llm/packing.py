@@ -18,9 +18,9 @@ PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, sequence_id long, offset long"
 )
 #: Runs whose ids a task remembers before it starts anew.
-RUNS_KEPT = 300_000
+RUNS_KEPT = 350_000
 #: Bytes of text that a task works on at a time; a longer text is worked on alone.
-SLICE = 2 << 20
+SLICE = 3 << 20
 #: The pre-tokeniser's runs in lower-case words of ASCII and Latin-1 letters, and the ends of words.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\n]+|\n"
 #: Words that hold nothing else; other words, and those with a special token's '<|', go to the tokeniser whole.
