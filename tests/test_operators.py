@@ -49,6 +49,15 @@ def test_type_annotation_is_idempotent(spark):
     assert [r.info for r in once.collect()] == ["SVTYPE=INS;SVLEN=2", "SVLEN=9;P;SVTYPE=DEL"]
 
 
+def test_type_that_is_there_stays(spark):
+    rows = [("A", "ACGT", "SVTYPE=DUP;SVLEN=3"), ("A", "<DEL>", "SVTYPE=DELETION"), ("N", "<INS>", "."), ("A", "A[chr2:5[", "SVLEN=7"), ("AC", "GT", ".")]
+    df = spark.createDataFrame([(10, *r) for r in rows], "pos int, ref string, alt string, info string")
+    assert [r.info for r in rewrite.add_type_and_length(df).collect()] == ["SVTYPE=DUP;SVLEN=0", "SVTYPE=DEL", "SVTYPE=INS", "SVLEN=0;SVTYPE=BND", "SVTYPE=SUB;SVLEN=1"]
+    assert [r.info for r in rewrite.fix_replacement_length(df).collect()][-1] == "."
+    cells = spark.createDataFrame([("0|1", 9, 1), ("1|1", 0, 3), ("0/1", 9, 1), ("1", 9, 1), (".|1", 0, 0)], "gt string, ad_ref int, ad_alt int")
+    assert [r.new_gt for r in rewrite.correct_genotypes(cells, 8, True).collect()] == ["0|0", "0|1", "0/0", "0", ".|1"]
+
+
 def test_info_bag(spark):
     info = F.lit("A=1;FLAG;AB=2;A=3")
     row = one(spark, I.info_field(info, "A").alias("a"), I.info_field(info, "B").alias("b"), I.delete_info_field(F.lit("A=1"), "A").alias("d"), I.info_map(info).alias("m"), I.set_info_field(F.lit("."), "K", F.lit("v")).alias("s"))

@@ -8,18 +8,31 @@ from pyspark.sql import functions as F
 from varspan.functions import alleles as A
 from varspan.functions import genotypes as G
 from varspan.functions import sequence as S
-from varspan.functions.info import has_info_field, info_field, set_info_field
+from varspan.functions.info import has_info_field, info_field, replace_info_field, set_info_field
 
 SIZED = ("DEL", "INV", "DUP", "CNV")
 
 
 def add_type_and_length(df: DataFrame) -> DataFrame:
-    """SVTYPE and SVLEN inferred from the alleles and put into info; breakends get their type alone."""
-    kind = A.svtype(F.col("ref"), F.col("alt"))
-    size = A.svlen(F.col("pos"), F.col("ref"), F.col("alt"), F.col("info"))
-    typed = set_info_field(F.col("info"), "SVTYPE", kind)
-    sized = F.when(kind == "BND", typed).otherwise(set_info_field(typed, "SVLEN", size.cast("string")))
-    return df.withColumns({"svtype": kind, "svlen": size, "info": sized})
+    """svtype, svlen, and both in info. A type that info has stays, cut to three letters; else it is inferred from the alleles.
+    The length of sequences comes from the alleles, of symbolic records from SVLEN or END; unknown ones and breakends have 0.
+    SVLEN is written where it is positive or was there."""
+    own = F.substring(info_field(F.col("info"), "SVTYPE"), 1, 3)
+    kind = F.coalesce(F.when(own != "", own), A.svtype(F.col("ref"), F.col("alt")))
+    shape = A.alt_kind(F.col("alt"))
+    symbolic = F.greatest(A.symbolic_length(F.col("pos"), F.col("info")), F.lit(0))
+    both = (shape == A.DNA) & (A.alt_kind(F.col("ref")) == A.DNA)
+    size = (
+        F.when(F.upper("svtype") == "BND", 0)
+        .when(both & (F.upper("svtype") == "INS"), F.length("alt") - 1)
+        .when(both, F.length("ref") - 1)
+        .when(shape == A.SYMBOLIC, symbolic)
+        .otherwise(0)
+    )
+    out = df.withColumn("svtype", kind).withColumn("svlen", size)
+    typed = set_info_field(F.col("info"), "SVTYPE", F.col("svtype"))
+    write = (F.col("svlen") > 0) | has_info_field(F.col("info"), "SVLEN")
+    return out.withColumn("info", F.when(write, set_info_field(typed, "SVLEN", F.col("svlen").cast("string"))).otherwise(typed))
 
 
 def length_into_alt(df: DataFrame, with_insertions: bool = False) -> DataFrame:
@@ -37,9 +50,9 @@ def length_out_of_alt(df: DataFrame) -> DataFrame:
 
 
 def fix_replacement_length(df: DataFrame) -> DataFrame:
-    """SVLEN of sequence replacements (both alleles over one base) is len(ref) - 1."""
+    """SVLEN, where there is one, of sequence replacements (both alleles over one base) is len(ref) - 1."""
     both = F.col("ref").rlike("^[ACGTNacgtn]{2,}$") & F.col("alt").rlike("^[ACGTNacgtn]{2,}$")
-    return df.withColumn("info", F.when(both, set_info_field(F.col("info"), "SVLEN", (F.length("ref") - 1).cast("string"))).otherwise(F.col("info")))
+    return df.withColumn("info", F.when(both, replace_info_field(F.col("info"), "SVLEN", (F.length("ref") - 1).cast("string"))).otherwise(F.col("info")))
 
 
 def fit_to_contigs(df: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -208,7 +221,7 @@ def materialize(df: DataFrame, blocks: DataFrame, block_size: int) -> DataFrame:
 
 def correct_genotypes(df: DataFrame, least: int, both_ways: bool) -> DataFrame:
     """new_gt by read support (gt, ad_ref, ad_alt): 0/1 with too few alternative reads is 0/0; both_ways also 0/0 and 0/1
-    with too few reference reads become 0/1 and 1/1, 1/1 with too few alternative ones 0/1; haploid alike."""
+    with too few reference reads become 0/1 and 1/1, 1/1 with too few alternative ones 0/1; haploid alike. Phased cells stay phased."""
     gt, ref, alt = F.regexp_replace("gt", "\\|", "/"), F.col("ad_ref") < least, F.col("ad_alt") < least
     het = gt.isin("0/1", "1/0")
     new = F.when(het & alt, "0/0").when((gt == "1") & alt, "0") if not both_ways else (
@@ -219,7 +232,8 @@ def correct_genotypes(df: DataFrame, least: int, both_ways: bool) -> DataFrame:
         .when((gt == "0") & ref, "1")
         .when((gt == "1") & alt, "0")
     )
-    return df.withColumn("new_gt", F.coalesce(new, F.col("gt")))
+    phased = F.when(F.col("gt").contains("|"), F.regexp_replace(new, "/", "|")).otherwise(new)
+    return df.withColumn("new_gt", F.coalesce(phased, F.col("gt")))
 
 
 def caller_flags(supp: Column) -> dict[str, Column]:

@@ -22,6 +22,11 @@ t as (select *, case when kind = 1 then substr(alt, 2, 3) when kind = 2 then 'BN
 s as (select *, case when kind = 1 then coalesce(abs(try_cast(sl as int)), case when try_cast(en as int) - pos > 0 then try_cast(en as int) - pos end, -1)
     when kind = 2 then null when svtype = 'INS' then len(alt) - 1 else len(ref) - 1 end as svlen from t)"""
 
+#: With the type that info has, if it has one, and lengths of 0 for what has none.
+ANNOTATED = f"""{TYPED}, y as (select * exclude (svtype, svlen), coalesce(nullif(substr(regexp_extract(info, '(?:^|;)SVTYPE=([^;]*)', 1), 1, 3), ''), svtype) as svtype, svlen as alleles from s),
+a as (select *, case when svtype = 'BND' then 0 when kind = 0 and svtype = 'INS' then len(alt) - 1 when kind = 0 then len(ref) - 1
+    when kind = 1 then greatest(alleles, 0) else 0 end as svlen from y)"""
+
 
 def _set(expr: str, key: str, value: str) -> str:
     return (
@@ -32,8 +37,8 @@ def _set(expr: str, key: str, value: str) -> str:
 
 @register(
     "pr01_type_and_length", "calls",
-    f", {TYPED} select id, svtype, svlen, case when svtype = 'BND' then {_set('info', 'SVTYPE', 'svtype')} else "
-    f"{_set('(' + _set('info', 'SVTYPE', 'svtype') + ')', 'SVLEN', 'svlen::varchar')} end as info from s",
+    f", {ANNOTATED} select id, svtype, svlen, case when svlen > 0 or regexp_matches(info, '(?:^|;)SVLEN=') then "
+    f"{_set('(' + _set('info', 'SVTYPE', 'svtype') + ')', 'SVLEN', 'svlen::varchar')} else {_set('info', 'SVTYPE', 'svtype')} end as info from a",
 )
 def _(t):
     return R.add_type_and_length(t.calls).select("id", "svtype", "svlen", "info")
@@ -54,7 +59,7 @@ def _(t):
 @register(
     "pr07_fix_and_fit", "calls contigs",
     f""", {TYPED}, f as (select * exclude (info), case when regexp_full_match(ref, '[ACGTNacgtn]{{2,}}') and regexp_full_match(alt, '[ACGTNacgtn]{{2,}}')
-  then {_set('info', 'SVLEN', '(len(ref) - 1)::varchar')} else info end as info from s)
+  and regexp_matches(info, '(?:^|;)SVLEN=') then {_set('info', 'SVLEN', '(len(ref) - 1)::varchar')} else info end as info from s)
 select id, upper(ref) as ref, upper(regexp_replace(alt, '^(<...).*$', '\\1>')) as alt,
   case when alt like '<%' then {_set('info', 'END', "(case when alt like '<INS%' then pos else pos + svlen end)::varchar")} else info end as info
 from f join contigs using (chrom) where pos between 1 and length and not (alt like '<%' and alt not like '<INS%' and pos + svlen > length)""",
@@ -161,8 +166,8 @@ def _(t):
 
 @register(
     "pr23_correct_genotypes", "g",
-    """, n as (select *, replace(gt, '|', '/') as p from g), m as (select gt, case when p = '0/0' and ad_ref < 8 then '0/1' when p in ('0/1', '1/0') and ad_alt < 8 then '0/0'
-  when p in ('0/1', '1/0') and ad_ref < 8 then '1/1' when p = '1/1' and ad_alt < 8 then '0/1' when p = '0' and ad_ref < 8 then '1' when p = '1' and ad_alt < 8 then '0' else gt end as new_gt from n)
+    """, n as (select *, replace(gt, '|', '/') as p from g), m as (select gt, replace(case when p = '0/0' and ad_ref < 8 then '0/1' when p in ('0/1', '1/0') and ad_alt < 8 then '0/0'
+  when p in ('0/1', '1/0') and ad_ref < 8 then '1/1' when p = '1/1' and ad_alt < 8 then '0/1' when p = '0' and ad_ref < 8 then '1' when p = '1' and ad_alt < 8 then '0' else p end, '/', case when contains(gt, '|') then '|' else '/' end) as new_gt from n)
 select gt, new_gt, count(*) as n from m group by gt, new_gt""",
 )
 def _(t):
@@ -325,9 +330,9 @@ def _(t):
 
 @register(
     "fl01_class_filters", "calls",
-    f""", {TYPED} select svtype, case when svtype in ('DEL', 'INS', 'DUP', 'INV', 'CNV', 'BND') and abs(svlen) >= 20 then 'sv' else 'small' end as route,
+    f""", {ANNOTATED} select svtype, case when svtype in ('DEL', 'INS', 'DUP', 'INV', 'CNV', 'BND') and abs(svlen) >= 20 then 'sv' else 'small' end as route,
   count(*) as n, count(*) filter (where len(ref) <> len(alt) and filter in ('PASS', '.')) as truth, count(*) filter (where abs(svlen) between 10 and 100) as mid,
-  count(*) filter (where regexp_full_match(chrom, 'chr([1-9]|1[0-9]|2[0-2]|X|Y|M)')) as standard from s group by 1, 2""",
+  count(*) filter (where regexp_full_match(chrom, 'chr([1-9]|1[0-9]|2[0-2]|X|Y|M)')) as standard from a group by 1, 2""",
 )
 def _(t):
     typed = R.add_type_and_length(t.calls)
