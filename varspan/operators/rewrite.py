@@ -71,14 +71,14 @@ def fit_to_contigs(df: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def compress_alleles(df: DataFrame, contigs: DataFrame, qual: float) -> DataFrame:
-    """Sequences give way to their lengths: REF N, ALT '<TYPE-length>' of DEL, INV, DUP, CNV; '<INS>' and records that
-    reach over the contig are dropped; one QUAL; FILTER PASS."""
+    """Sequences give way to their lengths: REF N, ALT '<TYPE-length>' of DEL, INV, DUP, CNV whose length is known; '<INS>' and
+    records off their contig are dropped; one QUAL; FILTER PASS."""
     sizes = contigs.select("chrom", F.col("length").alias("_length"))
-    sized = F.col("svtype").isin(*SIZED)
+    sized = F.col("svtype").isin(*SIZED) & F.col("svlen").isNotNull()
     return (
         df.join(sizes, "chrom")
-        .where(~F.col("alt").startswith("<INS"))
-        .where(~sized | (F.col("pos") + F.col("svlen") <= F.col("_length")))
+        .where("pos between 1 and _length")
+        .where(F.upper("alt") != "<INS>")
         .withColumns({"alt": F.when(sized, F.concat(F.lit("<"), "svtype", F.lit("-"), "svlen", F.lit(">"))).otherwise(F.col("alt")), "ref": F.when(sized, "N").otherwise(F.col("ref"))})
         .transform(clean_quality, qual)
         .drop("_length")

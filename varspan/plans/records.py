@@ -72,8 +72,8 @@ def _(t):
 @register(
     "pr09_compress_alleles", "v contigs",
     """select v.id, concat('<', svtype, '-', svlen, '>') as alt, 'N' as ref, 1.0::double as qual, 'PASS' as filter from v join contigs using (chrom)
-where svtype <> 'INS' and pos + svlen <= length union all
-select id, 'ACGT' as alt, 'A' as ref, 1.0::double, 'PASS' from v join contigs using (chrom) where svtype = 'INS'""",
+where svtype <> 'INS' and pos between 1 and length union all
+select id, 'ACGT' as alt, 'A' as ref, 1.0::double, 'PASS' from v join contigs using (chrom) where svtype = 'INS' and pos between 1 and length""",
 )
 def _(t):
     v = t.v.withColumns({"ref": F.lit("A"), "alt": F.lit("ACGT"), "filter": F.lit(".")})
