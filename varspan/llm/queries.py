@@ -6,8 +6,11 @@ import public_tokenizers
 
 from varspan.llm import (
     exact_dedup,
+    fim,
+    hard_negatives,
     html_text,
     langid,
+    minhash,
     mixing,
     packing,
     pii,
@@ -61,6 +64,18 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.op10_exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark, sf_dir):
+    return fim.op11_fim(read_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.op12_hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash(spark, sf_dir):
+    return minhash.op13_minhash(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +89,15 @@ QUERIES = {
         op8_toxicity,
         op9_pii,
         op10_exact_dedup,
+        op11_fim,
+        op12_hard_negatives,
+        op13_minhash,
     )
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op1_mixing": mixing.ORACLE,
+    "op5_quality_rules": quality_rules.ORACLE,
+    "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_fim": fim.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+}
