@@ -88,13 +88,13 @@ def test_query_columns(spark):
 
 
 def test_chances():
-    """The chance that the sequential test drops a pair of similarity 0.8 is below one in ten thousand (each batch counted), pairs of
+    """The chance that the sequential test drops a pair of similarity 0.8 is below one in a hundred thousand (each batch counted), pairs of
     similarity 0.3 nearly always go, and so do bands that share nothing."""
     limits = M.allowed(M.BANDS, M.ROWS, 0.8, M.MISS)
     assert limits == sorted(limits) and len(limits) == M.ROWS
     tail = lambda n, most, p: sum(comb(n, d) * p**d * (1 - p) ** (n - d) for d in range(most + 1, n + 1))
     sizes = range(M.BANDS, M.BANDS * M.ROWS + 1, M.BANDS)
-    assert sum(tail(n, d, 0.1) for n, d in zip(sizes, limits)) < 1e-4
+    assert sum(tail(n, d, 0.1) for n, d in zip(sizes, limits)) < 1e-5
     assert tail(sizes[-1], limits[-1], 0.35) > 0.999
     assert (1 - 0.8**M.ROWS) ** M.BANDS < 1e-6
 

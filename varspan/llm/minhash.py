@@ -2,22 +2,24 @@
 
 Texts of the same words are one node, found by a digest. A node's distinct two-word shingles give BANDS x ROWS minimum
 hashes. ROWS of them make a band; nodes that agree on a band share a bucket. One bit of each hash makes the signature, in
-ROWS batches of a bit from every band. A pair of a bucket is compared batch by batch: with n bits seen, d of them different,
+ROWS batches of a bit from every band. A pair of a bucket is compared by one, then two, then three batches more: with n bits seen, d of them different,
 the posterior of its similarity (even prior; bits of different hashes agree half of the time) gives the chance that it
-reaches the threshold, and the pair is dropped as soon as that chance is below MISS. The batches are longs compared in the
-join's own condition, so a dropped pair is never a row. Survivors are verified on their full shingle sets.
+reaches the threshold, and the pair is dropped as soon as that chance is below MISS. What is left meets an exact bound: each
+node has a bitmap of PARITY bits, each set where an odd number of shingles hash to it; a shingle that only one of two sets has
+turns one bit, so the bits that differ are at most the shingles that differ. Both tests are longs compared in the join's own
+condition, so a dropped pair is never a row. Survivors are verified on their full shingle sets.
 
 Groups are what links connect, so not all pairs of a bucket are needed. First each node meets its bucket's least node; the
 links found make components. Then, in each bucket, the nodes outside the bucket's largest component meet all nodes of other components.
-Every pair of a bucket is compared or already connected: copies by the thousand cost a comparison each. Large buckets are
-dealt in blocks, so no task holds one.
+Every pair of a bucket is compared or already connected, in the first bucket that it shares: copies by the
+thousand cost a comparison each. Large buckets are dealt in blocks, so no task holds one.
 
 With BANDS and ROWS as they are, a pair of similarity 0.8 shares no bucket in 5 of ten million cases.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varspan.llm.common import fresh, sliced, small_batches, value_filter, where_held, written
@@ -26,7 +28,9 @@ from varspan.llm.simhash import components
 WORDS, SIMILARITY_100 = 2, 80
 BANDS, ROWS = 48, 6
 #: The chance of being similar below which a pair is dropped.
-MISS = 1e-7
+MISS = 1e-6
+#: Bits of a node's parity bitmap.
+PARITY = 1024
 #: Nodes of a block of a large bucket.
 BLOCK_ROWS = 2048
 
@@ -72,7 +76,10 @@ def _sketcher(k: int, bands: int, rows: int):
                 key = (key ^ table[:, row]) * odd
                 key ^= key >> np.uint64(32)
             bits = (table * odd) >> np.uint64(63)
-            return key.view(np.int64), (bits << width[:, None]).sum(axis=0, dtype=np.uint64).view(np.int64)
+            batches = (bits << width[:, None]).sum(axis=0, dtype=np.uint64)
+            parity = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+            parity = np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64)
+            return key.view(np.int64), np.concatenate([batches, parity]).view(np.int64)
 
         for batch in batches:
             for part in sliced(batch, "text"):
@@ -127,13 +134,20 @@ def allowed(bits: int, batches: int, similarity: float, miss: float) -> list[int
     return out
 
 
-def _may_be_similar(x: str, y: str, limits: list[int]):
-    """The sequential test of two signatures: a batch is looked at only if the ones before let the pair through."""
-    differ = [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(len(limits))]
+def _may_be_similar(x: str, y: str, limits: list[int], similarity: int) -> Column:
+    """Whether two sketches (structs of n, the batches and the bitmap's longs) let a pair through. The sequential test looks
+    after 1, 3, 6, ... batches, each time only if the looks before let the pair through; then the bitmaps: of sets of n and
+    m shingles that are similar, at most (n + m) (100 - similarity) / (100 + similarity) shingles are in one set only."""
+    differ = [F.bit_count(F.col(x)[f"s{i}"].bitwiseXOR(F.col(y)[f"s{i}"])) for i in range(len(limits) + PARITY // 64)]
+    looks, step = [], 1
+    while sum(range(1, step + 1)) < len(limits):
+        looks.append(sum(range(1, step + 1)))
+        step += 1
     passes = F.lit(True)
-    for i, limit in enumerate(limits):
-        passes = passes & (sum(differ[1 : i + 1], differ[0]) <= limit)
-    return passes
+    for n in [*looks, len(limits)]:
+        passes = passes & (sum(differ[1:n], differ[0]) <= limits[n - 1])
+    one_sided = sum(differ[len(limits) + 1 :], differ[len(limits)])
+    return passes & ((100 + similarity) * one_sided <= (100 - similarity) * (F.col(x)["n"] + F.col(y)["n"]))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -150,9 +164,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, si
     return both.where(alike).select("a", "b")
 
 
-def _across(members: DataFrame, limits: list[int], block_rows: int) -> DataFrame:
-    """The pairs (a, b) of a bucket that are in different components and pass the sequential test, but those with the leader,
-    which have been compared. members: key, id, leader, sig, component."""
+def _across(members: DataFrame, limits: list[int], similarity: int, block_rows: int) -> DataFrame:
+    """The pairs (a, b) of a bucket that are in different components and may be similar, but those with the leader, which have
+    been verified. A pair is found in the first bucket it shares. members: key, id, leader, sketch, earlier (the keys of the
+    node's bands before this one), component."""
     shares = members.groupBy("key", "component").agg(F.count("*").alias("share"))
     most = F.max(F.struct("share", "component"))
     main = shares.groupBy("key").agg(most["component"].alias("main"), F.sum("share").alias("n"), F.count("*").alias("parts"), most["share"].alias("in_main"))
@@ -161,13 +176,13 @@ def _across(members: DataFrame, limits: list[int], block_rows: int) -> DataFrame
     tagged = written(members.join(main, "key"), "minhash-open")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = tagged.where("component != main").select(
-        "key", dealt("left_blocks").alias("i"), each("right_blocks").alias("j"), F.col("id").alias("a"), F.col("sig").alias("x"), F.col("component").alias("part_a"), "leader"
-    )
-    right = tagged.select("key", each("left_blocks").alias("i"), dealt("right_blocks").alias("j"), F.col("id").alias("b"), F.col("sig").alias("y"), F.col("component").alias("part_b"), "main")
+    side = lambda i, x: [F.col("id").alias(i), F.col("sketch").alias(x), F.col("component").alias(f"part_{i}"), F.col("earlier").alias(f"earlier_{i}")]
+    left = tagged.where("component != main").select("key", dealt("left_blocks").alias("i"), each("right_blocks").alias("j"), *side("a", "x"), "leader")
+    right = tagged.select("key", each("left_blocks").alias("i"), dealt("right_blocks").alias("j"), *side("b", "y"), "main")
     once = (F.col("a") < F.col("b")) | (F.col("part_b") == F.col("main"))
     new = (F.col("part_a") != F.col("part_b")) & (F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader"))
-    found = left.join(right, ["key", "i", "j"]).where(new & once & _may_be_similar("x", "y", limits))
+    first = ~F.arrays_overlap("earlier_a", "earlier_b")
+    found = left.join(right, ["key", "i", "j"]).where(new & once & _may_be_similar("x", "y", limits, similarity) & first)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -190,23 +205,26 @@ def near_duplicates(
     schema = "doc_id long, text_key long, n long, digest binary, bands array<long>, sig array<long>"
     table = written(small_batches(keyed).mapInArrow(_sketcher(k, bands, rows), schema), "minhash-table")
     nodes = table.where("digest is not null").groupBy("digest")
-    nodes = nodes.agg(F.min("doc_id").alias("least_id"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    sketches = written(nodes.withColumn("id", F.monotonically_increasing_id()), "minhash-sketches")  # numbers of a written table
+    nodes = nodes.agg(F.min("doc_id").alias("least_id"), F.min("text_key").alias("text_key"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sketch = F.struct("n", *[F.get("sig", F.lit(i)).alias(f"s{i}") for i in range(rows + PARITY // 64)])  # one column each: longs without bounds to check
+    nodes = nodes.select("digest", "least_id", "text_key", "bands", sketch.alias("sketch"), F.monotonically_increasing_id().alias("id"))
+    sketches = written(nodes, "minhash-sketches")  # so the numbers are those of a table
 
     limits = allowed(bands, rows, similarity / 100, miss)
-    banded = sketches.select("id", "sig", F.explode("bands").alias("key"))
+    banded = sketches.select("id", "sketch", "bands", F.posexplode("bands").alias("band", "key"))
     shared = written(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("key", "leader"), "minhash-buckets")
     filters, bits = value_filter(shared, "key")
-    members = written(where_held(banded, "key", (written(filters, "minhash-filter"), bits)).join(shared, "key"), "minhash-members")
+    held = where_held(banded, "key", (written(filters, "minhash-filter"), bits)).withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
+    members = written(held.drop("bands", "band").join(shared, "key"), "minhash-members")
 
-    signed = sketches.select("id", "sig")
+    signed = sketches.select("id", "sketch")
     star = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(signed.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-    star = written(star.where(_may_be_similar("x", "y", limits)).select("a", "b"), "minhash-star")
+    star = star.join(signed.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(signed.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    star = written(star.where(_may_be_similar("x", "y", limits, similarity)).select("a", "b"), "minhash-star")
     links = written(_verified(star, keyed, sketches, k, similarity), "minhash-links")
 
     tagged = members.join(_rooted(links, "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = written(_across(tagged, limits, block_rows), "minhash-rest")
+    rest = written(_across(tagged, limits, similarity, block_rows), "minhash-rest")
     if not rest.isEmpty():
         links = written(links.unionByName(_verified(rest, keyed, sketches, k, similarity)), "minhash-links")
     roots = sketches.select("id", "digest", "least_id").join(_rooted(links, "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
