@@ -12,7 +12,7 @@ from varspan.functions import binning as B
 from varspan.functions import genotypes as G
 from varspan.functions import info as I
 from varspan.functions import sequence as S
-from varspan.operators import breakends, cohort, collapse, filters, intervals, islands, proximity, rewrite, scoring, statistics
+from varspan.operators import breakends, cohort, collapse, filters, greedy, intervals, islands, proximity, rewrite, scoring, statistics
 from varspan.operators.chains import chain_breakpoints
 from varspan.shared import written
 from varspan.sources import sinks, text
@@ -136,7 +136,7 @@ def test_merge_in_blocks_equals_one_scan(spark, rows, block):
 def test_chunk_plan_keeps_records(spark):
     rows = [("c", k, f * 100, f * 100 + 10, n) for k, (f, n) in enumerate([(1, 3), (2, 1), (3, 5), (4, 2), (5, 1)])]
     totals = spark.createDataFrame(rows, "chrom string, island long, first long, last long, n long")
-    got = [(r.chunk, r.first, r.last, r.n) for r in islands.chunk_plan(totals, 4).orderBy("chunk").collect()]
+    got = [(r.chunk, r.first, r.last, r.n) for r in greedy.chunk_plan(totals, 4).orderBy("chunk").collect()]
     assert got == [(1, 100, 210, 4), (2, 300, 310, 5), (3, 400, 510, 3)]
 
 

@@ -6,21 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varspan.functions.alleles import length_similarity
+from varspan.functions.similarity import own_sequence
 from varspan.operators.intervals import overlap_join
-from varspan.operators.proximity import points
+from varspan.operators.proximity import points, with_similar_sequences
 
 
 def similar_pairs(df: DataFrame, distance: int, size: float, sequence: float | None = None) -> DataFrame:
-    """(better, worse) ids of records of one type within distance whose lengths (and, if asked, ALT sequences of up to
-    4 kb, by normalised edit distance) are similar; better by quality, then position, then id. df: id, chrom, pos, svtype, svlen, qual."""
-    keep = ["id", "svtype", "svlen", "qual", "pos"] + (["alt"] if sequence else [])
-    at = points(df, "chrom", "pos", keep)
-    pairs = overlap_join(at, at, slack=distance).where("a_svtype = b_svtype")
+    """(better, worse) ids of records of one type within distance whose lengths are similar, and, if asked, their alleles'
+    sequences of any length by edit distance (records without a sequence by length alone); better by quality, then position,
+    then id. df: id, chrom, pos, svtype, svlen, qual, and ref and alt for sequences."""
+    keep = ["id", "svtype", "svlen", "qual", "pos"]
+    if sequence:
+        df = df.withColumn("seq", own_sequence(F.col("ref"), F.col("alt")))
+    at = points(df, "chrom", "pos", keep + ["seq"] * bool(sequence))
+    pairs = overlap_join(at, at, slack=distance, also=["svtype"])
     better = F.struct(-F.col("a_qual"), "a_pos", "a_id") < F.struct(-F.col("b_qual"), "b_pos", "b_id")
     pairs = pairs.where(better & (length_similarity(F.col("a_svlen"), F.col("b_svlen")) >= size))
     if sequence:
-        most = F.greatest(F.length("a_alt"), F.length("b_alt"))
-        pairs = pairs.where((most <= 4096) & (1 - F.levenshtein("a_alt", "b_alt") / most >= sequence))
+        pairs = with_similar_sequences(pairs, sequence)
     return pairs.select(F.col("a_id").alias("better"), F.col("b_id").alias("worse"))
 
 

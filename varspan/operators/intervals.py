@@ -36,14 +36,16 @@ def _binned(df: DataFrame, side: str, levels) -> DataFrame:
     return keyed.withColumnRenamed("_level", f"{side}_level")
 
 
-def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
-    same = [F.col("a_chrom") == F.col("b_chrom"), F.col("a_level") == F.col("b_level"), F.col("a_bin") == F.col("b_bin")]
+def _meet(x: DataFrame, y: DataFrame, also: list[str]) -> DataFrame:
+    same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in also]
+    same += [F.col("a_chrom") == F.col("b_chrom"), F.col("a_level") == F.col("b_level"), F.col("a_bin") == F.col("b_bin")]
     return x.join(y, same).where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("a_bin") == F.greatest("a_first", "b_first")))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, slack: int = 0) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, slack: int = 0, also: list[str] = []) -> DataFrame:  # noqa: B006
     """Pairs of rows of a and b (columns a_* and b_*; each with chrom, start, end) that share a base, or lie within
-    slack bases. Empty intervals overlap what holds their point inside. Rows with a null bound match nothing."""
+    slack bases, and agree on the columns `also`, which are keys of the join. Empty intervals overlap what holds their
+    point inside. Rows with a null bound match nothing."""
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]).where("a_chrom is not null and a_start is not null and a_end is not null")
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).where("b_chrom is not null and b_start is not null and b_end is not null")
     if slack:
@@ -58,7 +60,7 @@ def overlap_join(a: DataFrame, b: DataFrame, slack: int = 0) -> DataFrame:
     def above(level: Column) -> Column:
         return F.when(level < LEVELS, F.sequence(F.least(level + 1, F.lit(LEVELS)), F.lit(LEVELS)))
 
-    pairs = _meet(_binned(left, "a", own), _binned(right, "b", from_own)).unionByName(_meet(_binned(left, "a", above), _binned(right, "b", own)))
+    pairs = _meet(_binned(left, "a", own), _binned(right, "b", from_own), also).unionByName(_meet(_binned(left, "a", above), _binned(right, "b", own), also))
     if slack:
         pairs = pairs.withColumns({"b_start": F.col("b_start") + slack, "b_end": F.col("b_end") - slack})
     return pairs.select(*[f"a_{c}" for c in a.columns], *[f"b_{c}" for c in b.columns])

@@ -1,13 +1,11 @@
-"""Gaps and islands over ordered records, chunk plans, runs of equal labels."""
+"""Gaps and islands over ordered records, runs of equal labels."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varspan.operators.scan import running_max_before, running_sum
+from varspan.operators.scan import BLOCK, previous_value, running_max_before, running_sum
 
 
 def islands(df: DataFrame, first: str, last: str, buffer: int, order: list[str]) -> DataFrame:
@@ -21,60 +19,12 @@ def island_totals(tagged: DataFrame, first: str, last: str) -> DataFrame:
     return tagged.groupBy("chrom", "island").agg(F.min(first).alias("first"), F.max(last).alias("last"), F.count("*").alias("n"))
 
 
-def chunk_plan(totals: DataFrame, least: int) -> DataFrame:
-    """Chunks of whole islands with `least` records or more (the last one may have fewer): chrom, chunk, first, last, n.
-
-    Greedy packing is sequential, so it runs a contig at a time, over island totals alone (a few numbers an island,
-    in Arrow batches), never over records.
-    """
-
-    def pack(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("island")
-        out, start, end, n = [], None, None, 0
-        for first, last, size in zip(pdf["first"], pdf["last"], pdf["n"]):
-            if n >= least:
-                out.append((start, end, n))
-                start, n = None, 0
-            start, end, n = (first if start is None else start), (last if n == 0 else max(end, last)), n + size
-        if n:
-            out.append((start, end, n))
-        frame = pd.DataFrame(out, columns=["first", "last", "n"])
-        frame.insert(0, "chunk", range(1, len(out) + 1))
-        frame.insert(0, "chrom", pdf["chrom"].iloc[0])
-        return frame
-
-    return totals.groupBy("chrom").applyInPandas(pack, "chrom string, chunk long, first long, last long, n long")
-
-
-def pack_by_span(chunks: DataFrame, contigs: DataFrame, span: int, slack: int) -> DataFrame:
-    """Neighbouring chunks (chrom, start, end) joined until they span `span` bases; the pieces cover each contig, each
-    reaching slack bases into the next: chrom, start, end."""
-
-    def pack(pdf) -> Iterator:
-        import pandas as pd
-
-        pdf = pdf.sort_values("start")
-        length, out, start = int(pdf["length"].iloc[0]), [], 0
-        for end in pdf["end"]:
-            if end - start >= span:
-                out.append((start, min(int(end) + slack, length)))
-                start = int(end)
-        if start < length:
-            out.append((start, length))
-        frame = pd.DataFrame(out, columns=["start", "end"])
-        frame.insert(0, "chrom", pdf["chrom"].iloc[0])
-        return frame
-
-    return chunks.join(contigs.select("chrom", "length"), "chrom").groupBy("chrom").applyInPandas(pack, "chrom string, start long, end long")
-
-
-def label_runs(df: DataFrame, part: list[str], order: list[str], label: str, value: str) -> DataFrame:
-    """Runs of equal labels in order: part, label, run, first, last (least and greatest value), n."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    new = (~F.col(label).eqNullSafe(F.lag(label).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    tagged = df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def label_runs(df: DataFrame, part: list[str], order: list[str], label: str, value: str, block: int = BLOCK) -> DataFrame:
+    """Runs of equal labels in order: part, label, run, first, last (least and greatest value), n. In two levels, by blocks
+    `block` wide of the first order column (a number), so a part may hold any share of the rows."""
+    before = previous_value(df, part, order[0], order[1:], label, "_last", block)
+    new = (F.col("_last_first") | ~F.col(label).eqNullSafe(F.col("_last"))).cast("int")
+    tagged = running_sum(before, part, order[0], order[1:], new, "run", block)
     return tagged.groupBy(*part, label, "run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n"))
 
 

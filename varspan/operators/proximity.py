@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varspan.functions.alleles import length_similarity
+from varspan.functions.similarity import may_be_similar, own_sequence, similar
 from varspan.operators.intervals import overlap_join
 
 
@@ -67,15 +68,39 @@ def first_gap(ins: DataFrame, gaps: DataFrame, slack: int, ratio: float) -> Data
     return good.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct("b_start", "b_end")).alias("g")).select("id", F.col("g.b_start").alias("start"), F.col("g.b_end").alias("end"))
 
 
-def truth_candidates(base: DataFrame, comp: DataFrame, distance: int, size: float) -> DataFrame:
-    """Pairs of like type within distance at both ends whose lengths are similar: base_id, comp_id, score, dstart, dend."""
-    pairs = near(points(base, "chrom", "pos", ["id", "svtype", "svlen"]), points(comp, "chrom", "pos", ["id", "svtype", "svlen"]), distance)
+def truth_candidates(
+    base: DataFrame, comp: DataFrame, distance: int, size: float, sequence: float | None = None, overlap: float = 0.0, both_ends: bool = False
+) -> DataFrame:
+    """Pairs of like type that start within distance and have similar lengths: base_id, comp_id, score, dstart, dend.
+
+    both_ends: the ends (pos + svlen) lie within distance too. overlap: of the longer footprint, the share that both cover is
+    at least that. sequence: the alleles' sequences, of any length, are similar by edit distance (records without a
+    sequence on either side are judged by length alone); ref and alt must be there then. score is the length similarity."""
+    keep = ["id", "svtype", "svlen"]
+    seq = [own_sequence(F.col("ref"), F.col("alt")).alias("seq")] if sequence else []
+    sides = [points(df.select("chrom", "pos", *keep, *seq), "chrom", "pos", keep + ["seq"] * bool(sequence)) for df in (base, comp)]
+    pairs = overlap_join(*sides, slack=distance, also=["svtype"])
     sim = length_similarity(F.col("a_svlen"), F.col("b_svlen"))
     dstart = F.abs(F.col("a_start") - F.col("b_start"))
-    dend = F.abs(F.col("a_start") + F.col("a_svlen") - F.col("b_start") - F.col("b_svlen"))
-    return pairs.where((F.col("a_svtype") == F.col("b_svtype")) & (sim >= size)).select(
-        F.col("a_id").alias("base_id"), F.col("b_id").alias("comp_id"), sim.alias("score"), dstart.alias("dstart"), dend.alias("dend")
-    )
+    a_end, b_end = (F.col(f"{x}_start") + F.col(f"{x}_svlen") for x in "ab")
+    good = pairs.where(sim >= size)
+    if both_ends:
+        good = good.where(F.abs(a_end - b_end) <= distance)
+    if overlap:
+        shared = F.least(a_end, b_end) - F.greatest("a_start", "b_start")
+        good = good.where(shared >= overlap * F.greatest("a_svlen", "b_svlen"))
+    if sequence:
+        good = with_similar_sequences(good, sequence)
+    return good.select(F.col("a_id").alias("base_id"), F.col("b_id").alias("comp_id"), sim.alias("score"), dstart.alias("dstart"), F.abs(a_end - b_end).alias("dend"))
+
+
+def with_similar_sequences(pairs: DataFrame, sequence: float) -> DataFrame:
+    """The pairs (a_seq, b_seq) whose sequences are similar, and those that lack one."""
+    a, b = F.col("a_seq"), F.col("b_seq")
+    both = a.isNotNull() & b.isNotNull()
+    easy = pairs.where(~both | (a == b))
+    hard = pairs.where(both & (a != b) & may_be_similar(a, b, sequence))
+    return easy.unionByName(hard.where(similar(a, b, sequence)))
 
 
 def match_multi(base: DataFrame, comp: DataFrame, candidates: DataFrame) -> DataFrame:

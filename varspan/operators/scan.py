@@ -1,7 +1,8 @@
 """Ordered scans without a task for each contig: running maxima and sums in two levels.
 
 Rows are cut into blocks of neighbouring keys. A window inside each block and a window over the (few) block totals
-together give what one window over the whole contig would, but no task holds more than a block of rows.
+together give what one window over the whole contig would, but no task holds more than a block of rows. A null contig is
+a contig of its own, and rows without a position come last in theirs.
 """
 
 from __future__ import annotations
@@ -13,12 +14,28 @@ from pyspark.sql import functions as F
 BLOCK = 1_000_000
 
 
+def _with_block(df: DataFrame, position: str, block: int) -> DataFrame:
+    return df.withColumn("_block", F.floor(F.col(position) / block))
+
+
+def _last(position: str, order: list[str]) -> list[Column]:
+    return [F.asc_nulls_last(position), *order]
+
+
+def _joined(df: DataFrame, blocks: DataFrame, part: list[str]) -> DataFrame:
+    """df with its block's columns, nulls of part and block equal to each other."""
+    keys = [*part, "_block"]
+    right = blocks.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in blocks.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return df.join(right, same).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def _two_levels(df: DataFrame, part: list[str], position: str, order: list[str], value: Column, out: str, block: int, kind: str) -> DataFrame:
-    df = df.withColumn("_block", F.floor(F.col(position) / block)).withColumn("_value", value)
+    df = _with_block(df, position, block).withColumn("_value", value)
     total = F.max("_value") if kind == "max" else F.sum("_value")
     blocks = df.groupBy(*part, "_block").agg(total.alias("_total"))
-    before = Window.partitionBy(*part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*part, "_block").orderBy(position, *order)
+    before = Window.partitionBy(*part).orderBy(F.asc_nulls_last("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*part, "_block").orderBy(*_last(position, order))
     if kind == "max":
         blocks = blocks.select(*part, "_block", F.max("_total").over(before).alias("_carry"))
         here = F.max("_value").over(within.rowsBetween(Window.unboundedPreceding, -1))
@@ -27,7 +44,7 @@ def _two_levels(df: DataFrame, part: list[str], position: str, order: list[str],
         blocks = blocks.select(*part, "_block", F.sum("_total").over(before).alias("_carry"))
         here = F.sum("_value").over(within.rowsBetween(Window.unboundedPreceding, 0))
         result = F.coalesce("_carry", F.lit(0)) + here
-    return df.join(blocks, [*part, "_block"]).withColumn(out, result).drop("_block", "_value", "_carry")
+    return _joined(df, blocks, part).withColumn(out, result).drop("_block", "_value", "_carry")
 
 
 def running_max_before(df: DataFrame, part: list[str], position: str, order: list[str], value: Column, out: str, block: int = BLOCK) -> DataFrame:
@@ -43,11 +60,11 @@ def running_sum(df: DataFrame, part: list[str], position: str, order: list[str],
 def previous_value(df: DataFrame, part: list[str], position: str, order: list[str], value: str, out: str, block: int = BLOCK) -> DataFrame:
     """out: the value of the row before this one by position and order within part, in two levels as above; and
     out_first: whether there is no such row."""
-    df = df.withColumn("_block", F.floor(F.col(position) / block))
-    within = Window.partitionBy(*part, "_block").orderBy(position, *order)
-    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(position, *order))
-    blocks = df.groupBy(*part, "_block").agg(last.alias("_last"))
-    blocks = blocks.select(*part, "_block", F.lag("_last").over(Window.partitionBy(*part).orderBy("_block")).alias("_before"))
-    tagged = df.withColumns({"_here": F.lag(F.struct(F.col(value).alias("v"))).over(within)}).join(blocks, [*part, "_block"])
-    before = F.coalesce("_here", "_before")
-    return tagged.withColumns({out: before["v"], f"{out}_first": before.isNull()}).drop("_block", "_here", "_before")
+    df = _with_block(df, position, block)
+    within = Window.partitionBy(*part, "_block").orderBy(*_last(position, order))
+    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(F.col(position).isNull(), position, *order))
+    blocks = df.groupBy(*part, "_block").agg(last.alias("_tail"))
+    blocks = blocks.select(*part, "_block", F.lag("_tail").over(Window.partitionBy(*part).orderBy(F.asc_nulls_last("_block"))).alias("_earlier"))
+    tagged = _joined(df.withColumns({"_here": F.lag(F.struct(F.col(value).alias("v"))).over(within)}), blocks, part)
+    before = F.coalesce("_here", "_earlier")
+    return tagged.withColumns({out: before["v"], f"{out}_first": before.isNull()}).drop("_block", "_here", "_earlier")

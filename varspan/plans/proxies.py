@@ -24,6 +24,14 @@ select {ID} as id, {CHROM.format('l_suppkey')} as chrom, cast(l_partkey * 100 +
   cast(l_quantity as int) * 20 as svlen, cast(round(l_discount * 100) as int) as qual, l_linestatus as caller,
   cast(l_orderkey as bigint) as orderkey, cast(l_linenumber as int) as line
 from {{lineitem}}""",
+    "alleles": f"""
+select *, case when svtype = 'DEL' then concat('a', seq) else 'A' end as ref, case svtype when 'DEL' then 'A' when 'INS' then concat('A', seq) else '<DUP>' end as alt
+from (select {ID} as id, {CHROM.format('l_suppkey')} as chrom, cast(l_partkey * 100 + l_linenumber as int) as pos,
+  case l_returnflag when 'A' then 'DEL' when 'N' then 'INS' else 'DUP' end as svtype, cast(l_quantity as int) * 20 as svlen,
+  cast(round(l_discount * 100) as int) as qual, l_linestatus as caller,
+  substring(case l_orderkey % 4 when 0 then repeat('ACGTTGCA', 9) when 1 then repeat('ACGTTGCC', 9) when 2 then repeat('GATTACAG', 9) else repeat('ACGTTACAGT', 7) end,
+    cast(l_linenumber as int), cast(l_quantity as int)) as seq
+from {{lineitem}})""",
     "calls": f"""
 select {ID} as id, {CHROM.format('l_suppkey')} as chrom, cast(l_partkey * 100 + l_linenumber as int) as pos,
   case l_orderkey % 9 when 0 then 'A' when 1 then concat('A', repeat('GAT', cast(l_linenumber as int)))
@@ -57,7 +65,7 @@ from {customer} where c_custkey % 3 = 0""",
 select {CHROM.format('p_partkey')} as chrom, cast(p_partkey * 97 as int) as start, cast(p_partkey * 97 + p_size * 10 as int) as `end`,
   cast(p_partkey as bigint) as id from {{part}}""",
     "contigs": """
-select concat('chr', cast(n_nationkey + 1 as string)) as chrom, cast(150000 + n_nationkey * 1000 as int) as length
+select concat('chr', cast(n_nationkey + 1 as string)) as chrom, cast((select max(p_partkey) from {part}) * (98 - n_nationkey) as int) as length
 from {nation} where n_nationkey < 22""",
     "bp": f"""
 select {CHROM.format('s_suppkey')} as chrom, cast(s_suppkey * 211 as int) as pos, {CHROM.format('s_suppkey * 7')} as other_chrom,

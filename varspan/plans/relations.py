@@ -9,6 +9,7 @@ from varspan.functions import genotypes as G
 from varspan.operators import breakends as BE
 from varspan.operators import cohort as CO
 from varspan.operators import filters as FL
+from varspan.operators import greedy as GR
 from varspan.operators import intervals as IV
 from varspan.operators import islands as IS
 from varspan.operators import proximity as PX
@@ -165,24 +166,41 @@ def _(t):
     return PX.first_gap(t.v.where("svtype = 'INS'"), t.tr, 30, 2.0)
 
 
-CANDIDATES = """, b as (select * from v where caller = 'F' and svtype <> 'INS'), c as (select * from v where caller = 'O' and svtype <> 'INS'),
+CANDIDATES = """, b as (select * from v where caller = 'F'), c as (select * from v where caller = 'O'),
 m as (select b.id as base_id, c.id as comp_id, least(b.svlen, c.svlen) / greatest(b.svlen, c.svlen) as score, abs(b.pos - c.pos) as dstart, abs(b.pos + b.svlen - c.pos - c.svlen) as dend
   from b join c on b.chrom = c.chrom and b.svtype = c.svtype and abs(b.pos - c.pos) <= 100 and least(b.svlen, c.svlen) / greatest(b.svlen, c.svlen) >= 0.7)"""
 
 
 def _truth(t):
-    v = t.v.where("svtype != 'INS'")
-    base, comp = v.where("caller = 'F'"), v.where("caller = 'O'")
+    base, comp = t.v.where("caller = 'F'"), t.v.where("caller = 'O'")
     return base, comp, PX.truth_candidates(base, comp, 100, 0.7)
 
 
+STATES = """select 'base' as side, id, case when id in (select base_id from m) then 'tp' else 'fn' end as state from b
+union all select 'comp', id, case when id in (select comp_id from m) then 'tp' else 'fp' end from c"""
+
+
+@register("jn21_truth_multi", "v", CANDIDATES + STATES)
+def _(t):
+    return PX.match_multi(*_truth(t))
+
+
+#: Similarity of the longer alleles, upper case, of records s and t; symbolic ones have none.
+SEQUENCES = """(s.alt = '<DUP>' or t.alt = '<DUP>' or
+  1 - levenshtein(upper(case when len(s.alt) >= len(s.ref) then s.alt else s.ref end), upper(case when len(t.alt) >= len(t.ref) then t.alt else t.ref end))
+    / (greatest(len(s.alt), len(s.ref)) + greatest(len(t.alt), len(t.ref))) >= 0.9)"""
+
+
 @register(
-    "jn21_truth_multi", "v",
-    CANDIDATES + """select 'base' as side, id, case when id in (select base_id from m) then 'tp' else 'fn' end as state from b
-union all select 'comp', id, case when id in (select comp_id from m) then 'tp' else 'fp' end from c""",
+    "jn21_truth_sequences", "alleles",
+    f""", b as (select * from alleles where caller = 'F'), c as (select * from alleles where caller = 'O'),
+m as (select s.id as base_id, t.id as comp_id from b s join c t on s.chrom = t.chrom and s.svtype = t.svtype and abs(s.pos - t.pos) <= 100 and least(s.svlen, t.svlen) / greatest(s.svlen, t.svlen) >= 0.7
+  and abs(s.pos + s.svlen - t.pos - t.svlen) <= 100 and least(s.pos + s.svlen, t.pos + t.svlen) - greatest(s.pos, t.pos) >= 0.5 * greatest(s.svlen, t.svlen) and {SEQUENCES})
+""" + STATES,
 )
 def _(t):
-    return PX.match_multi(*_truth(t))
+    base, comp = t.alleles.where("caller = 'F'"), t.alleles.where("caller = 'O'")
+    return PX.match_multi(base, comp, PX.truth_candidates(base, comp, 100, 0.7, sequence=0.9, overlap=0.5, both_ends=True))
 
 
 @register("jn21_truth_single", "v")
@@ -334,37 +352,74 @@ def _(t):
     return BE.chromosome_matrix(t.adj)
 
 
-ISLANDS = """, f as (select *, pos + svlen as last from v where svtype = 'DEL' and svlen <= 200),
+ISLANDS = """, f as (select *, pos + svlen % 97 * 2 as last from v),
 o as (select *, max(last) over (partition by chrom order by pos, id rows between unbounded preceding and 1 preceding) as reach from f),
-i as (select *, sum(case when reach is null or pos > reach + 60 then 1 else 0 end) over (partition by chrom order by pos, id) as island from o)"""
+i as (select *, sum(case when reach is null or pos > reach + 5 then 1 else 0 end) over (partition by chrom order by pos, id) as island from o),
+t as (select chrom, island, min(pos) as first, max(last) as last, count(*) as n from i group by 1, 2)"""
+
+
+def plan(least: int) -> str:
+    """Chunks c1 of islands t, one island after the other."""
+    return f""",
+c as (select chrom, island, 1 as chunk, first, last, n from t where island = 1 union all
+  select t.chrom, t.island, case when c.n >= {least} then c.chunk + 1 else c.chunk end, case when c.n >= {least} then t.first else c.first end,
+    case when c.n >= {least} then t.last else greatest(c.last, t.last) end, case when c.n >= {least} then t.n else c.n + t.n end
+  from c join t on t.chrom = c.chrom and t.island = c.island + 1),
+c1 as (select chrom, chunk, arg_max(first, island) as first, arg_max(last, island) as last, arg_max(n, island) as n from c group by 1, 2)"""
 
 
 def _islands(t):
-    df = t.v.where("svtype = 'DEL' and svlen <= 200").withColumn("last", F.col("pos") + F.col("svlen"))
-    return IS.island_totals(IS.islands(df, "pos", "last", 60, ["id"]), "pos", "last")
+    df = t.v.withColumn("last", F.col("pos") + F.col("svlen") % 97 * 2)
+    return IS.island_totals(IS.islands(df, "pos", "last", 5, ["id"]), "pos", "last")
 
 
-@register("wn01_islands", "v", ISLANDS + " select chrom, island, min(pos) as first, max(last) as last, count(*) as n from i group by 1, 2")
+@register("wn01_islands", "v", ISLANDS + " select * from t")
 def _(t):
     return _islands(t)
 
 
+@register("wn01_chunk_plan", "v", ISLANDS + plan(40) + " select * from c1")
+def _(t):
+    return GR.chunk_plan(_islands(t), 40)
+
+
 @register(
-    "wn01_chunk_plan", "v",
-    ISLANDS + """, t as (select chrom, island, min(pos) as first, max(last) as last, count(*) as n from i group by 1, 2),
-c as (select chrom, island, 1 as chunk, first, last, n from t where island = 1 union all
-  select t.chrom, t.island, case when c.n >= 40 then c.chunk + 1 else c.chunk end, case when c.n >= 40 then t.first else c.first end, case when c.n >= 40 then t.last else greatest(c.last, t.last) end, case when c.n >= 40 then t.n else c.n + t.n end
-  from c join t on t.chrom = c.chrom and t.island = c.island + 1)
-select chrom, chunk, arg_max(first, island) as first, arg_max(last, island) as last, arg_max(n, island) as n from c group by 1, 2""",
+    "wn01_region_lines", "v",
+    ISLANDS + plan(40) + " select concat(chrom, ':', first - 5, '-', last + 5) as region, chunk - 1 as chunk_id from c1",
 )
 def _(t):
-    return IS.chunk_plan(_islands(t), 40).select("chrom", "chunk", "first", "last", "n")
+    plan = written(GR.chunk_plan(_islands(t), 40), "plan")
+    return GR.region_lines(GR.expect_total(plan, t.v.count()))
+
+
+#: A walk over chunks k (chrom, i, e, n, length) as a packer by span 20000 with slack 500 makes it; a row with f says what it emits.
+SPAN_WALK = """,
+k as (select chrom, row_number() over (partition by chrom order by first, last) as i, count(*) over (partition by chrom) as n, last as e, length from c1 join contigs using (chrom)),
+w as (select chrom, 0 as i, 0::bigint as begun, 0::bigint as reach, null::bigint as f, null::bigint as g from k where i = 1 union all
+  select k.chrom, k.i, case when greatest(reach, e) - begun >= 20000 then case when k.i = n then length else greatest(reach, e) end + 500 else begun end,
+    case when greatest(reach, e) - begun >= 20000 then case when k.i = n then length else greatest(reach, e) end + 500 else greatest(reach, e) end,
+    case when greatest(reach, e) - begun >= 20000 then begun end,
+    case when greatest(reach, e) - begun >= 20000 then case when k.i = n then length else greatest(reach, e) end + 500 end
+  from w join k on k.chrom = w.chrom and k.i = w.i + 1)
+select chrom, f as start, g as "end" from w where f is not null
+union all select chrom, begun, length from w join k using (chrom, i) where k.i = n and reach < length"""
+
+
+@register("wn03_pack_by_span", "v contigs", ISLANDS + plan(10) + SPAN_WALK)
+def _(t):
+    chunks = GR.chunk_plan(_islands(t), 10).select("chrom", F.col("first").alias("start"), F.col("last").alias("end"))
+    return GR.pack_by_span(chunks, t.contigs, 20000, 500)
 
 
-@register("wn03_pack_by_span", "v")
+@register(
+    "wn06_chunk_bounds", "v",
+    """, f as (select chrom, pos - 1 as start, pos + svlen % 97 * 2 as e from v),
+o as (select *, max(e) over (partition by chrom order by start, e rows between unbounded preceding and 1 preceding) as reach from f),
+i as (select *, sum(case when reach is null or start > reach + 10 then 1 else 0 end) over (partition by chrom order by start, e) as island from o)
+select chrom, min(start) as start, max(e) as "end", count(*) as n from i group by chrom, island""",
+)
 def _(t):
-    chunks = IS.chunk_plan(_islands(t), 10).select("chrom", F.col("first").alias("start"), F.col("last").alias("end"))
-    return IS.pack_by_span(chunks, t.contigs, 20000, 500)
+    return GR.chunk_bounds(t.v.select("chrom", (F.col("pos") - 1).alias("start"), (F.col("pos") + F.col("svlen") % 97 * 2).alias("end")), 10)
 
 
 @register(
@@ -374,7 +429,8 @@ r as (select *, sum(new) over (partition by user_id order by ts, event_id rows u
 select user_id, event_type, run, min(event_id) as first, max(event_id) as last, count(*) as n from r group by 1, 2, 3""",
 )
 def _(t):
-    return IS.label_runs(t.labelled, ["user_id"], ["ts", "event_id"], "event_type", "event_id")
+    timed = t.labelled.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return IS.label_runs(timed, ["user_id"], ["at", "event_id"], "event_type", "event_id", block=86_400_000_000)
 
 
 @register(
@@ -438,18 +494,25 @@ def _(t):
 
 @register("wn18_collapse", "v")
 def _(t):
-    v = t.v.where("svtype = 'DEL'")
-    return collapse(v, similar_pairs(v, 100, 0.9), written)
+    return collapse(t.v, similar_pairs(t.v, 100, 0.9), written)
 
 
 @register(
     "wn18_similar_pairs", "v",
-    """, d as (select * from v where svtype = 'DEL')
-select a.id as better, b.id as worse from d a join d b on a.chrom = b.chrom and abs(a.pos - b.pos) <= 100 and least(a.svlen, b.svlen) / greatest(a.svlen, b.svlen) >= 0.9
+    """select a.id as better, b.id as worse from v a join v b on a.chrom = b.chrom and a.svtype = b.svtype and abs(a.pos - b.pos) <= 100 and least(a.svlen, b.svlen) / greatest(a.svlen, b.svlen) >= 0.9
 where (-a.qual, a.pos, a.id) < (-b.qual, b.pos, b.id)""",
 )
 def _(t):
-    return similar_pairs(t.v.where("svtype = 'DEL'"), 100, 0.9)
+    return similar_pairs(t.v, 100, 0.9)
+
+
+@register(
+    "wn18_similar_sequences", "alleles",
+    f"""select s.id as better, t.id as worse from alleles s join alleles t on s.chrom = t.chrom and s.svtype = t.svtype and abs(s.pos - t.pos) <= 100 and least(s.svlen, t.svlen) / greatest(s.svlen, t.svlen) >= 0.9
+where (-s.qual, s.pos, s.id) < (-t.qual, t.pos, t.id) and {SEQUENCES}""",
+)
+def _(t):
+    return similar_pairs(t.alleles, 100, 0.9, 0.9)
 
 
 @register(
