@@ -22,23 +22,32 @@ def has_info_field(info: Column, key: str) -> Column:
 def delete_info_field(info: Column, key: str) -> Column:
     """info without the key and its separator; '.' when nothing is left."""
     left = F.array_join(F.filter(F.split(info, ";"), lambda kv: ~kv.startswith(f"{key}=")), ";")
-    return F.when(left == "", ".").otherwise(left)
+    return F.coalesce(F.nullif(left, F.lit("")), F.when(info.isNotNull(), "."))
+
+
+def _with_value(info: Column, value: Column, use) -> Column:
+    """use(info, value), both computed once: names for them inside use, or nested rewrites would copy their input at each use."""
+    bound = F.array(F.struct(info.alias("info"), value.alias("value")))
+    return F.get(F.transform(bound, lambda b: use(b["info"], b["value"])), F.lit(0))
+
+
+def _replaced(info: Column, key: str, value: Column) -> Column:
+    return F.array_join(F.transform(F.split(info, ";"), lambda kv: F.when(kv.startswith(f"{key}="), F.concat(F.lit(f"{key}="), value)).otherwise(kv)), ";")
 
 
 def replace_info_field(info: Column, key: str, value: Column) -> Column:
     """The key's value replaced in its place, if it is there; else info as it is."""
-    parts = F.transform(F.split(info, ";"), lambda kv: F.when(kv.startswith(f"{key}="), F.concat(F.lit(f"{key}="), value)).otherwise(kv))
-    return F.when(has_info_field(info, key), F.array_join(parts, ";")).otherwise(info)
+    return _with_value(info, value, lambda i, v: F.when(has_info_field(i, key), _replaced(i, key, v)).otherwise(i))
 
 
 def set_info_field(info: Column, key: str, value: Column) -> Column:
     """Replaced in its place, or appended; '.' gives way."""
-    new = F.concat(F.lit(f"{key}="), value)
-    return (
-        F.when(info == ".", new)
-        .when(has_info_field(info, key), replace_info_field(info, key, value))
-        .otherwise(F.concat_ws(";", info, new))
-    )
+
+    def use(i: Column, v: Column) -> Column:
+        new = F.concat(F.lit(f"{key}="), v)
+        return F.when(i == ".", new).when(has_info_field(i, key), _replaced(i, key, v)).otherwise(F.concat_ws(";", i, new))
+
+    return _with_value(info, value, use)
 
 
 def info_map(info: Column) -> Column:

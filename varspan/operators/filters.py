@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from varspan.functions import genotypes as G
 
-#: The types and families that count as structural variants.
-SV_TYPES = (
-    "DEL", "DEL:ME", "INS", "INS:ME", "INS:NOVEL", "DUP", "DUP:TANDEM", "DUP:INT", "INV", "INVDUP", "CNV", "BND",
-)
+#: The types that count as structural variants.
+SV_TYPES = ("DEL", "DEL:ME", "INV", "DUP", "DUP:TANDEM", "DUP:INT", "INS", "INS:ME", "INS:NOVEL")
 
 
 def length_between(df: DataFrame, least: int, most: int) -> DataFrame:
@@ -50,9 +48,9 @@ def by_frequency(df: DataFrame, samples: int, share: float) -> DataFrame:
 
 
 def by_class(df: DataFrame, least: int) -> DataFrame:
-    """route: 'sv' for known types of `least` bases or more, 'small' for the rest."""
-    sv = F.col("svtype").isin(*SV_TYPES) & (F.abs("svlen") >= least)
-    return df.withColumn("route", F.when(sv, "sv").otherwise("small"))
+    """route: 'sv' for known types (in any case) of `least` bases or more, 'small' for the rest."""
+    sv = F.upper("svtype").isin(*SV_TYPES) & (F.abs("svlen") >= least)
+    return df.withColumn("route", F.when(F.coalesce(sv, F.lit(False)), "sv").otherwise("small"))
 
 
 def usable_reads(reads: DataFrame, least_mapq: int, mask: int, window: int) -> DataFrame:

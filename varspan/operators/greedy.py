@@ -16,13 +16,16 @@ from varspan.operators.intervals import overlap_join
 from varspan.operators.scan import previous_value, running_max_before, running_sum
 from varspan.shared import written
 
+#: The node that stands for a contig's start; pieces have numbers from 0 up.
+START = -1
+
 
 def next_breaks(pieces: DataFrame, start: Column, target: Column) -> DataFrame:
-    """chrom, node, next: for each piece, and for node 0 (the contig's start), the piece whose (low, high] holds its target.
+    """chrom, node, next: for each piece, and for START, the piece whose (low, high] holds its target.
 
-    pieces: chrom, node (1, 2, ... in order), low, high (the rising total before and after the piece). target is a piece's,
+    pieces: chrom, node (numbers that grow in order), low, high (the rising total before and after the piece). target is a piece's,
     start the contig's first one."""
-    starts = pieces.select("chrom").distinct().select("chrom", F.lit(0).cast("long").alias("node"), start.cast("long").alias("end"))
+    starts = pieces.select("chrom").distinct().select("chrom", F.lit(START).cast("long").alias("node"), start.cast("long").alias("end"))
     goals = starts.unionByName(pieces.select("chrom", F.col("node").cast("long").alias("node"), target.cast("long").alias("end")))
     goals = goals.withColumn("start", F.col("end") - 1)
     steps = pieces.where("high > low").select("chrom", F.col("low").cast("long").alias("start"), F.col("high").cast("long").alias("end"), "node")
@@ -30,9 +33,9 @@ def next_breaks(pieces: DataFrame, start: Column, target: Column) -> DataFrame:
 
 
 def followed(links: DataFrame) -> DataFrame:
-    """chrom, node: what links (chrom, node, next; nodes grow along them) reach from node 0, itself left out."""
+    """chrom, node: what links (chrom, node, next; nodes grow along them) reach from START, itself left out."""
     hops = written(links, "greedy-hops")
-    seen = written(hops.where("node = 0").select("chrom", F.col("next").alias("node")), "greedy-breaks")
+    seen = written(hops.where(F.col("node") == START).select("chrom", F.col("next").alias("node")), "greedy-breaks")
     while True:
         ahead = written(seen.join(hops, ["chrom", "node"]).select("chrom", F.col("next").alias("node")), "greedy-ahead")
         if ahead.isEmpty():
@@ -44,7 +47,7 @@ def followed(links: DataFrame) -> DataFrame:
 
 def chunk_plan(totals: DataFrame, least: int) -> DataFrame:
     """Chunks of whole islands with `least` records or more (a contig's last one may have fewer): chrom, chunk, first, last, n.
-    totals: chrom, island (1, 2, ... in order), first, last, n."""
+    totals: chrom, island (numbers from 0 up, in order), first, last, n."""
     totals = running_sum(totals, ["chrom"], "island", [], F.col("n"), "high")
     pieces = totals.select("chrom", F.col("island").alias("node"), (F.col("high") - F.col("n")).alias("low"), "high")
     breaks = followed(next_breaks(pieces, F.lit(least), F.col("high") + least)).select("chrom", F.col("node").alias("island"), F.lit(1).alias("_ends"))

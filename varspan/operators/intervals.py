@@ -130,31 +130,23 @@ def tiles(contigs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def coverage_bins(df: DataFrame, contigs: DataFrame, parts: int, flank: int) -> DataFrame:
-    """Bins of each interval (id, chrom, start, end): `parts` inner ones, before, left and right of the edges, after;
-    clamped to the contig. bin is 0 before, 1 to parts inside, parts + 1 left, parts + 2 right, parts + 3 after."""
-    step = (F.col("end") - F.col("start")) / parts
-    inner = [
-        F.struct((F.lit(i + 1)).alias("bin"), F.floor(F.col("start") + step * i).alias("lo"), F.floor(F.col("start") + step * (i + 1)).alias("hi"))
-        for i in range(parts)
-    ]
-    half = flank // 2
-    outer = [
-        F.struct(F.lit(n).alias("bin"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
-        for n, lo, hi in (
-            (0, F.col("start") - flank, F.col("start")),
-            (parts + 1, F.col("start") - half, F.col("start") + half),
-            (parts + 2, F.col("end") - half, F.col("end") + half),
-            (parts + 3, F.col("end"), F.col("end") + flank),
-        )
-    ]
+def coverage_bins(df: DataFrame, contigs: DataFrame, parts: int, width: int) -> DataFrame:
+    """Bins of each interval (id, chrom, pos, svlen): 'bin0' to 'bin<parts - 1>' inside, 'before' and 'after' of one part's
+    length, 'left' and 'right' of `width` bases around the edges; clamped to the contig, none left out (so those off it are
+    empty). Without parts the two edges alone. chrom, start, end, name ('id_bin')."""
+    pos, size = F.col("pos").cast("long"), F.col("svlen").cast("long")
+    half = width // 2
+    edges = [("left", pos - half, pos - half + width), ("right", pos + size - half, pos + size - half + width)]
+    inner = []
+    if parts:
+        quantum = F.call_function("div", size, F.lit(parts))
+        inner = [("before", pos - quantum, pos), ("after", pos + size, pos + size + quantum)]
+        inner += [(f"bin{i}", pos + F.call_function("div", size * i, F.lit(parts)), pos + F.call_function("div", size * (i + 1), F.lit(parts))) for i in range(parts)]
+    bins = [F.struct(F.lit(name).alias("bin"), lo.alias("lo"), hi.alias("hi")) for name, lo, hi in (*edges, *inner)]
     sizes = contigs.select("chrom", F.col("length").alias("_length"))
-    return (
-        df.join(sizes, "chrom")
-        .select("id", "chrom", "_length", F.inline(F.array(*inner, *outer)))
-        .select("id", "chrom", "bin", F.greatest("lo", F.lit(0)).alias("start"), F.least("hi", "_length").alias("end"))
-        .where("start < end")
-    )
+    found = df.join(sizes, "chrom").select("id", "chrom", "_length", F.inline(F.array(*bins)))
+    name = F.concat_ws("_", F.col("id").cast("string"), "bin")
+    return found.select("chrom", F.greatest("lo", F.lit(0)).alias("start"), F.least("hi", "_length").alias("end"), name.alias("name"))
 
 
 def around(df: DataFrame, contigs: DataFrame, slack: int) -> DataFrame:

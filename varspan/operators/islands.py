@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varspan.operators.filters import standard_chromosome
 from varspan.operators.scan import BLOCK, previous_value, running_max_before, running_sum
 
 
@@ -48,17 +49,20 @@ def isolated_ends(df: DataFrame, distance: int) -> DataFrame:
 
 
 def concordance(df: DataFrame, distance: int) -> DataFrame:
-    """Alignments of a read (read_id, read_pos, chrom, strand, pos): class 0 on the read's modal contig and strand and
-    near both neighbours, 1 modal but far from one, 2 modal contig only, 3 elsewhere. Ties go to the least name."""
+    """Alignments of a read (read_id, read_first, read_last, chrom, strand), with class: 0 on the read's modal contig and strand
+    and near both neighbours, 1 modal but far from one, 2 modal contig only, 3 elsewhere. Distances are between the places
+    in the read; a neighbour on another contig or strand is not far. Ties of the mode go to the least name; reads whose modal
+    contig is no standard chromosome are left out."""
     counts = df.groupBy("read_id", "chrom", "strand").agg(F.count("*").alias("n"))
     modal = counts.groupBy("read_id").agg(F.min_by(F.struct("chrom", "strand"), F.struct(-F.col("n"), "chrom", "strand")).alias("m"))
-    w = Window.partitionBy("read_id").orderBy("read_pos", "pos")
+    w = Window.partitionBy("read_id").orderBy("read_first", "read_last", "chrom")
 
-    def far(step) -> Column:
-        other = step("pos").over(w)
-        return other.isNotNull() & (step("chrom").over(w).eqNullSafe(F.col("chrom"))) & (F.abs(other - F.col("pos")) > distance)
+    def far(step, gap: Column) -> Column:
+        same = step("chrom").over(w).eqNullSafe(F.col("chrom")) & step("strand").over(w).eqNullSafe(F.col("strand"))
+        return F.coalesce(same & (F.abs(gap) > distance), F.lit(False))
 
-    out = df.join(modal, "read_id").withColumn("far", far(F.lag) | far(F.lead))
+    before, after = F.col("read_first") - F.lag("read_last").over(w), F.lead("read_first").over(w) - F.col("read_last")
+    out = df.join(modal.where(standard_chromosome(F.col("m.chrom"))), "read_id").withColumn("far", far(F.lag, before) | far(F.lead, after))
     same_chrom, same = F.col("chrom") == F.col("m.chrom"), F.col("strand") == F.col("m.strand")
     return out.withColumn("class", F.when(~same_chrom, 3).when(~same, 2).when(F.col("far"), 1).otherwise(0)).drop("m", "far")
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varspan.functions.alleles import length_similarity
+from varspan.functions.info import set_info_field
 from varspan.functions.similarity import may_be_similar, own_sequence, similar
 from varspan.operators.intervals import overlap_join
+from varspan.operators.rewrite import chromosome_number
 
 
 def points(df: DataFrame, chrom: str, pos: str, keep: list[str]) -> DataFrame:
@@ -62,12 +64,27 @@ def single_matches(pairs: DataFrame, side: str) -> DataFrame:
 
 
 def first_gap(ins: DataFrame, gaps: DataFrame, slack: int, ratio: float) -> DataFrame:
-    """For each insertion the first gap within slack that its length covers by ratio: id, start, end."""
-    pairs = overlap_join(points(ins, "chrom", "pos", ["id", "svlen"]), gaps.select("chrom", "start", "end"), slack)
-    good = pairs.where(F.col("a_svlen") >= ratio * (F.col("b_end") - F.col("b_start")))
+    """For each insertion the first gap from slack before its start to slack behind its end (both included) whose length the
+    insertion's covers by ratio: id, start, end."""
+    pairs = overlap_join(points(ins, "chrom", "pos", ["id", "svlen"]), gaps.select("chrom", "start", "end"), slack + 1)
+    near_gap = F.col("a_start").between(F.col("b_start") - slack, F.col("b_end") + slack)
+    good = pairs.where(near_gap & (F.col("a_svlen") >= ratio * (F.col("b_end") - F.col("b_start"))))
     return good.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct("b_start", "b_end")).alias("g")).select("id", F.col("g.b_start").alias("start"), F.col("g.b_end").alias("end"))
 
 
+def gaps_to_duplications(ins: DataFrame, gaps: DataFrame, slack: int, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """(duplications, insertions): insertions (chrom, pos, id, alt, qual, info; svlen) that first_gap finds a gap for become the
+    gap's duplication, and remember in INFO what they were; the others stay. Contigs that are no standard chromosomes have no gaps."""
+    own = gaps.where(chromosome_number(F.col("chrom")).isNotNull())
+    found = first_gap(ins, own, slack, ratio).select("id", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    info = F.col("info")
+    for field, value in (("SVLEN", (F.col("_end") - F.col("_start")).cast("string")), ("SVTYPE", F.lit("DUP")), ("END", F.col("_end").cast("string"))):
+        info = set_info_field(info, field, value)
+    kept = F.concat(info, F.lit(";INS_POS="), F.col("pos").cast("string"), F.lit(";INS_ALT="), "alt", F.lit(";INS_QUAL="), F.coalesce(F.col("qual").cast("string"), F.lit(".")))
+    dups = ins.join(found, "id").withColumns({"info": kept, "pos": F.col("_start"), "alt": F.lit("<DUP>"), "svlen": F.col("_end") - F.col("_start")})
+    return dups.select(*ins.columns), ins.join(found, "id", "left_anti")
+
+
 def truth_candidates(
     base: DataFrame, comp: DataFrame, distance: int, size: float, sequence: float | None = None, overlap: float = 0.0, both_ends: bool = False
 ) -> DataFrame:

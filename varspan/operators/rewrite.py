@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from varspan.functions import alleles as A
 from varspan.functions import genotypes as G
 from varspan.functions import sequence as S
-from varspan.functions.info import has_info_field, info_field, replace_info_field, set_info_field
+from varspan.functions.info import delete_info_field, has_info_field, info_field, replace_info_field, set_info_field
 
 SIZED = ("DEL", "INV", "DUP", "CNV")
 
@@ -36,13 +36,13 @@ def add_type_and_length(df: DataFrame) -> DataFrame:
 
 
 def length_into_alt(df: DataFrame, with_insertions: bool = False) -> DataFrame:
-    """'<DEL>' becomes '<DEL-length>'; rows without SVLEN, and types that aren't sized, stay."""
-    types = (*SIZED, "INS") if with_insertions else SIZED
-    size = F.abs(info_field(F.col("info"), "SVLEN").try_cast("int"))
-    kind = F.substring("alt", 2, 3)
-    return df.withColumn(
-        "alt", F.when(F.col("alt").startswith("<") & kind.isin(*types) & size.isNotNull(), F.concat(F.lit("<"), kind, F.lit("-"), size, F.lit(">"))).otherwise(F.col("alt"))
-    )
+    """A symbolic ALT becomes '<TYPE-SVLEN>', type and length (its sign too) as INFO has them; records without SVLEN, and of
+    types that aren't sized, stay."""
+    types = ("DEL", "INV", "DUP", "INS", "CNV") if with_insertions else SIZED
+    kind = F.coalesce(*[F.when(F.contains("info", F.lit(f"SVTYPE={t}")), F.lit(t)) for t in types])
+    size = info_field(F.col("info"), "SVLEN").try_cast("int")
+    sized = F.col("alt").startswith("<") & kind.isNotNull() & size.isNotNull()
+    return df.withColumn("alt", F.when(sized, F.concat(F.lit("<"), kind, F.lit("-"), size.cast("string"), F.lit(">"))).otherwise(F.col("alt")))
 
 
 def length_out_of_alt(df: DataFrame) -> DataFrame:
@@ -56,16 +56,17 @@ def fix_replacement_length(df: DataFrame) -> DataFrame:
 
 
 def fit_to_contigs(df: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Drops records off their contig, and symbolic ones that reach over its end (insertions apart); sets END; strips
-    lengths from ALT; upper case. contigs: chrom, length. svlen must be there."""
+    """Drops records off their contig, and symbolic ones that reach over its end (insertions apart); strips lengths from ALT;
+    upper case. END is set on every record: where symbolic ones end, else (insertions too) POS. contigs: chrom, length. svlen
+    must be there."""
     sizes = contigs.select("chrom", F.col("length").alias("_length"))
-    end = F.when(F.col("alt").startswith("<INS"), F.col("pos")).otherwise(F.col("pos") + F.col("svlen"))
-    symbolic = F.col("alt").startswith("<")
+    symbolic = F.col("alt").startswith("<") & ~F.upper("alt").startswith("<INS")
+    end = F.when(symbolic, F.col("pos") + F.col("svlen")).otherwise(F.col("pos"))
     return (
         length_out_of_alt(df.join(sizes, "chrom"))
         .where("pos between 1 and _length")
-        .where(~(symbolic & ~F.col("alt").startswith("<INS") & (F.col("pos") + F.col("svlen") > F.col("_length"))))
-        .withColumns({"info": F.when(symbolic, set_info_field(F.col("info"), "END", end.cast("string"))).otherwise(F.col("info")), "ref": F.upper("ref"), "alt": F.upper("alt")})
+        .where(~(symbolic & (F.col("pos") + F.col("svlen") > F.col("_length"))))
+        .withColumns({"info": set_info_field(F.col("info"), "END", end.cast("string")), "ref": F.upper("ref"), "alt": F.upper("alt")})
         .drop("_length")
     )
 
@@ -96,10 +97,10 @@ def clean_alleles(df: DataFrame, qual: float) -> DataFrame:
 
 
 def clean_breakends(df: DataFrame, qual: float) -> DataFrame:
-    """As clean_alleles, but inside the brackets the mate's name stays as it is."""
+    """Upper case but for the mate inside the brackets (other letters stay), one QUAL, FILTER PASS."""
     parts = [F.regexp_extract("alt", r"^([^\[\]]*)([\[\]].*[\[\]])([^\[\]]*)$", i) for i in (1, 2, 3)]
-    alt = F.when(F.col("alt").rlike(r"[\[\]]"), F.concat(S.clean_sequence(parts[0]), parts[1], S.clean_sequence(parts[2]))).otherwise(F.col("alt"))
-    return clean_quality(df.withColumns({"ref": S.clean_sequence(F.col("ref")), "alt": alt}), qual)
+    alt = F.when(F.col("alt").rlike(r"[\[\]]"), F.concat(F.upper(parts[0]), parts[1], F.upper(parts[2]))).otherwise(F.col("alt"))
+    return clean_quality(df.withColumns({"ref": F.upper("ref"), "alt": alt}), qual)
 
 
 def id_into_alt(df: DataFrame) -> DataFrame:
@@ -120,8 +121,9 @@ def mate_parity(chrom1: Column, chrom2: Column) -> Column:
 
 
 def drop_orientation(df: DataFrame) -> DataFrame:
-    """Every breakend as base, mate, '[': the orientation is forgotten."""
-    return df.withColumn("alt", F.regexp_replace("alt", r"^.*?[\[\]](.+:[0-9]+)[\[\]].*$", "A[$1["))
+    """Every breakend as bases, mate, '[', whatever its brackets and side: the orientation is forgotten."""
+    turned = F.translate("alt", "]", "[")
+    return df.withColumn("alt", F.when(turned.startswith("["), F.regexp_replace(turned, r"^(\[[^\[]*\[)(.*)$", "$2$1")).otherwise(turned))
 
 
 def symmetrize(df: DataFrame) -> DataFrame:
@@ -150,19 +152,23 @@ def force_duplication(df: DataFrame) -> DataFrame:
 
 
 def restore_insertions(df: DataFrame) -> DataFrame:
-    """Duplications made from insertions become these again, from INS_POS, INS_ALT, INS_SVLEN, INS_QUAL in info; where
-    the duplication was is kept in INSDUP_POS and INSDUP_SVLEN; the helper fields go."""
+    """Duplications made from insertions (INSDUP in info) become these again, from INS_POS, INS_ALT, INS_SVLEN (else the length
+    of INS_ALT) and INS_QUAL, with type, length and END of the insertion; where the duplication was is kept in INSDUP_POS and
+    INSDUP_SVLEN; the helper fields go."""
     info = F.col("info")
-    was = has_info_field(info, "INS_POS")
-    helpers = ("INS_POS=", "INS_ALT=", "INS_SVLEN=", "INS_QUAL=")
-    fields = F.filter(F.split(info, ";"), lambda kv: ~F.regexp_substr(kv, F.lit("^[^=]*=?")).isin(*helpers))
-    own = F.transform(fields, lambda kv: F.when(kv.startswith("SVLEN="), F.concat(F.lit("SVLEN="), info_field(info, "INS_SVLEN"))).otherwise(kv))
-    place = F.array(F.concat(F.lit("INSDUP_POS="), "pos"), F.concat(F.lit("INSDUP_SVLEN="), F.coalesce(info_field(info, "SVLEN"), F.lit("."))))
-    kept = F.array_join(F.concat(own, place), ";")
+    was = F.contains(info, F.lit("INSDUP"))
+    alt, place = info_field(info, "INS_ALT"), info_field(info, "INS_POS")
+    kept = info
+    for field in ("INS_POS", "INS_ALT", "INS_QUAL", "INS_SVLEN"):
+        kept = delete_info_field(kept, field)
+    length = F.coalesce(info_field(info, "INS_SVLEN"), F.length(alt).cast("string"))
+    for field, value in (("SVTYPE", F.lit("INS")), ("SVLEN", length), ("END", place)):
+        kept = set_info_field(kept, field, value)
+    kept = F.concat(kept, F.lit(";INSDUP_POS="), F.col("pos").cast("string"), F.lit(";INSDUP_SVLEN="), F.coalesce(info_field(info, "SVLEN"), F.lit(".")))
     return df.withColumns(
         {
-            "pos": F.when(was, info_field(info, "INS_POS").try_cast("int")).otherwise(F.col("pos")),
-            "alt": F.when(was, info_field(info, "INS_ALT")).otherwise(F.col("alt")),
+            "pos": F.when(was, place.try_cast("int")).otherwise(F.col("pos")),
+            "alt": F.when(was, alt).otherwise(F.col("alt")),
             "qual": F.when(was, info_field(info, "INS_QUAL").try_cast("double")).otherwise(F.col("qual")),
             "info": F.when(was, kept).otherwise(info),
         }
@@ -177,46 +183,56 @@ def intervals_to_records(bed: DataFrame, svtype: str) -> DataFrame:
 
 
 def assembly_calls(df: DataFrame, least: int) -> DataFrame:
-    """Passing calls whose alleles differ by `least` bases or more, info rewritten to type and length."""
+    """Passing calls whose alleles differ by `least` bases or more: FILTER PASS, info rewritten to type and length (alleles of
+    one length keep theirs)."""
     diff = F.length("alt") - F.length("ref")
     kind = F.when(diff > 0, "INS").when(diff < 0, "DEL").otherwise("SUB")
     return (
-        df.where(F.col("filter").isin(".", "PASS") & (F.abs(diff) >= least))
-        .withColumns({"svtype": kind, "svlen": F.abs(diff)})
-        .withColumn("info", F.concat(F.lit("SVTYPE="), "svtype", F.lit(";SVLEN="), "svlen"))
+        df.where((F.col("filter") == ".") | (F.upper("filter") == "PASS"))
+        .where(F.abs(diff) >= least)
+        .withColumns({"svtype": kind, "svlen": F.abs(diff), "filter": F.lit("PASS")})
+        .withColumn("info", F.when(F.col("svtype") == "SUB", F.col("info")).otherwise(F.concat(F.lit("SVTYPE="), "svtype", F.lit(";SVLEN="), "svlen")))
     )
 
 
-def materialize(df: DataFrame, blocks: DataFrame, block_size: int) -> DataFrame:
-    """Sequences of symbolic DEL, INV, DUP from reference blocks (chrom, block, seq; block_size bases each): DEL gets its
-    REF, INV its reverse complement, DUP becomes an insertion of the copy. Other symbolic records and those off the
-    contig are dropped. Only records travel to their blocks; no task holds a contig."""
-    symbolic = df.where(F.col("svtype").isin("DEL", "INV", "DUP") & F.col("alt").startswith("<") & (F.col("svlen") > 0))
-    spans = symbolic.withColumn(
-        "block", F.explode(F.sequence(((F.col("pos") - 1) / block_size).cast("int"), ((F.col("pos") + F.col("svlen") - 1) / block_size).cast("int")))
-    )
-    pieces = spans.join(blocks.select("chrom", "block", "seq"), ["chrom", "block"]).withColumn(
-        "piece",
-        F.substring(
-            F.col("seq"),
-            F.greatest(F.col("pos") - 1 - F.col("block") * block_size, F.lit(0)) + 1,
-            F.least(F.col("pos") + F.col("svlen") - F.col("block") * block_size, F.lit(block_size))
-            - F.greatest(F.col("pos") - 1 - F.col("block") * block_size, F.lit(0)),
-        ),
-    )
-    key = [c for c in symbolic.columns]
-    whole = pieces.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda p: p["piece"]), "").alias("seq"))
-    whole = whole.where(F.length("seq") == F.col("svlen") + 1)
-    anchor, body = F.substring("seq", 1, 1), F.substring(F.col("seq"), F.lit(2), F.col("svlen"))
-    return whole.withColumns(
-        {
-            "ref": F.when(F.col("svtype") == "DUP", anchor).otherwise(F.col("seq")),
-            "alt": F.when(F.col("svtype") == "DEL", anchor)
-            .when(F.col("svtype") == "INV", F.concat(anchor, S.reverse_complement(body)))
-            .otherwise(F.concat(anchor, body)),
-            "svtype": F.when(F.col("svtype") == "DUP", "INS").otherwise(F.col("svtype")),
-        }
-    ).drop("seq")
+def sequences_of(spans: DataFrame, blocks: DataFrame, block_size: int) -> DataFrame:
+    """chrom, first, last, seq: the reference from first to last (1-based, inclusive) of each different span, from blocks
+    (chrom, block, seq; block_size bases each). Spans travel to their blocks; no task holds a contig. Spans off the contig
+    have no row."""
+    spans = spans.select("chrom", "first", "last").where("first >= 1 and first <= last").distinct()
+    parts = spans.withColumn("block", F.explode(F.sequence(F.floor((F.col("first") - 1) / block_size).cast("int"), F.floor((F.col("last") - 1) / block_size).cast("int"))))
+    from_base = F.greatest(F.col("first") - 1 - F.col("block") * block_size, F.lit(0))
+    to_base = F.least(F.col("last") - F.col("block") * block_size, F.lit(block_size))
+    piece = F.struct("block", F.substring(F.col("seq"), (from_base + 1).cast("int"), (to_base - from_base).cast("int")).alias("piece"))
+    whole = parts.join(blocks.select("chrom", "block", "seq"), ["chrom", "block"]).groupBy("chrom", "first", "last").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    joined = whole.select("chrom", "first", "last", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("seq"))
+    return joined.where(F.length("seq") == F.col("last") - F.col("first") + 1)
+
+
+def materialize(df: DataFrame, blocks: DataFrame, block_size: int, contigs: DataFrame) -> DataFrame:
+    """Symbolic DEL, INV, DUP (any case) with a SVLEN get their sequences from reference blocks (chrom, block, seq): a DEL its
+    REF, an INV its reverse complement, a DUP becomes an insertion of the copy, in SVTYPE and END of info (and svtype,
+    if it is there) too. Records with sequences and breakends pass, repeated rows stay repeated. Dropped: records off their
+    contig, symbolic ones of other types, without SVLEN, or over the contig's end."""
+    inside = df.join(contigs.select("chrom", F.col("length").alias("_length")), "chrom").where("pos between 1 and _length").drop("_length")
+    symbolic = F.col("alt").startswith("<")
+    kind = F.upper(F.substring("alt", 2, 3))
+    size = info_field(F.col("info"), "SVLEN").try_cast("int")
+    wanted = inside.where(symbolic & kind.isin("DEL", "INV", "DUP") & (size >= 0)).withColumns({"_last": F.col("pos") + size, "_kind": kind})
+    found = sequences_of(wanted.select("chrom", F.col("pos").alias("first"), F.col("_last").alias("last")), blocks, block_size)
+    found = found.select("chrom", F.col("first").alias("pos"), F.col("last").alias("_last"), F.col("seq").alias("_seq"))
+    seq, anchor = F.col("_seq"), F.substring("_seq", 1, 1)
+    body = F.substring(F.col("_seq"), F.lit(2), F.length("_seq"))
+    copied = F.regexp_replace("info", "SVTYPE=DUP", "SVTYPE=INS")
+    new = {
+        "ref": F.when(F.col("_kind") == "DUP", anchor).otherwise(seq),
+        "alt": F.when(F.col("_kind") == "DEL", anchor).when(F.col("_kind") == "INV", F.concat(anchor, S.reverse_complement(body))).otherwise(seq),
+        "info": F.when(F.col("_kind") == "DUP", replace_info_field(copied, "END", F.col("pos").cast("string"))).otherwise(F.col("info")),
+    }
+    if "svtype" in df.columns:
+        new["svtype"] = F.when(F.col("_kind") == "DUP", "INS").otherwise(F.col("svtype"))
+    made = wanted.join(found, ["chrom", "pos", "_last"]).withColumns(new).select(*df.columns)
+    return inside.where(~symbolic).select(*df.columns).unionByName(made)
 
 
 def correct_genotypes(df: DataFrame, least: int, both_ways: bool) -> DataFrame:

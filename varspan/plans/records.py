@@ -44,16 +44,26 @@ def _(t):
     return R.add_type_and_length(t.calls).select("id", "svtype", "svlen", "info")
 
 
-@register(
-    "pr02_length_in_alt", "calls",
-    r""", k as (select id, alt, abs(try_cast(regexp_extract(info, '(?:^|;)SVLEN=([^;]*)', 1) as int)) as n from calls),
-a as (select id, case when alt like '<%' and substr(alt, 2, 3) in ('DEL', 'INV', 'DUP', 'CNV') and n is not null
-  then concat('<', substr(alt, 2, 3), '-', n, '>') else alt end as alt from k)
-select id, alt, regexp_replace(alt, '^(<...).*$', '\1>') as back from a""",
-)
+#: Types in INFO that need not be those of ALT.
+INFO_TYPE = "concat('SVTYPE=', case cast(qual as int) % 6 when 0 then 'DEL' when 1 then 'INV' when 2 then 'DUP' when 3 then 'INS' when 4 then 'CNV' else 'BND' end, ';', info)"
+
+
+def _length_in_alt(types: str) -> str:
+    return f""", k as (select id, alt, regexp_extract(i, 'SVTYPE=([A-Z]+)', 1) as k, try_cast(regexp_extract(i, '(?:^|;)SVLEN=([^;]*)', 1) as int) as n from (select *, {INFO_TYPE} as i from calls)),
+a as (select id, case when alt like '<%' and k in ({types}) and n is not null then concat('<', k, '-', n, '>') else alt end as alt from k)
+select id, alt, case when alt like '<%' then concat(substr(alt, 1, 4), '>') else alt end as back from a"""
+
+
+@register("pr02_length_in_alt", "calls", _length_in_alt("'DEL', 'INV', 'DUP', 'CNV'"))
 def _(t):
-    long = R.length_into_alt(t.calls)
-    return long.select("id", "alt", F.regexp_replace("alt", "^(<...).*$", "$1>").alias("back"))
+    long = R.length_into_alt(t.calls.withColumn("info", F.expr(INFO_TYPE)))
+    return long.select("id", "alt").join(R.length_out_of_alt(long).select("id", F.col("alt").alias("back")), "id")
+
+
+@register("pr03_length_in_alt_with_insertions", "calls", _length_in_alt("'DEL', 'INV', 'DUP', 'INS', 'CNV'"))
+def _(t):
+    long = R.length_into_alt(t.calls.withColumn("info", F.expr(INFO_TYPE)), with_insertions=True)
+    return long.select("id", "alt").join(R.length_out_of_alt(long).select("id", F.col("alt").alias("back")), "id")
 
 
 @register(
@@ -61,7 +71,7 @@ def _(t):
     f""", {TYPED}, f as (select * exclude (info), case when regexp_full_match(ref, '[ACGTNacgtn]{{2,}}') and regexp_full_match(alt, '[ACGTNacgtn]{{2,}}')
   and regexp_matches(info, '(?:^|;)SVLEN=') then {_set('info', 'SVLEN', '(len(ref) - 1)::varchar')} else info end as info from s)
 select id, upper(ref) as ref, upper(regexp_replace(alt, '^(<...).*$', '\\1>')) as alt,
-  case when alt like '<%' then {_set('info', 'END', "(case when alt like '<INS%' then pos else pos + svlen end)::varchar")} else info end as info
+  {_set('info', 'END', "(case when alt like '<%' and alt not like '<INS%' then pos + svlen else pos end)::varchar")} as info
 from f join contigs using (chrom) where pos between 1 and length and not (alt like '<%' and alt not like '<INS%' and pos + svlen > length)""",
 )
 def _(t):
@@ -82,14 +92,15 @@ def _(t):
 
 @register(
     "pr11_clean_alleles", "calls",
-    r"""select id, regexp_replace(upper(ref), '[^ACGT]', 'N', 'g') as ref, case when alt like '<%' then alt
-  when regexp_matches(alt, '[\[\]]') then concat(regexp_replace(upper(regexp_extract(alt, '^([^\[\]]*)', 1)), '[^ACGT]', 'N', 'g'), regexp_extract(alt, '([\[\]].*[\[\]])', 1),
-    regexp_replace(upper(regexp_extract(alt, '([^\[\]]*)$', 1)), '[^ACGT]', 'N', 'g'))
-  else regexp_replace(upper(alt), '[^ACGT]', 'N', 'g') end as alt, 9.0::double as qual, 'PASS' as filter from calls""",
+    r""", c as (select * replace (case when regexp_matches(alt, '[\[\]]') then replace(alt, 'N', 'gR') else alt end as alt, case when regexp_matches(alt, '[\[\]]') then 'y' else ref end as ref) from calls)
+select id, case when regexp_matches(alt, '[\[\]]') then upper(ref) else regexp_replace(upper(ref), '[^ACGT]', 'N', 'g') end as ref, case when alt like '<%' then alt
+  when regexp_matches(alt, '[\[\]]') then concat(upper(regexp_extract(alt, '^([^\[\]]*)', 1)), regexp_extract(alt, '([\[\]].*[\[\]])', 1), upper(regexp_extract(alt, '([^\[\]]*)$', 1)))
+  else regexp_replace(upper(alt), '[^ACGT]', 'N', 'g') end as alt, 9.0::double as qual, 'PASS' as filter from c""",
 )
 def _(t):
     bnd = F.col("alt").rlike(r"[\[\]]")
-    out = R.clean_alleles(t.calls.where(~bnd), 9).unionByName(R.clean_breakends(t.calls.where(bnd), 9))
+    ends = t.calls.where(bnd).withColumns({"ref": F.lit("y"), "alt": F.expr("replace(alt, 'N', 'gR')")})
+    out = R.clean_alleles(t.calls.where(~bnd), 9).unionByName(R.clean_breakends(ends, 9))
     return out.select("id", "ref", "alt", "qual", "filter")
 
 
@@ -116,12 +127,17 @@ def _(t):
     return R.symmetrize(t.calls.where(F.col("alt").rlike(r"[\[\]]"))).select("id", "chrom", "pos", "ref", "alt", "info")
 
 
+#: Breakends of one base and of several.
+MORE_BASES = "replace(alt, 'N', case when cast(qual as int) % 2 = 0 then 'gT' else 'A' end)"
+
+
 @register(
     "pr14_drop_orientation", "calls",
-    f""", {BND} select id, concat('A[', mc, ':', mp, '[') as alt from b""",
+    f""", {BND}, p as (select id, string_split(replace({MORE_BASES}, ']', '['), '[') as p from b)
+select id, concat(p[1], p[3], '[', p[2], '[') as alt from p""",
 )
 def _(t):
-    return R.drop_orientation(t.calls.where(F.col("alt").rlike(r"[\[\]]"))).select("id", "alt")
+    return R.drop_orientation(t.calls.where(F.col("alt").rlike(r"[\[\]]")).withColumn("alt", F.expr(MORE_BASES))).select("id", "alt")
 
 
 @register(
@@ -135,15 +151,20 @@ def _(t):
     return there.join(back, "id")
 
 
+#: A duplication that was an insertion, with and without the insertion's length; others have a place but no mark.
+WAS_INSERTION = """case when svtype = 'INS' then concat('SVTYPE=DUP;SVLEN=', cast(svlen as string), ';END=', cast(pos + svlen as string), ';INSDUP;INS_POS=', cast(pos - 5 as string), ';INS_ALT=ACG;K=1;',
+  case when line % 2 = 0 then 'INS_SVLEN=7;' else '' end, 'INS_QUAL=3') else concat('SVLEN=', cast(svlen as string), ';INS_POS=4') end"""
+
+
 @register(
     "pr18_restore_insertions", "v",
-    """select id, case when svtype = 'INS' then pos - 5 else pos end as pos, case when svtype = 'INS' then 'ACG' else '<DUP>' end as alt,
-  case when svtype = 'INS' then concat('SVLEN=7;K=1;INSDUP_POS=', pos, ';INSDUP_SVLEN=', svlen) else concat('SVLEN=', svlen) end as info from v""",
+    """select id, case when svtype = 'INS' then pos - 5 else pos end as pos, case when svtype = 'INS' then 'ACG' else '<DUP>' end as alt, case when svtype = 'INS' then 3.0::double else qual::double end as qual,
+  case when svtype = 'INS' then concat('SVTYPE=INS;SVLEN=', case when line % 2 = 0 then 7 else 3 end, ';END=', pos - 5, ';INSDUP;K=1;INSDUP_POS=', pos, ';INSDUP_SVLEN=', svlen)
+    else concat('SVLEN=', svlen, ';INS_POS=4') end as info from v""",
 )
 def _(t):
-    helper = F.concat(F.lit("SVLEN="), "svlen", F.lit(";INS_POS="), F.col("pos") - 5, F.lit(";INS_ALT=ACG;K=1;INS_SVLEN=7;INS_QUAL=3"))
-    v = t.v.withColumns({"alt": F.lit("<DUP>"), "info": F.when(F.col("svtype") == "INS", helper).otherwise(F.concat(F.lit("SVLEN="), "svlen"))})
-    return R.restore_insertions(v).select("id", "pos", "alt", "info")
+    v = t.v.withColumns({"alt": F.lit("<DUP>"), "info": F.expr(WAS_INSERTION), "qual": F.col("qual").cast("double")})
+    return R.restore_insertions(v).select("id", "pos", "alt", "qual", "info")
 
 
 @register(
@@ -157,11 +178,11 @@ def _(t):
 @register(
     "pr20_assembly_calls", "calls",
     """select id, case when len(alt) > len(ref) then 'INS' when len(alt) < len(ref) then 'DEL' else 'SUB' end as svtype, abs(len(alt) - len(ref)) as svlen,
-  concat('SVTYPE=', case when len(alt) > len(ref) then 'INS' when len(alt) < len(ref) then 'DEL' else 'SUB' end, ';SVLEN=', abs(len(alt) - len(ref))) as info
+  concat('SVTYPE=', case when len(alt) > len(ref) then 'INS' when len(alt) < len(ref) then 'DEL' else 'SUB' end, ';SVLEN=', abs(len(alt) - len(ref))) as info, 'PASS' as filter
 from calls where filter in ('.', 'PASS') and abs(len(alt) - len(ref)) >= 6""",
 )
 def _(t):
-    return R.assembly_calls(t.calls, 6).select("id", "svtype", "svlen", "info")
+    return R.assembly_calls(t.calls, 6).select("id", "svtype", "svlen", "info", "filter")
 
 
 @register(
@@ -221,20 +242,28 @@ def _(t):
     return R.with_coverage(R.fill_manifest(m, "bam", "gs/", ".bam", "c_custkey"), cov, "c_custkey")
 
 
+#: Records with sequences, of types that have none, without a length, in small letters.
+GIVEN_ALT = "case when line = 1 then 'AC' when line = 2 then '<CNV>' when line = 3 then concat('<', lower(svtype), '>') when line = 4 then 'N[chr1:5[' when line = 6 then '<BND>' else concat('<', svtype, '>') end"
+GIVEN_INFO = "concat('SVTYPE=', svtype, case when line = 5 then '' else concat(';SVLEN=', cast(svlen as string)) end, ';END=', cast(pos + svlen as string), ';K=1')"
+
+
 @register(
     "pr05_materialize", "v contigs",
-    """, r as (select chrom, repeat('ACGTTGCAAC', 17000)[1:length] as s from contigs),
-x as (select id, svtype, s[pos:pos] as anchor, s[pos + 1:pos + svlen] as body from v join r using (chrom) where svtype <> 'INS' and pos + svlen <= len(s))
-select id, case when svtype = 'DUP' then 'INS' else svtype end as svtype, case when svtype = 'DUP' then anchor else anchor || body end as ref,
-  case when svtype = 'DEL' then anchor else anchor || body end as alt from x""",
+    f""", g as (select *, {GIVEN_ALT} as alt, {GIVEN_INFO} as info from v union all select *, {GIVEN_ALT}, {GIVEN_INFO} from v where svlen < 200),
+x as (select g.*, length, repeat('ACGTTGCAAC', 102)[(pos - 1) % 10 + 1:(pos - 1) % 10 + 1 + svlen] as s from g join contigs using (chrom) where pos between 1 and length)
+select id, 'N' as ref, alt, info, svtype from x where alt not like '<%'
+union all select id, case when svtype = 'DUP' then s[1:1] else s end, case when svtype = 'DEL' then s[1:1] else s end,
+  case when svtype = 'DUP' then concat('SVTYPE=INS;SVLEN=', svlen, ';END=', pos, ';K=1') else info end, case when svtype = 'DUP' then 'INS' else svtype end
+from x where upper(alt) in ('<DEL>', '<DUP>') and line <> 5 and pos + svlen <= length""",
 )
 def _(t):
     size = 4096
-    whole = F.substring(F.repeat(F.lit("ACGTTGCAAC"), F.lit(17000)), F.lit(1), F.col("length"))
     blocks = t.contigs.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))))
-    blocks = blocks.select("chrom", "block", F.substring(whole, F.col("block") * size + 1, F.lit(size)).alias("seq"))
-    v = t.v.withColumns({"ref": F.lit("N"), "alt": F.concat(F.lit("<"), "svtype", F.lit(">"))})
-    return R.materialize(v, blocks, size).select("id", "svtype", "ref", "alt")
+    at = F.col("block") * size
+    blocks = blocks.select("chrom", "block", F.substring(F.repeat(F.lit("ACGTTGCAAC"), F.lit(412)), at % 10 + 1, F.least(F.lit(size), F.col("length") - at)).alias("seq"))
+    v = t.v.withColumns({"ref": F.lit("N"), "alt": F.expr(GIVEN_ALT), "info": F.expr(GIVEN_INFO)})
+    v = v.unionByName(v.where("svlen < 200"))
+    return R.materialize(v, blocks, size, t.contigs).select("id", "ref", "alt", "info", "svtype")
 
 
 @register(
@@ -330,7 +359,7 @@ def _(t):
 
 @register(
     "fl01_class_filters", "calls",
-    f""", {ANNOTATED} select svtype, case when svtype in ('DEL', 'INS', 'DUP', 'INV', 'CNV', 'BND') and abs(svlen) >= 20 then 'sv' else 'small' end as route,
+    f""", {ANNOTATED} select svtype, case when svtype in ('DEL', 'INS', 'DUP', 'INV') and abs(svlen) >= 20 then 'sv' else 'small' end as route,
   count(*) as n, count(*) filter (where len(ref) <> len(alt) and filter in ('PASS', '.')) as truth, count(*) filter (where abs(svlen) between 10 and 100) as mid,
   count(*) filter (where regexp_full_match(chrom, 'chr([1-9]|1[0-9]|2[0-2]|X|Y|M)')) as standard from a group by 1, 2""",
 )

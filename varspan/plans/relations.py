@@ -93,14 +93,15 @@ def _(t):
 
 
 @register(
-    "wn12_coverage_bins", "tr contigs",
-    """, x as (select tr.id, tr.chrom, tr.start as s, tr."end" as e, length, ("end" - start) / 4 as step from tr join contigs using (chrom)),
-b as (select id, chrom, length, unnest([0, 1, 2, 3, 4, 5, 6, 7]) as bin,
-  unnest([s - 50, s, floor(s + step), floor(s + step * 2), floor(s + step * 3), s - 25, e - 25, e]) as lo, unnest([s, floor(s + step), floor(s + step * 2), floor(s + step * 3), floor(s + step * 4), s + 25, e + 25, e + 50]) as hi from x)
-select id, chrom, bin, greatest(lo, 0)::bigint as start, least(hi, length)::bigint as "end" from b where greatest(lo, 0) < least(hi, length)""",
+    "wn12_coverage_bins", "v contigs",
+    """, x as (select id, chrom, pos, svlen, length, svlen // 6 as q from v join contigs using (chrom)),
+b as (select id, chrom, length, unnest(['before', 'left', 'bin0', 'bin1', 'bin2', 'bin3', 'bin4', 'bin5', 'right', 'after']) as bin,
+  unnest([pos - q, pos - 25, pos, pos + svlen // 6, pos + 2 * svlen // 6, pos + 3 * svlen // 6, pos + 4 * svlen // 6, pos + 5 * svlen // 6, pos + svlen - 25, pos + svlen]) as lo,
+  unnest([pos, pos + 26, pos + svlen // 6, pos + 2 * svlen // 6, pos + 3 * svlen // 6, pos + 4 * svlen // 6, pos + 5 * svlen // 6, pos + svlen, pos + svlen + 26, pos + svlen + q]) as hi from x)
+select chrom, greatest(lo, 0)::bigint as start, least(hi, length)::bigint as "end", concat(id, '_', bin) as name from b""",
 )
 def _(t):
-    return IV.coverage_bins(t.tr, t.contigs, 4, 50)
+    return IV.coverage_bins(t.v, t.contigs, 6, 51)
 
 
 @register(
@@ -160,12 +161,27 @@ def _(t):
 @register(
     "jn10_first_gap", "v tr",
     """select id, start, "end" from (select v.id, tr.start, tr."end", row_number() over (partition by v.id order by tr.start, tr."end") as k from v join tr using (chrom)
-where v.svtype = 'INS' and v.pos < tr."end" + 30 and v.pos + 1 > tr.start - 30 and v.svlen >= 2 * (tr."end" - tr.start)) where k = 1""",
+where v.svtype = 'INS' and v.pos between tr.start - 30 and tr."end" + 30 and v.svlen >= 2 * (tr."end" - tr.start)) where k = 1""",
 )
 def _(t):
     return PX.first_gap(t.v.where("svtype = 'INS'"), t.tr, 30, 2.0)
 
 
+@register(
+    "jn10_gaps_to_duplications", "v tr",
+    """, i as (select *, concat('SVTYPE=INS;SVLEN=', svlen) as info from v where svtype = 'INS'),
+f as (select i.id, tr.start, tr."end" as e, row_number() over (partition by i.id order by tr.start, tr."end") as k from i join tr using (chrom)
+  where i.pos between tr.start - 30 and tr."end" + 30 and i.svlen >= 2 * (tr."end" - tr.start))
+select 'dup' as kind, i.id, f.start as pos, '<DUP>' as alt, concat('SVTYPE=DUP;SVLEN=', e - start, ';END=', e, ';INS_POS=', i.pos, ';INS_ALT=ACGT;INS_QUAL=', i.qual) as info from i join f on i.id = f.id and k = 1
+union all select 'ins', id, pos, 'ACGT', info from i where id not in (select id from f)""",
+)
+def _(t):
+    ins = t.v.where("svtype = 'INS'").withColumns({"alt": F.lit("ACGT"), "info": F.concat(F.lit("SVTYPE=INS;SVLEN="), "svlen")})
+    dups, rest = PX.gaps_to_duplications(ins, t.tr, 30, 2.0)
+    named = [df.select(F.lit(kind).alias("kind"), "id", "pos", "alt", "info") for kind, df in (("dup", dups), ("ins", rest))]
+    return named[0].unionByName(named[1])
+
+
 CANDIDATES = """, b as (select * from v where caller = 'F'), c as (select * from v where caller = 'O'),
 m as (select b.id as base_id, c.id as comp_id, least(b.svlen, c.svlen) / greatest(b.svlen, c.svlen) as score, abs(b.pos - c.pos) as dstart, abs(b.pos + b.svlen - c.pos - c.svlen) as dend
   from b join c on b.chrom = c.chrom and b.svtype = c.svtype and abs(b.pos - c.pos) <= 100 and least(b.svlen, c.svlen) / greatest(b.svlen, c.svlen) >= 0.7)"""
@@ -448,26 +464,29 @@ def _(t):
 
 @register(
     "wn08_isolated_ends", "reads",
-    """, e as (select read_id::bigint % 997 as r, pos as first, pos + mapq as last from reads)
+    """, e as (select read_id::bigint // 32 as r, pos as first, pos + mapq as last from reads)
 select r as read_id, first, last, coalesce(first - max(last) over (partition by r order by first, last rows between unbounded preceding and 1 preceding) > 60, true) as start_alone,
   coalesce(min(first) over (partition by r order by first, last rows between 1 following and unbounded following) - last > 60, true) as end_alone from e""",
 )
 def _(t):
-    e = t.reads.select((F.col("read_id").cast("long") % 997).alias("read_id"), F.col("pos").alias("first"), (F.col("pos") + F.col("mapq")).alias("last"))
+    e = t.reads.select(F.floor(F.col("read_id").cast("long") / 32).alias("read_id"), F.col("pos").alias("first"), (F.col("pos") + F.col("mapq")).alias("last"))
     return IS.isolated_ends(e, 60)
 
 
 @register(
     "wn10_concordance", "reads",
-    """, a as (select read_id::bigint % 997 as r, read_id::bigint as q, concat('c', read_id::bigint % 3) as chrom, (flag & 16) <> 0 as strand, pos from reads),
+    """, a as (select read_id::bigint // 32 as r, read_id::bigint as q, case read_id::bigint // 2 % 5 when 0 then 'chr1' when 1 then 'chr1' when 2 then 'chr2' when 3 then 'chrUn' else 'chr1' end as chrom, (flag & 2) <> 0 as strand,
+  read_id::bigint * 37 % 1000 as f, read_id::bigint * 37 % 1000 + mapq as l from reads),
 m as (select r, chrom as mc, strand as ms from (select r, chrom, strand, count(*) as n from a group by all) qualify row_number() over (partition by r order by n desc, chrom, strand) = 1),
-w as (select *, lag(pos) over z as lp, lag(chrom) over z as lc, lead(pos) over z as np, lead(chrom) over z as nc from a window z as (partition by r order by q, pos))
-select q, case when chrom <> mc then 3 when strand <> ms then 2 when coalesce(lc = chrom and abs(lp - pos) > 900, false) or coalesce(nc = chrom and abs(np - pos) > 900, false) then 1 else 0 end as class from w join m using (r)""",
+w as (select *, lag(l) over z as pl, lag(chrom) over z as pc, lag(strand) over z as ps, lead(f) over z as nf, lead(chrom) over z as nc, lead(strand) over z as ns from a window z as (partition by r order by f))
+select q, case when chrom <> mc then 3 when strand <> ms then 2 when (pl is null or pc <> chrom or ps <> strand or abs(f - pl) <= 60) and (nf is null or nc <> chrom or ns <> strand or abs(nf - l) <= 60) then 0 else 1 end as class
+from w join m using (r) where mc <> 'chrUn'""",
 )
 def _(t):
     n = F.col("read_id").cast("long")
-    a = t.reads.select((n % 997).alias("read_id"), n.alias("read_pos"), F.concat(F.lit("c"), n % 3).alias("chrom"), (F.col("flag").bitwiseAND(16) != 0).alias("strand"), "pos")
-    return IS.concordance(a, 900).select(F.col("read_pos").alias("q"), "class")
+    chrom = F.when(F.floor(n / 2) % 5 == 2, "chr2").when(F.floor(n / 2) % 5 == 3, "chrUn").otherwise("chr1")
+    a = t.reads.select(F.floor(n / 32).alias("read_id"), n.alias("q"), (n * 37 % 1000).alias("read_first"), (n * 37 % 1000 + F.col("mapq")).alias("read_last"), chrom.alias("chrom"), (F.col("flag").bitwiseAND(2) != 0).alias("strand"))
+    return IS.concordance(a, 60).select("q", "class")
 
 
 @register(
