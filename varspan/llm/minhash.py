@@ -11,8 +11,7 @@ condition, so a dropped pair is never a row. Survivors are verified on their ful
 
 Groups are what links connect, so not all pairs of a bucket are needed. First each node meets its bucket's least node; the
 links found make components. Then, in each bucket, the nodes outside the bucket's largest component meet all nodes of other components.
-Every pair of a bucket is compared or already connected, in the first bucket that it shares: copies by the
-thousand cost a comparison each. Large buckets are dealt in blocks, so no task holds one.
+Every pair of a bucket is compared or already connected: copies by the thousand cost a comparison each. Large buckets are dealt in blocks, so no task holds one.
 
 With BANDS and ROWS as they are, a pair of similarity 0.8 shares no bucket in 5 of ten million cases.
 """
@@ -164,25 +163,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, si
     return both.where(alike).select("a", "b")
 
 
-def _across(members: DataFrame, limits: list[int], similarity: int, block_rows: int) -> DataFrame:
+def _across(members: DataFrame, sketches: DataFrame, limits: list[int], similarity: int, block_rows: int) -> DataFrame:
     """The pairs (a, b) of a bucket that are in different components and may be similar, but those with the leader, which have
-    been verified. A pair is found in the first bucket it shares. members: key, id, leader, sketch, earlier (the keys of the
-    node's bands before this one), component."""
+    been verified. members: key, id, leader, component; sketches, with id, join the rows of buckets with several components alone."""
     shares = members.groupBy("key", "component").agg(F.count("*").alias("share"))
     most = F.max(F.struct("share", "component"))
     main = shares.groupBy("key").agg(most["component"].alias("main"), F.sum("share").alias("n"), F.count("*").alias("parts"), most["share"].alias("in_main"))
     blocks = lambda n: F.ceil(n / block_rows).cast("int")
     main = main.where("parts > 1").select("key", "main", blocks(F.col("n")).alias("right_blocks"), blocks(F.col("n") - F.col("in_main")).alias("left_blocks"))
-    tagged = written(members.join(main, "key"), "minhash-open")
+    open_ = written(members.join(main, "key"), "minhash-open").join(sketches.select("id", "sketch"), "id")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    side = lambda i, x: [F.col("id").alias(i), F.col("sketch").alias(x), F.col("component").alias(f"part_{i}"), F.col("earlier").alias(f"earlier_{i}")]
-    left = tagged.where("component != main").select("key", dealt("left_blocks").alias("i"), each("right_blocks").alias("j"), *side("a", "x"), "leader")
-    right = tagged.select("key", each("left_blocks").alias("i"), dealt("right_blocks").alias("j"), *side("b", "y"), "main")
+    side = lambda i, x: [F.col("id").alias(i), F.col("sketch").alias(x), F.col("component").alias(f"part_{i}")]
+    left = open_.where("component != main").select("key", dealt("left_blocks").alias("i"), each("right_blocks").alias("j"), *side("a", "x"), "leader")
+    right = open_.select("key", each("left_blocks").alias("i"), dealt("right_blocks").alias("j"), *side("b", "y"), "main")
     once = (F.col("a") < F.col("b")) | (F.col("part_b") == F.col("main"))
     new = (F.col("part_a") != F.col("part_b")) & (F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader"))
-    first = ~F.arrays_overlap("earlier_a", "earlier_b")
-    found = left.join(right, ["key", "i", "j"]).where(new & once & _may_be_similar("x", "y", limits, similarity) & first)
+    found = left.join(right, ["key", "i", "j"]).where(new & once & _may_be_similar("x", "y", limits, similarity))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -211,11 +208,10 @@ def near_duplicates(
     sketches = written(nodes, "minhash-sketches")  # so the numbers are those of a table
 
     limits = allowed(bands, rows, similarity / 100, miss)
-    banded = sketches.select("id", "sketch", "bands", F.posexplode("bands").alias("band", "key"))
+    banded = sketches.select("id", F.explode("bands").alias("key"))
     shared = written(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("key", "leader"), "minhash-buckets")
     filters, bits = value_filter(shared, "key")
-    held = where_held(banded, "key", (written(filters, "minhash-filter"), bits)).withColumn("earlier", F.slice("bands", F.lit(1), F.col("band")))
-    members = written(held.drop("bands", "band").join(shared, "key"), "minhash-members")
+    members = written(where_held(banded, "key", (written(filters, "minhash-filter"), bits)).join(shared, "key"), "minhash-members")
 
     signed = sketches.select("id", "sketch")
     star = members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
@@ -224,7 +220,7 @@ def near_duplicates(
     links = written(_verified(star, keyed, sketches, k, similarity), "minhash-links")
 
     tagged = members.join(_rooted(links, "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = written(_across(tagged, limits, similarity, block_rows), "minhash-rest")
+    rest = written(_across(tagged, sketches, limits, similarity, block_rows), "minhash-rest")
     if not rest.isEmpty():
         links = written(links.unionByName(_verified(rest, keyed, sketches, k, similarity)), "minhash-links")
     roots = sketches.select("id", "digest", "least_id").join(_rooted(links, "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
