@@ -11,6 +11,7 @@ from varspan.functions import genotypes as G
 from varspan.functions import info as I
 from varspan.functions import sequence as S
 from varspan.operators import filters as FL
+from varspan.operators import reference as RF
 from varspan.operators import rewrite as R
 from varspan.plans.proxies import register
 
@@ -230,6 +231,51 @@ def _(t):
     return R.split_alleles(t.g.where("line != 5").withColumn("alt", F.lit("A,C"))).select("variant_id", "sample_id", "alt", "gt", "line")
 
 
+def letter(p: str) -> str:
+    """The base of a made-up reference at place p: stretches of two letters in turn, the same again after 168 bases."""
+    return f"substring('ACGT', cast((floor(floor(({p}) / 6.0) * floor(({p}) / 6.0) / 7.0) + ({p}) % 2 * 3) % 4 as int) + 1, 1)"
+
+
+def reference_blocks(t, size: int):
+    blocks = t.contigs.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))))
+    places = f"sequence(block * {size} + 1, least((block + 1) * {size}, length))"
+    return blocks.select("chrom", "block", F.expr(f"array_join(transform({places}, p -> {letter('p')}), '')").alias("seq"))
+
+
+#: Alleles that agree with the reference by chance: of one base, several, small letters, symbolic, two at once.
+ONE_REF = "case line when 1 then 'A' when 2 then 'c' when 3 then 'N' when 4 then 'ACA' when 5 then 'ga' else 'T' end"
+ONE_ALT = "case qual % 4 when 0 then 'G' when 1 then 'T,A' when 2 then '<DEL>' else 'c' end"
+
+
+@register(
+    "pr32_check_reference", "v contigs",
+    f""", r as (select *, {ONE_REF} as ref, {ONE_ALT} as alt from v),
+o as (select r.*, case when pos >= 1 and pos + len(ref) - 1 <= length then array_to_string(list_transform(range(pos, pos + len(ref)), lambda p: {letter('p')}), '') end as own,
+  {letter('pos')} as one, string_split(alt, ',') as alts from r left join contigs using (chrom)),
+s as (select *, case when own is null then 'off' when own = upper(ref) then 'same' when upper(alts[1]) = one or upper(alts[2]) = one then 'swapped' else 'set' end as state,
+  case when upper(alts[1]) = one then 1 else 2 end as k from o)
+select id, case state when 'set' then own when 'swapped' then alts[k] else ref end as ref,
+  case when state <> 'swapped' then alt when k = 1 then concat_ws(',', ref, alts[2]) else concat(alts[1], ',', ref) end as alt, state as ref_state from s""",
+)
+def _(t):
+    v = t.v.withColumns({"ref": F.expr(ONE_REF), "alt": F.expr(ONE_ALT)})
+    return RF.check_reference(v, reference_blocks(t, 4096), 4096, t.contigs).select("id", "ref", "alt", "ref_state")
+
+
+def _indels(t):
+    """Deletions and insertions of 1 to 50 bases, as the reference of records.letter has them."""
+    size = F.expr("cast(svlen / 20 as int)")
+    body = F.expr(f"array_join(transform(sequence(pos + 1, pos + cast(svlen / 20 as int)), p -> {letter('p')}), '')")
+    v = t.v.join(t.contigs, "chrom").where(F.col("pos") + size <= F.col("length")).withColumn("one", F.expr(letter("pos")))
+    long = F.concat("one", body)
+    return v.withColumns({"ref": F.when(F.col("svtype") == "INS", F.col("one")).otherwise(long), "alt": F.when(F.col("svtype") == "INS", long).otherwise(F.col("one"))})
+
+
+@register("pr32_left_align", "v contigs")  # tests hold it against a loop over each contig
+def _(t):
+    return RF.left_align(_indels(t), reference_blocks(t, 4096), 4096).select("id", "chrom", "pos", "ref", "alt")
+
+
 @register(
     "pr34_fill_manifest", "",
     """select c_custkey, case when trim(m) <> '' then m else concat('gs/', c_custkey, '.bam') end as bam, coalesce(cov, 'NA') as coverage
