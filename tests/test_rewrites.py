@@ -132,3 +132,20 @@ def test_nested_info_rewrites_stay_small(spark):
     df = spark.range(1).select(info.alias("i"))
     assert df.first().i == "K0=10;K1=11;K2=7;K3=8;K4=9"
     assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_hard_filter(spark):
+    contigs = spark.createDataFrame([("chr1", 100000), ("chrY", 90000), ("chr13", 80000), ("small", 1900), ("bare", 50000)], "chrom string, length int")
+    telomeres = [(c, 0, 100, "telomere") for c in ("chr1", "chrY", "chr13", "small")] + [(c, n - 50, n, "Telomere") for c, n in (("chr1", 100000), ("chrY", 90000), ("chr13", 80000), ("small", 1900))]
+    others = [("chr1", 39000, 42500, "heterochromatin"), ("chrY", 60000, 89000, "heterochromatin"), ("chr13", 90, 30000, "short_arm"), ("elsewhere", 5, 6, "telomere")]
+    schema = "chrom string, start int, end int, type string"
+    gaps = spark.createDataFrame(telomeres + others, schema)
+    centromeres = spark.createDataFrame([(c, 40000, 41000) for c in ("chr1", "chrY", "chr13")] + [("chr1", 40900, 42000), ("small", 900, 950)], "chrom string, start int, end int")
+    got = sorted(map(tuple, intervals.hard_filter_regions(contigs, centromeres, gaps, bases=500).collect()))
+    assert got == [
+        ("bare", 0, 50000), ("chr1", 600, 38500), ("chr1", 43000, 99450), ("chr13", 41500, 79450), ("chrY", 600, 39500), ("chrY", 41500, 59500), ("small", 0, 1900),
+    ]
+    shares = sorted(map(tuple, intervals.hard_filter_regions(contigs, centromeres, gaps, share=0.1).where("chrom = 'chr1'").collect()))
+    assert shares == [("chr1", 10100, 29000), ("chr1", 52500, 89950)]
+    with pytest.raises(Exception, match="telomere inside"):
+        intervals.hard_filter_regions(contigs, centromeres, spark.createDataFrame([("chr1", 5, 9, "telomere")], schema), bases=1).collect()

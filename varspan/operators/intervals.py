@@ -159,18 +159,34 @@ def around(df: DataFrame, contigs: DataFrame, slack: int) -> DataFrame:
     )
 
 
-def hard_filter_regions(contigs: DataFrame, centromeres: DataFrame, buffer: int, least: int) -> DataFrame:
-    """What is left of each contig without `buffer` bases at both ends and around its centromere, in pieces of `least`."""
-    c = centromeres.groupBy("chrom").agg(F.min("start").alias("c0"), F.max("end").alias("c1"))
-    arms = contigs.join(c, "chrom", "left").select(
+def hard_filter_regions(
+    contigs: DataFrame, centromeres: DataFrame, gaps: DataFrame, bases: int | None = None, share: float | None = None, least: int = 1000
+) -> DataFrame:
+    """The arms of each contig between its telomeres and its centromere, without a buffer at all four ends, in pieces of
+    `least` bases: chrom, start, end. The buffer is `bases`, or a `share` of the contig (rounded up).
+
+    gaps: chrom, start, end, type (in any case). Telomeres reach from the contig's start or to its end, or it is an error.
+    Heterochromatin and short arms widen the centromere, but on chrY heterochromatin is where the far telomere begins.
+    Contigs without all four bounds, and those shorter than four buffers, stay whole."""
+    known = gaps.join(contigs.select("chrom", F.col("length").alias("_length")), "chrom")
+    kind, first, last = F.lower("type"), F.col("start"), F.col("end")
+    off = F.when((kind == "telomere") & (first != 0) & (last != F.col("_length")), F.raise_error(F.concat(F.lit("telomere inside "), "chrom")))
+    hetero, on_y = kind == "heterochromatin", F.lower("chrom") == "chry"
+    ends = known.select(
         "chrom",
-        F.inline(
-            F.when(F.col("c0").isNull(), F.array(F.struct(F.lit(buffer).alias("start"), (F.col("length") - buffer).alias("end")))).otherwise(
-                F.array(
-                    F.struct(F.lit(buffer).alias("start"), (F.col("c0") - buffer).alias("end")),
-                    F.struct((F.col("c1") + buffer).alias("start"), (F.col("length") - buffer).alias("end")),
-                )
-            )
-        ),
+        F.when((kind == "telomere") & (first == 0), last).alias("near_end"),
+        F.when(((kind == "telomere") & (first != 0)) | (hetero & on_y), first + F.coalesce(off.cast("int"), F.lit(0))).alias("far_start"),
+        F.when((hetero & ~on_y) | (kind == "short_arm"), first).alias("c_start"),
+        F.when(hetero & ~on_y, last).alias("c_end"),
     )
-    return arms.where(F.col("end") - F.col("start") >= least)
+    nothing = F.lit(None).cast("int")
+    ends = ends.unionByName(centromeres.select("chrom", nothing.alias("near_end"), nothing.alias("far_start"), first.alias("c_start"), last.alias("c_end")))
+    bounds = ends.groupBy("chrom").agg(F.max("near_end").alias("t1"), F.min("far_start").alias("t0"), F.min("c_start").alias("c0"), F.max("c_end").alias("c1"))
+    length = F.col("length")
+    buffer = F.lit(bases) if share is None else F.ceil(length * share).cast("int")
+    full = F.col("t0").isNotNull() & F.col("t1").isNotNull() & F.col("c0").isNotNull() & F.col("c1").isNotNull() & (length >= 4 * buffer)
+    piece = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    arms = F.array(piece(F.col("t1") + buffer, F.col("c0") - buffer), piece(F.col("c1") + buffer, F.col("t0") - buffer))
+    arms = F.filter(arms, lambda x: x["end"] - x["start"] >= least)
+    pieces = F.when(full, arms).otherwise(F.array(piece(F.lit(0), length)))
+    return contigs.join(bounds, "chrom", "left").select("chrom", F.inline(pieces))

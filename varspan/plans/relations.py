@@ -112,14 +112,36 @@ def _(t):
     return IV.around(t.v, t.contigs, 75)
 
 
-@register(
-    "wn16_hard_filter", "tr contigs",
-    """, c as (select chrom, min(start) as c0, max("end") as c1 from tr where id % 50 = 0 group by chrom)
-select chrom, start, "end" from (select chrom, 500 as start, case when c0 is null then length - 500 else c0 - 500 end as "end" from contigs left join c using (chrom)
-union all select chrom, c1 + 500, length - 500 from contigs join c using (chrom)) where "end" - start >= 1000""",
-)
+#: Gaps and centromeres of contigs: telomeres at both ends (chr5 lacks one), heterochromatin, a short arm, others.
+GAPS = """select chrom, 0 as s, 300 as e, 'telomere' as type from {contigs} union all select chrom, length - 200, length, 'TELOMERE' from {contigs} where chrom <> 'chr5'
+union all select chrom, cast(floor(length * 0.4) as int) - 500, cast(floor(length * 0.4) as int) + 900, 'heterochromatin' from {contigs} where chrom in ('chr1', 'chr9')
+union all select chrom, 300, 2000, 'short_arm' from {contigs} where chrom in ('chr13', 'chr14') union all select chrom, 50, 60, 'contig' from {contigs}"""
+CENTROMERES = "select chrom, cast(floor(length * 0.4) as int) as s, cast(floor(length * 0.4) as int) + 100 as e from {contigs} union all select chrom, cast(floor(length * 0.4) as int) + 150, cast(floor(length * 0.4) as int) + 260 from {contigs}"
+
+
+def _hard_filter(buffer: str) -> str:
+    return f""", g as ({GAPS.format(contigs='contigs')}), m as ({CENTROMERES.format(contigs='contigs')}),
+b as (select chrom, length, {buffer} as buffer, (select max(e) from g where g.chrom = contigs.chrom and s = 0 and lower(type) = 'telomere') as t1, (select min(s) from g where g.chrom = contigs.chrom and s > 0 and lower(type) = 'telomere') as t0,
+  (select min(s) from (select chrom, s from m union all select chrom, s from g where type in ('heterochromatin', 'short_arm')) x where x.chrom = contigs.chrom) as c0,
+  (select max(e) from (select chrom, e from m union all select chrom, e from g where type = 'heterochromatin') x where x.chrom = contigs.chrom) as c1 from contigs)
+select chrom, 0 as start, length as "end" from b where t0 is null or length < 4 * buffer
+union all select chrom, t1 + buffer, c0 - buffer from b where t0 is not null and length >= 4 * buffer and c0 - t1 - 2 * buffer >= 1000
+union all select chrom, c1 + buffer, t0 - buffer from b where t0 is not null and length >= 4 * buffer and t0 - c1 - 2 * buffer >= 1000"""
+
+
+def _hard_filter_tables(t):
+    gaps, centromeres = (t.spark.sql(sql, contigs=t.contigs).withColumnsRenamed({"s": "start", "e": "end"}) for sql in (GAPS, CENTROMERES))
+    return t.contigs, centromeres, gaps
+
+
+@register("wn16_hard_filter", "contigs", _hard_filter("500"))
+def _(t):
+    return IV.hard_filter_regions(*_hard_filter_tables(t), bases=500)
+
+
+@register("wn16_hard_filter_share", "contigs", _hard_filter("ceil(length * 0.03)::int"))
 def _(t):
-    return IV.hard_filter_regions(t.contigs, t.tr.where("id % 50 = 0"), 500, 1000)
+    return IV.hard_filter_regions(*_hard_filter_tables(t), share=0.03)
 
 
 @register(
