@@ -149,3 +149,46 @@ def test_hard_filter(spark):
     assert shares == [("chr1", 10100, 29000), ("chr1", 52500, 89950)]
     with pytest.raises(Exception, match="telomere inside"):
         intervals.hard_filter_regions(contigs, centromeres, spark.createDataFrame([("chr1", 5, 9, "telomere")], schema), bases=1).collect()
+
+
+def plain_depth_steps(depth, known, b, ratio, top, least_step, least_median, tolerance):
+    """A walk over one window; depth: a list, positions from 0."""
+    n, ups, downs = len(depth), [], []
+    for s in range(b, n - b + 1):
+        left, right = sum(depth[s - b : s]), sum(depth[s : s + b])
+        if left >= b * least_step and right / left >= ratio:
+            ups.append((s if s == b else s - 1, left / b, right / left))
+    for s in range(n - b, b - 1, -1):
+        left, right = sum(depth[s - b : s]), sum(depth[s : s + b])
+        if right >= b * least_step and left / right >= ratio:
+            downs.append((s - 1 if s == n - b else s, right / b, left / right))
+    ups, downs = (sorted(x, key=lambda y: -y[2])[:top] if len(x) > top else x for x in (ups, downs))
+    best = None
+    for u, low1, _ in ups:
+        for d, low2, _ in downs:
+            if d <= u or any(abs(s - u) <= tolerance and abs(e - d) <= tolerance for s, e in known):
+                continue
+            median = sorted(depth[u : d + 1])[(d - u + 1) // 2]
+            if median >= least_median and median >= min(low1, low2) * ratio and (best is None or d - u > best[1] - best[0]):
+                best = (u, d, median)
+    return best
+
+
+def test_depth_steps(spark):
+    import random
+
+    rnd, rows, expected, known = random.Random(8), [], [], []
+    for w in range(12):
+        level = [10] * rnd.randrange(15, 40) + [rnd.choice([14, 25, 40])] * rnd.randrange(20, 60) + [rnd.choice([2, 10, 12])] * rnd.randrange(15, 50)
+        depth = [max(0, x + rnd.randrange(-2, 3)) for x in level]
+        mine = []
+        if w % 3 == 0 and (found := plain_depth_steps(depth, [], 6, 1.4, 8, 4, 12, 0)):
+            mine = [found[:2]]
+        known += [(w, *x) for x in mine]
+        rows += [(w, p + 500, d) for p, d in enumerate(depth)]
+        if best := plain_depth_steps(depth, mine, 6, 1.4, 8, 4, 12, 2):
+            expected.append((w, best[0] + 500, best[1] + 500, best[2]))
+    df = spark.createDataFrame(rows, "window int, pos int, depth int")
+    meis = spark.createDataFrame([(w, s + 500, e + 500) for w, s, e in known], "window int, start int, end int")
+    got = sorted(map(tuple, islands.depth_steps(df, 6, 1.4, 8, 4, 12, meis, 2).collect()))
+    assert got == expected and known and len(expected) > 4

@@ -36,13 +36,13 @@ def _binned(df: DataFrame, side: str, levels) -> DataFrame:
     return keyed.withColumnRenamed("_level", f"{side}_level")
 
 
-def _meet(x: DataFrame, y: DataFrame, also: list[str]) -> DataFrame:
+def _meet(x: DataFrame, y: DataFrame, also: tuple[str, ...]) -> DataFrame:
     same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in also]
     same += [F.col("a_chrom") == F.col("b_chrom"), F.col("a_level") == F.col("b_level"), F.col("a_bin") == F.col("b_bin")]
     return x.join(y, same).where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("a_bin") == F.greatest("a_first", "b_first")))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, slack: int = 0, also: list[str] = []) -> DataFrame:  # noqa: B006
+def overlap_join(a: DataFrame, b: DataFrame, slack: int = 0, also: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows of a and b (columns a_* and b_*; each with chrom, start, end) that share a base, or lie within
     slack bases, and agree on the columns `also`, which are keys of the join. Empty intervals overlap what holds their
     point inside. Rows with a null bound match nothing."""

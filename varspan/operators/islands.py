@@ -77,19 +77,40 @@ def neighbours(df: DataFrame, distance: int, block: int = 1 << 16) -> DataFrame:
     return df.join(around, ["chrom", "pos"]).withColumn("n_neighbours", F.col("_around") - 1).drop("_around")
 
 
-def depth_steps(depth: DataFrame, bases: int, ratio: float, top: int, least_median: float) -> DataFrame:
-    """The longest interval between a depth step up and a later step down, per window (window, pos, depth): steps are the
-    `top` positions by ratio of mean depths on both sides; the interval's median depth must reach least_median."""
+def depth_steps(
+    depth: DataFrame, bases: int, ratio: float, top: int, least_step: float, least_median: float, known: DataFrame | None = None, tolerance: int = 0
+) -> DataFrame:
+    """The longest interval between a step up and a later step down of the depth, in each window: window, up_pos, down_pos,
+    median. depth: window, pos (each once, without holes), depth.
+
+    A step is where the mean depths of `bases` positions on both sides differ by `ratio` or more, the lower one at least
+    least_step; the `top` steps of each kind by ratio are tried (all, if not more). An interval's upper median must reach
+    least_median, and the lower of its two outer means times the ratio. Intervals whose both ends lie within `tolerance` of a
+    known one's (window, start, end) are left out. A step up is at the last position before it and a step down at the first one
+    behind it, but at the window's first and last place of a step it is inside. Of equal lengths the better steps come first."""
     w = Window.partitionBy("window").orderBy("pos")
-    left, right = F.avg("depth").over(w.rowsBetween(-bases, -1)), F.avg("depth").over(w.rowsBetween(0, bases - 1))
-    sided = depth.withColumns({"l": left, "r": right, "seen": F.count("*").over(w.rowsBetween(-bases, bases - 1))}).where(F.col("seen") == 2 * bases)
-    up, down = F.try_divide("r", "l"), F.try_divide("l", "r")
+    mean = lambda a, b: F.avg("depth").over(w.rowsBetween(a, b))
+    whole = Window.partitionBy("window")
+    sided = depth.withColumns({"l": mean(-bases, -1), "r": mean(0, bases - 1), "seen": F.count("*").over(w.rowsBetween(-bases, bases - 1))})
+    sided = sided.withColumns({"i": F.col("pos") - F.min("pos").over(whole), "n": F.count("*").over(whole)}).where(F.col("seen") == 2 * bases)
+    up = F.when(F.col("i") == bases, F.col("pos")).otherwise(F.col("pos") - 1)
+    down = F.when(F.col("i") == F.col("n") - bases, F.col("pos") - 1).otherwise(F.col("pos"))
     steps = []
-    for side, score in (("up", up), ("down", down)):
-        ranked = sided.where(score >= ratio).withColumn("k", F.row_number().over(Window.partitionBy("window").orderBy(score.desc(), "pos")))
-        steps.append(ranked.where(F.col("k") <= top).select("window", F.col("pos").alias(f"{side}_pos")))
+    for side, place, low, high, turn in (("up", up, "l", "r", F.col("pos")), ("down", down, "r", "l", -F.col("pos"))):
+        score = F.try_divide(F.col(high), F.col(low))
+        found = sided.where((F.col(low) >= least_step) & (score >= ratio)).withColumns({"score": score, "many": F.count("*").over(whole) > top})
+        ranked = found.withColumn("k", F.row_number().over(whole.orderBy(F.when(F.col("many"), -F.col("score")), turn))).where(F.col("k") <= top)
+        steps.append(ranked.select("window", place.alias(f"{side}_pos"), F.col(low).alias(f"{side}_low"), F.col("k").alias(f"{side}_k")))
     pairs = steps[0].join(steps[1], "window").where("up_pos < down_pos")
-    inside = pairs.join(depth, "window").where("pos >= up_pos and pos < down_pos")
-    judged = inside.groupBy("window", "up_pos", "down_pos").agg(F.percentile("depth", 0.5).alias("median")).where(F.col("median") >= least_median)
-    best = F.min_by(F.struct("up_pos", "down_pos", "median"), F.struct(F.col("up_pos") - F.col("down_pos"), "up_pos"))
-    return judged.groupBy("window").agg(best.alias("b")).select("window", "b.up_pos", "b.down_pos", "b.median")
+    if known is not None:
+        close = (F.col("up_pos") - F.col("start")).between(-tolerance, tolerance) & (F.col("down_pos") - F.col("end")).between(-tolerance, tolerance)
+        known = known.select(F.col("window").alias("_w"), "start", "end")
+        pairs = pairs.join(known, (F.col("window") == F.col("_w")) & close, "left_anti")
+    ends = ["window", "up_pos", "down_pos"]
+    spans = pairs.select(*ends).distinct()
+    inside = spans.join(depth, "window").where("pos between up_pos and down_pos").groupBy(*ends).agg(F.sort_array(F.collect_list("depth")).alias("d"))
+    medians = inside.select(*ends, F.element_at("d", F.expr("cast(size(d) div 2 as int) + 1")).alias("median"))
+    good = (F.col("median") >= least_median) & (F.col("median") >= F.least("up_low", "down_low") * ratio)
+    best = F.min_by(F.struct("up_pos", "down_pos", "median"), F.struct(F.col("up_pos") - F.col("down_pos"), "up_k", "down_k"))
+    judged = pairs.join(medians, ends).where(good).groupBy("window").agg(best.alias("b"))
+    return judged.select("window", "b.up_pos", "b.down_pos", "b.median")

@@ -96,7 +96,7 @@ def truth_candidates(
     keep = ["id", "svtype", "svlen"]
     seq = [own_sequence(F.col("ref"), F.col("alt")).alias("seq")] if sequence else []
     sides = [points(df.select("chrom", "pos", *keep, *seq), "chrom", "pos", keep + ["seq"] * bool(sequence)) for df in (base, comp)]
-    pairs = overlap_join(*sides, slack=distance, also=["svtype"])
+    pairs = overlap_join(*sides, slack=distance, also=("svtype",))
     sim = length_similarity(F.col("a_svlen"), F.col("b_svlen"))
     dstart = F.abs(F.col("a_start") - F.col("b_start"))
     a_end, b_end = (F.col(f"{x}_start") + F.col(f"{x}_svlen") for x in "ab")

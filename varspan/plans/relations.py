@@ -522,15 +522,20 @@ def _(t):
 
 @register(
     "wn11_depth_steps", "dep",
-    """, s as (select "window" as w, pos, depth, avg(depth) over (partition by "window" order by pos rows between 10 preceding and 1 preceding) as l, avg(depth) over (partition by "window" order by pos rows between current row and 9 following) as r,
-  count(*) over (partition by "window" order by pos rows between 10 preceding and 9 following) as n from dep),
-u as (select w, pos as up_pos from s where n = 20 and r / l >= 1.4 qualify row_number() over (partition by w order by r / l desc, pos) <= 30),
-d as (select w, pos as down_pos from s where n = 20 and l / r >= 1.4 qualify row_number() over (partition by w order by l / r desc, pos) <= 30),
-p as (select u.w, up_pos, down_pos, quantile_cont(depth, 0.5) as median from u join d on u.w = d.w and up_pos < down_pos join dep on dep."window" = u.w and dep.pos >= up_pos and dep.pos < down_pos group by 1, 2, 3)
-select w as "window", up_pos, down_pos, median from p where median >= 10 qualify row_number() over (partition by w order by up_pos - down_pos, up_pos) = 1""",
-)
-def _(t):
-    return IS.depth_steps(t.dep, 10, 1.4, 30, 10)
+    """, s as (select "window" as w, pos, depth, avg(depth) over z1 as l, avg(depth) over z2 as r, count(*) over z3 as seen, pos - min(pos) over z as i, count(*) over z as n from dep
+  window z as (partition by "window"), z1 as (partition by "window" order by pos rows between 10 preceding and 1 preceding), z2 as (partition by "window" order by pos rows between current row and 9 following),
+    z3 as (partition by "window" order by pos rows between 10 preceding and 9 following)),
+u0 as (select *, count(*) over (partition by w) > 12 as many from s where seen = 20 and l >= 3 and r / l >= 1.2),
+u as (select w, case when i = 10 then pos else pos - 1 end as up_pos, l as ul, row_number() over (partition by w order by case when many then - r / l end, pos) as uk from u0 qualify uk <= 12),
+d0 as (select *, count(*) over (partition by w) > 12 as many from s where seen = 20 and r >= 3 and l / r >= 1.2),
+d as (select w, case when i = n - 10 then pos - 1 else pos end as down_pos, r as dl, row_number() over (partition by w order by case when many then - l / r end, -pos) as dk from d0 qualify dk <= 12),
+p as (select u.w, up_pos, down_pos, least(ul, dl) as low, uk, dk from u join d on u.w = d.w and up_pos < down_pos where not (u.w % 2 = 0 and abs(up_pos - 99) <= 4 and abs(down_pos - 200) <= 4)),
+m as (select p.*, list_sort(list(depth))[count(*) // 2 + 1] as median from p join dep on dep."window" = p.w and dep.pos between up_pos and down_pos group by all)
+select w as "window", up_pos, down_pos, median from m where median >= 10 and median >= low * 1.2 qualify row_number() over (partition by w order by up_pos - down_pos, uk, dk) = 1""",
+)
+def _(t):
+    known = t.dep.where("`window` % 2 = 0").select("window", F.lit(99).alias("start"), F.lit(200).alias("end")).distinct()
+    return IS.depth_steps(t.dep, 10, 1.2, 12, 3, 10, known, 4)
 
 
 @register("wn18_collapse", "v")
