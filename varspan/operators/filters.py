@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varspan.functions import genotypes as G
+from varspan.functions.info import info_field
 
 #: The types that count as structural variants.
 SV_TYPES = ("DEL", "DEL:ME", "INV", "DUP", "DUP:TANDEM", "DUP:INT", "INS", "INS:ME", "INS:NOVEL")
@@ -72,3 +73,13 @@ def train_test_by_parity(df: DataFrame) -> DataFrame:
     n = {r["parity"]: r["n"] for r in df.groupBy("parity").agg(F.count("*").alias("n")).collect()}
     train = 0 if n.get(0, 0) >= n.get(2, 0) else 2
     return df.withColumn("split", F.when(F.col("parity") == train, "train").when(F.col("parity") == 2 - train, "test"))
+
+
+def sample_band(df: DataFrame, tag: str, least: float, most: float) -> DataFrame:
+    """Records whose INFO number `tag` (samples that have it; 1 where it is missing) lies between least and most."""
+    return df.where(F.coalesce(info_field(F.col("info"), tag).try_cast("double"), F.lit(1.0)).between(least, most))
+
+
+def without_chain_ends(df: DataFrame, tag: str = "TRUTH_BND_TYPE") -> DataFrame:
+    """Training rows but those that were matched to an end of a chain (type 4) alone."""
+    return df.where(F.coalesce(info_field(F.col("info"), tag), F.lit("")) != "4")

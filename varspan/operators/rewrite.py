@@ -349,3 +349,16 @@ def assign_genotypes(df: DataFrame) -> DataFrame:
             "new_sq": G.reference_phred(F.col("p0")),
         }
     )
+
+
+def info_to_format(cells: DataFrame, sites: DataFrame, names: list[str]) -> DataFrame:
+    """cells (chrom, pos, ref, alt, and fields, a map) with the named INFO values of their site as fields: they replace fields
+    of their name, and values that the site lacks ('.' or no such field) add none. Cells without a site stay."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("key"), info_field(F.col("info"), n).alias("value")) for n in names])
+    there = F.filter(pairs, lambda p: p["value"].isNotNull() & (p["value"] != "."))
+    keys = ["chrom", "pos", "ref", "alt"]
+    known = sites.groupBy(*keys).agg(F.min("info").alias("info")).select(*keys, F.map_from_entries(there).alias("_site"))
+    joined = cells.join(known, keys, "left")
+    none = F.create_map().cast("map<string,string>")
+    kept = F.map_filter("fields", lambda k, v: ~F.coalesce(F.map_contains_key(F.coalesce("_site", none), k), F.lit(False)))
+    return joined.withColumn("fields", F.map_concat(kept, F.coalesce("_site", none))).select(*cells.columns)

@@ -267,3 +267,24 @@ def contig_layout(contigs: DataFrame) -> DataFrame:
     w = Window.orderBy(rank, "chrom")
     before = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return contigs.select("chrom", "length", before.alias("before"), (before / F.sum("length").over(Window.partitionBy(F.lit(0)))).alias("share"))
+
+
+def score_histograms(df: DataFrame, most: int = 100) -> DataFrame:
+    """How many cells have each score: score (0 to most, none left out), present, present_1, present_2, absent, absent_1,
+    absent_2. df: gt, scores ('a', 'a,b' or '.', which counts nowhere). A cell is present if its genotype has an allele 1; one
+    score counts in the plain column, the first and second of two in columns of their own. Scores out of range are an error."""
+    parts = F.split("scores", ",")
+    side = F.when(F.contains("gt", F.lit("1")), "present").otherwise("absent")
+    one = F.array(F.struct(side.alias("kind"), parts[0].cast("int").alias("score")))
+    two = F.array(*[F.struct(F.concat(side, F.lit(f"_{i + 1}")).alias("kind"), F.get(parts, F.lit(i)).cast("int").alias("score")) for i in (0, 1)])
+    rows = df.where("scores != '.'").select(F.inline(F.when(F.size(parts) == 1, one).otherwise(two)))
+    checked = F.when(F.col("score").between(0, most), F.col("score")).otherwise(F.raise_error(F.concat(F.lit("score out of range: "), F.col("score").cast("string"))).cast("int"))
+    kinds = ["present", "present_1", "present_2", "absent", "absent_1", "absent_2"]
+    counts = rows.select("kind", checked.alias("score")).groupBy("score").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    every = df.sparkSession.range(most + 1).select(F.col("id").cast("int").alias("score"))
+    return every.join(counts, "score", "left").select("score", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
+
+
+def reference_cells(cells: DataFrame) -> DataFrame:
+    """The cells of diploid reference genotypes (phased or not), to list their depths."""
+    return cells.where(F.col("gt").rlike("^0[/|]0$"))

@@ -318,3 +318,52 @@ def _(t):
 def _(t):
     cal = SC.calibration_table(t.v.select((F.col("qual") / 10.0).alias("score"), (F.col("caller") == "F").cast("int").alias("label")))
     return cal.select(F.round("score", 6).alias("score"), F.round("sensitivity", 6).alias("sensitivity"))
+
+
+SCORES = "case when line = 1 then '.' when line <= 3 then cast(ad_alt as string) else concat(cast(ad_ref as string), ',', cast(ad_alt as string)) end"
+
+
+@register(
+    "ag28_score_histograms", "g",
+    f""", c as (select contains(gt, '1') as p, string_split({SCORES}, ',') as s from g where line <> 1),
+k as (select p, 0 as i, s[1]::int as v from c where len(s) = 1 union all select p, 1, s[1]::int from c where len(s) = 2 union all select p, 2, s[2]::int from c where len(s) = 2)
+select r.v::int as score, count(*) filter (where p and i = 0) as present, count(*) filter (where p and i = 1) as present_1, count(*) filter (where p and i = 2) as present_2,
+  count(*) filter (where not p and i = 0) as absent, count(*) filter (where not p and i = 1) as absent_1, count(*) filter (where not p and i = 2) as absent_2
+from range(101) r(v) left join k on k.v = r.v group by 1""",
+)
+def _(t):
+    return ST.score_histograms(t.g.withColumn("scores", F.expr(SCORES)))
+
+
+@register("ag39_reference_cells", "g", "select dp, ad_ref, ad_alt, count(*) as n from g where gt in ('0/0', '0|0') group by all")
+def _(t):
+    return ST.reference_cells(t.g).groupBy("dp", "ad_ref", "ad_alt").agg(F.count("*").alias("n"))
+
+
+SITE_INFO = "concat('SUPP_PAV=', cast(line % 2 as string), case when line = 3 then ';SCORE=.' when line = 4 then '' else concat(';SCORE=0.', cast(qual as string)) end, ';OTHER=1')"
+
+
+@register(
+    "pr26_info_to_format", "v",
+    f""", s as (select id, {SITE_INFO} as info, line from v where line <> 7)
+select v.id, coalesce(regexp_extract(s.info, 'SUPP_PAV=([^;]*)', 1), '9') as supp_pav, nullif(nullif(regexp_extract(s.info, 'SCORE=([^;]*)', 1), ''), '.') as score, '0/1' as gt from v left join s using (id)""",
+)
+def _(t):
+    v = t.v.withColumns({"ref": F.col("id"), "alt": F.lit("A")})
+    sites = v.where("line != 7").withColumn("info", F.expr(SITE_INFO))
+    cells = v.withColumn("fields", F.expr("map('GT', '0/1', 'SUPP_PAV', '9')"))
+    f = R.info_to_format(cells, sites, ["SUPP_PAV", "SCORE"])
+    return f.select("id", F.col("fields")["SUPP_PAV"].alias("supp_pav"), F.col("fields")["SCORE"].alias("score"), F.col("fields")["GT"].alias("gt"))
+
+
+SAMPLES_INFO = "concat('K=1', case when line = 1 then '' else concat(';N_SAMPLES=', cast(qual * 3 as string)) end, ';TRUTH_BND_TYPE=', cast(line as string))"
+
+
+@register("fl18_sample_band", "v", "select id from v where line = 1 or qual * 3 between 1 and 9")
+def _(t):
+    return FL.sample_band(t.v.withColumn("info", F.expr(SAMPLES_INFO)), "N_SAMPLES", 1, 9).select("id")
+
+
+@register("fl21_without_chain_ends", "v", "select id from v where line <> 4")
+def _(t):
+    return FL.without_chain_ends(t.v.withColumn("info", F.expr(SAMPLES_INFO))).select("id")
