@@ -261,10 +261,10 @@ def _(t):
 
 @register(
     "fn23_phred", "g",
-    """select ad_ref, ad_alt, round(10 * (greatest(ad_ref, ad_alt) - case when ad_ref = ad_alt then ad_ref else least(ad_ref, ad_alt) end) / 4.0)::int as gq, round(-10 * log10(greatest(1.0 / (1 + ad_alt), 1e-10)))::int as sq, count(*) as n from g where ad_alt % 2 = 0 and ad_ref % 2 = 0 group by all""",
+    """select ad_ref, ad_alt, round(10 * (greatest(ad_ref, ad_alt) - case when ad_ref = ad_alt then ad_ref else least(ad_ref, ad_alt) end) / 4.0)::int as gq, round(-10 * log10(greatest(1.0 / (1 + ad_alt), 1e-10)))::int as sq, count(*) as n from g group by all""",
 )
 def _(t):
-    g = t.g.where("ad_alt % 2 = 0 and ad_ref % 2 = 0")
+    g = t.g
     gq = G.genotype_quality(F.array(F.col("ad_ref") / 4.0, F.col("ad_alt") / 4.0))
     return g.groupBy("ad_ref", "ad_alt", gq.alias("gq"), G.reference_phred(1.0 / (1 + F.col("ad_alt"))).alias("sq")).agg(F.count("*").alias("n"))
 

@@ -563,11 +563,11 @@ def _(t):
 
 @register(
     "wn14_haplotypes", "",
-    """with o as (select o_orderkey % 5 as w, o_custkey % 7 as s, o_orderkey as id, o_orderkey % 40 as first, o_orderkey % 40 + o_custkey % 3 as last, repeat('T', (o_custkey % 2)::int) as alt from orders where o_orderkey % 3 = 0)
+    """with o as (select o_orderkey % 5 as w, o_custkey % 7 as s, o_orderkey as id, o_orderkey % 40 as first, o_orderkey % 40 + o_custkey % 3 as last, repeat('T', (o_custkey % 2)::int) as alt from orders)
 select w, count(distinct s) as haps from o group by w""",
 )
 def _(t):
-    o = t.table("orders").where("o_orderkey % 3 = 0")
+    o = t.table("orders")
     members = o.select(
         (F.col("o_orderkey") % 5).alias("w"), (F.col("o_custkey") % 7).alias("sample_id"), F.lit(0).alias("hap"), F.col("o_orderkey").alias("record_id"),
         (F.col("o_orderkey") % 40).alias("first"), (F.col("o_orderkey") % 40 + F.col("o_custkey") % 3).alias("last"), F.repeat(F.lit("T"), (F.col("o_custkey") % 2).cast("int")).alias("alt"),
