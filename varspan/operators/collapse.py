@@ -19,7 +19,7 @@ def similar_pairs(df: DataFrame, distance: int, size: float, sequence: float | N
     if sequence:
         df = df.withColumn("seq", own_sequence(F.col("ref"), F.col("alt")))
     at = points(df, "chrom", "pos", keep + ["seq"] * bool(sequence))
-    pairs = overlap_join(at, at, slack=distance, also=("svtype",))
+    pairs = overlap_join(at, at, slack=distance, also=("svtype",), longest=(1, 1))
     better = F.struct(-F.col("a_qual"), "a_pos", "a_id") < F.struct(-F.col("b_qual"), "b_pos", "b_id")
     pairs = pairs.where(better & (length_similarity(F.col("a_svlen"), F.col("b_svlen")) >= size))
     if sequence:

@@ -3,8 +3,8 @@
 The join cuts intervals into bins, joins on (chrom, level, bin) and reports a pair only in the later of its two first
 bins, so no pair comes twice and no distinct is needed. Long intervals would fill many narrow bins, so intervals get a
 level by length, whose bins (BIN * STEP^level wide) are as long as they are or longer: two bins at most. A pair is
-found at the higher level of the two: its longer interval is binned at its own level alone, the shorter one at all
-levels from its own up.
+found at the higher level of the two: its longer interval is binned at its own level alone, the shorter one at those
+levels from its own up that the other side has.
 """
 
 from __future__ import annotations
@@ -37,30 +37,45 @@ def _binned(df: DataFrame, side: str, levels) -> DataFrame:
 
 
 def _meet(x: DataFrame, y: DataFrame, also: tuple[str, ...]) -> DataFrame:
+    # rows grow by their bins, which size estimates of the tables don't see: a broadcast by these would not fit the driver
     same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in also]
     same += [F.col("a_chrom") == F.col("b_chrom"), F.col("a_level") == F.col("b_level"), F.col("a_bin") == F.col("b_bin")]
-    return x.join(y, same).where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("a_bin") == F.greatest("a_first", "b_first")))
+    pairs = x.hint("merge").join(y.hint("merge"), same)
+    return pairs.where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("a_bin") == F.greatest("a_first", "b_first")))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, slack: int = 0, also: tuple[str, ...] = ()) -> DataFrame:
+def _levels(df: DataFrame, side: str, longest: int | None) -> list[int]:
+    """The levels that a side's intervals have; of intervals up to a known length, all that they may have."""
+    if longest is not None:
+        return [level for level in range(LEVELS + 1) if level == 0 or longest > BIN * STEP ** (level - 1)]
+    return sorted(r[0] for r in df.select(_level(F.col(f"{side}_start"), F.col(f"{side}_end"))).distinct().collect())
+
+
+def overlap_join(a: DataFrame, b: DataFrame, slack: int = 0, also: tuple[str, ...] = (), longest: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """Pairs of rows of a and b (columns a_* and b_*; each with chrom, start, end) that share a base, or lie within
     slack bases, and agree on the columns `also`, which are keys of the join. Empty intervals overlap what holds their
-    point inside. Rows with a null bound match nothing."""
+    point inside. Rows with a null bound match nothing.
+
+    Rows go only to the levels that the other side has. longest: the greatest length there is in a and in b, if it is known
+    (1 for points); if not, one pass over that side finds its levels before the join."""
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns]).where("a_chrom is not null and a_start is not null and a_end is not null")
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).where("b_chrom is not null and b_start is not null and b_end is not null")
     if slack:
         right = right.withColumns({"b_start": F.col("b_start") - slack, "b_end": F.col("b_end") + slack})
+    in_a, in_b = _levels(left, "a", longest[0]), _levels(right, "b", None if longest[1] is None else longest[1] + 2 * slack)
 
     def own(level: Column) -> Column:
         return F.array(level)
 
-    def from_own(level: Column) -> Column:
-        return F.sequence(level, F.lit(LEVELS))
-
-    def above(level: Column) -> Column:
-        return F.when(level < LEVELS, F.sequence(F.least(level + 1, F.lit(LEVELS)), F.lit(LEVELS)))
+    def of(levels: list[int], least: int):
+        return lambda level: F.filter(F.array(*map(F.lit, levels)), lambda x: x >= level + least)
 
-    pairs = _meet(_binned(left, "a", own), _binned(right, "b", from_own), also).unionByName(_meet(_binned(left, "a", above), _binned(right, "b", own), also))
+    parts = [_meet(_binned(left, "a", own), _binned(right, "b", of(in_a, 0)), also)] if in_a and in_b else []
+    if in_a and in_b and in_b[-1] > in_a[0]:
+        parts.append(_meet(_binned(left, "a", of(in_b, 1)), _binned(right, "b", own), also))
+    if not parts:  # one side has no rows
+        parts = [left.join(right, F.lit(False))]
+    pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if slack:
         pairs = pairs.withColumns({"b_start": F.col("b_start") + slack, "b_end": F.col("b_end") - slack})
     return pairs.select(*[f"a_{c}" for c in a.columns], *[f"b_{c}" for c in b.columns])

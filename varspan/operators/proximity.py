@@ -19,7 +19,7 @@ def points(df: DataFrame, chrom: str, pos: str, keep: list[str]) -> DataFrame:
 
 def near(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
     """Pairs of points (chrom, start, end of one base) at most distance apart."""
-    return overlap_join(a, b, slack=distance)
+    return overlap_join(a, b, slack=distance, longest=(1, 1))
 
 
 def ends_near(bnd: DataFrame, breakpoints: DataFrame, distance: int, both: bool, key: str = "id") -> DataFrame:
@@ -54,7 +54,7 @@ def inside_similar(ins: DataFrame, dup: DataFrame, similarity: float, slack: int
     """Pairs (i_id, d_id) of insertions inside duplications (with slack) of similar length. Both: id, chrom, pos, svlen."""
     spans = dup.select("id", "chrom", (F.col("pos") - slack).alias("start"), (F.col("pos") + F.col("svlen") + slack + 1).alias("end"), "svlen")
     at = points(ins, "chrom", "pos", ["id", "svlen"])
-    pairs = overlap_join(at, spans)
+    pairs = overlap_join(at, spans, longest=(1, None))
     return pairs.where(length_similarity(F.col("a_svlen"), F.col("b_svlen")) >= similarity).select(F.col("a_id").alias("i_id"), F.col("b_id").alias("d_id"))
 
 
@@ -66,7 +66,7 @@ def single_matches(pairs: DataFrame, side: str) -> DataFrame:
 def first_gap(ins: DataFrame, gaps: DataFrame, slack: int, ratio: float) -> DataFrame:
     """For each insertion the first gap from slack before its start to slack behind its end (both included) whose length the
     insertion's covers by ratio: id, start, end."""
-    pairs = overlap_join(points(ins, "chrom", "pos", ["id", "svlen"]), gaps.select("chrom", "start", "end"), slack + 1)
+    pairs = overlap_join(points(ins, "chrom", "pos", ["id", "svlen"]), gaps.select("chrom", "start", "end"), slack + 1, longest=(1, None))
     near_gap = F.col("a_start").between(F.col("b_start") - slack, F.col("b_end") + slack)
     good = pairs.where(near_gap & (F.col("a_svlen") >= ratio * (F.col("b_end") - F.col("b_start"))))
     return good.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct("b_start", "b_end")).alias("g")).select("id", F.col("g.b_start").alias("start"), F.col("g.b_end").alias("end"))
@@ -96,7 +96,7 @@ def truth_candidates(
     keep = ["id", "svtype", "svlen"]
     seq = [own_sequence(F.col("ref"), F.col("alt")).alias("seq")] if sequence else []
     sides = [points(df.select("chrom", "pos", *keep, *seq), "chrom", "pos", keep + ["seq"] * bool(sequence)) for df in (base, comp)]
-    pairs = overlap_join(*sides, slack=distance, also=("svtype",))
+    pairs = overlap_join(*sides, slack=distance, also=("svtype",), longest=(1, 1))
     sim = length_similarity(F.col("a_svlen"), F.col("b_svlen"))
     dstart = F.abs(F.col("a_start") - F.col("b_start"))
     a_end, b_end = (F.col(f"{x}_start") + F.col(f"{x}_svlen") for x in "ab")
@@ -120,13 +120,13 @@ def with_similar_sequences(pairs: DataFrame, sequence: float) -> DataFrame:
     return easy.unionByName(hard.where(similar(a, b, sequence)))
 
 
-def match_multi(base: DataFrame, comp: DataFrame, candidates: DataFrame) -> DataFrame:
-    """side, id, state: tp where any candidate names it, else fn (base) or fp (comp)."""
-    parts = []
-    for side, df, miss in (("base", base, "fn"), ("comp", comp, "fp")):
-        hit = candidates.select(F.col(f"{side}_id").alias("id")).distinct().withColumn("tp", F.lit(1))
-        parts.append(df.select("id").join(hit, "id", "left").select(F.lit(side).alias("side"), "id", F.when(F.col("tp") == 1, "tp").otherwise(miss).alias("state")))
-    return parts[0].unionByName(parts[1])
+def match_multi(base: DataFrame, comp: DataFrame, candidates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """side, id, the columns keep, and state: tp where any candidate names it, else fn (base) or fp (comp). Candidates are computed once."""
+    named = [F.struct(F.lit(side).alias("side"), F.col(f"{side}_id").alias("id")) for side in ("base", "comp")]
+    hit = candidates.select(F.inline(F.array(*named))).distinct().withColumn("tp", F.lit(1))
+    both = base.select(F.lit("base").alias("side"), "id", *keep).unionByName(comp.select(F.lit("comp").alias("side"), "id", *keep))
+    miss = F.when(F.col("side") == "base", "fn").otherwise("fp")
+    return both.join(hit, ["side", "id"], "left").select("side", "id", *keep, F.when(F.col("tp") == 1, "tp").otherwise(miss).alias("state"))
 
 
 def _twins(candidates: DataFrame, side: str, other: str) -> DataFrame:

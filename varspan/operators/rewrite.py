@@ -204,7 +204,9 @@ def sequences_of(spans: DataFrame, blocks: DataFrame, block_size: int) -> DataFr
     from_base = F.greatest(F.col("first") - 1 - F.col("block") * block_size, F.lit(0))
     to_base = F.least(F.col("last") - F.col("block") * block_size, F.lit(block_size))
     piece = F.struct("block", F.substring(F.col("seq"), (from_base + 1).cast("int"), (to_base - from_base).cast("int")).alias("piece"))
-    whole = parts.join(blocks.select("chrom", "block", "seq"), ["chrom", "block"]).groupBy("chrom", "first", "last").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    # size estimates don't see the blocks' sequences: a broadcast by these would bring the whole reference to the driver
+    whole = parts.hint("merge").join(blocks.select("chrom", "block", "seq").hint("merge"), ["chrom", "block"])
+    whole = whole.groupBy("chrom", "first", "last").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
     joined = whole.select("chrom", "first", "last", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("seq"))
     return joined.where(F.length("seq") == F.col("last") - F.col("first") + 1)
 

@@ -238,7 +238,7 @@ def _(t):
     from varspan.operators.proximity import match_multi
 
     base, comp, candidates = _truth(t)
-    states = match_multi(base, comp, candidates).join(t.v.select("id", "svtype", "svlen"), "id")
+    states = match_multi(base, comp, candidates, ("svtype", "svlen"))
     out = ST.precision_recall(states, "svtype", lower_edge_bin(F.col("svlen"), (200, 600)).alias("bin"))
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 

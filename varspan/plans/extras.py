@@ -238,7 +238,7 @@ def _(t):
     from varspan.operators.proximity import points
 
     at = t.v.withColumn("p", F.col("pos") - 1)
-    pairs = overlap_join(points(at, "chrom", "p", ["id"]), t.tr.select("chrom", "start", "end"))
+    pairs = overlap_join(points(at, "chrom", "p", ["id"]), t.tr.select("chrom", "start", "end"), longest=(1, None))
     return pairs.groupBy(F.col("a_id").alias("id")).agg(F.min("b_start").alias("start"))
 
 

@@ -236,10 +236,25 @@ def letter(p: str) -> str:
     return f"substring('ACGT', cast((floor(floor(({p}) / 6.0) * floor(({p}) / 6.0) / 7.0) + ({p}) % 2 * 3) % 4 as int) + 1, 1)"
 
 
+#: Bases 0 to 167 of that reference: what letter(p) gives at each place.
+PERIOD = "".join("ACGT"[((p // 6) ** 2 // 7 + p % 2 * 3) % 4] for p in range(168))
+
+
+def letters(first, n):
+    """The bases from place first on, n of them: a piece of the repeated period, the same as letter place by place."""
+    turns = F.call_function("div", n, F.lit(len(PERIOD))) + 2
+    return F.substring(F.repeat(F.lit(PERIOD), turns.cast("int")), (first % len(PERIOD) + 1).cast("int"), n.cast("int"))
+
+
+def _blocks(contigs, size: int):
+    """chrom, length, block: the blocks of each contig, dealt over tasks by themselves (contigs are few)."""
+    numbered = contigs.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))))
+    return numbered.repartition("chrom", "block")
+
+
 def reference_blocks(t, size: int):
-    blocks = t.contigs.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))))
-    places = f"sequence(block * {size} + 1, least((block + 1) * {size}, length))"
-    return blocks.select("chrom", "block", F.expr(f"array_join(transform({places}, p -> {letter('p')}), '')").alias("seq"))
+    first = F.col("block") * size + 1
+    return _blocks(t.contigs, size).select("chrom", "block", letters(first, F.least(F.lit(size), F.col("length") - first + 1)).alias("seq"))
 
 
 #: Alleles that agree with the reference by chance: of one base, several, small letters, symbolic, two at once.
@@ -265,7 +280,7 @@ def _(t):
 def _indels(t):
     """Deletions and insertions of 1 to 50 bases, as the reference of records.letter has them."""
     size = F.expr("cast(svlen / 20 as int)")
-    body = F.expr(f"array_join(transform(sequence(pos + 1, pos + cast(svlen / 20 as int)), p -> {letter('p')}), '')")
+    body = letters(F.col("pos") + 1, size)
     v = t.v.join(t.contigs, "chrom").where(F.col("pos") + size <= F.col("length")).withColumn("one", F.expr(letter("pos")))
     long = F.concat("one", body)
     return v.withColumns({"ref": F.when(F.col("svtype") == "INS", F.col("one")).otherwise(long), "alt": F.when(F.col("svtype") == "INS", long).otherwise(F.col("one"))})
@@ -304,9 +319,8 @@ from x where upper(alt) in ('<DEL>', '<DUP>') and line <> 5 and pos + svlen <= l
 )
 def _(t):
     size = 4096
-    blocks = t.contigs.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))))
     at = F.col("block") * size
-    blocks = blocks.select("chrom", "block", F.substring(F.repeat(F.lit("ACGTTGCAAC"), F.lit(412)), at % 10 + 1, F.least(F.lit(size), F.col("length") - at)).alias("seq"))
+    blocks = _blocks(t.contigs, size).select("chrom", "block", F.substring(F.repeat(F.lit("ACGTTGCAAC"), F.lit(412)), at % 10 + 1, F.least(F.lit(size), F.col("length") - at)).alias("seq"))
     v = t.v.withColumns({"ref": F.lit("N"), "alt": F.expr(GIVEN_ALT), "info": F.expr(GIVEN_INFO)})
     v = v.unionByName(v.where("svlen < 200"))
     return R.materialize(v, blocks, size, t.contigs).select("id", "ref", "alt", "info", "svtype")
