@@ -76,3 +76,34 @@ def test_sequences_of_shuffles_blocks(spark):
     out = R.sequences_of(wanted, blocks, 4)
     assert "BroadcastHashJoin" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [("c", 2, 6, "CGTTT"), ("c", 7, 7, "A")]
+
+
+@pytest.mark.parametrize("nodes", [3, 8, 1 << 13])
+def test_followed_over_blocks(spark, monkeypatch, nodes):
+    """Only the nodes where paths enter a block go through the rounds; every path, ends inside blocks too."""
+    import random
+
+    from varspan.operators import greedy as GR
+
+    monkeypatch.setattr(GR, "NODES", nodes)
+    rnd, rows, expected, doubled = random.Random(nodes), [], [], []
+    for chrom, n in (("a", 60), ("b", 1), ("c", 37)):
+        to = {i: rnd.randrange(i + 1, i + 6) for i in range(-1, n)}
+        to = {i: min(j, n - 1) for i, j in to.items() if i < n - 1}
+        rows += [(chrom, i, j) for i, j in to.items()]
+        at = GR.START
+        while at in to:
+            at = to[at]
+            expected.append((chrom, at))
+    inner = GR._doubled
+    monkeypatch.setattr(GR, "_doubled", lambda links: (doubled.append(links.count()), inner(links))[1])
+    got = GR.followed(spark.createDataFrame(rows, "chrom string, node long, next long"))
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    assert doubled[0] < len(rows) / (2 if nodes > 3 else 1)
+
+
+def test_islands_deal_rows_once(spark, sf):
+    """No second full shuffle or join by sort for the numbers: one exchange of rows to blocks for each of two branches."""
+    text = plan(QUERIES["wn01_islands"](spark, sf))
+    assert "SortMergeJoin" not in text
+    assert sum("Exchange hashpartitioning(chrom" in line and "_block" in line and "ENSURE" in line for line in text.splitlines()) <= 4

@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varspan.operators.filters import standard_chromosome
-from varspan.operators.scan import BLOCK, previous_value, running_max_before, running_sum
+from varspan.operators.scan import BLOCK, carried, previous_value, running_sum, with_carry
 
 
 def islands(df: DataFrame, first: str, last: str, buffer: int, order: list[str]) -> DataFrame:
-    """df with island: a number within chrom that grows where first lies beyond all earlier lasts by over buffer."""
-    reach = running_max_before(df, ["chrom"], first, order, F.col(last), "_reach")
-    new = (F.col("_reach").isNull() | (F.col(first) > F.col("_reach") + buffer)).cast("int")
-    return running_sum(reach.withColumn("_new", new), ["chrom"], first, order, F.col("_new"), "island").drop("_reach", "_new")
+    """df with island: a number within chrom that grows where first lies beyond all earlier lasts by over buffer.
+
+    Both scans run over the same blocks, so rows are dealt to them once. What blocks carry over is a row for a million
+    positions, and is broadcast."""
+    reached = carried(df, ["chrom"], first, F.col(last), "max")
+    w = Window.partitionBy("chrom", "_block").orderBy(F.asc_nulls_last(first), *order)
+    reach = F.greatest(F.max(last).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_carry")
+    tagged = reached.withColumn("_reach", reach).withColumn("_new", (F.col("_reach").isNull() | (F.col(first) > F.col("_reach") + buffer)).cast("int"))
+    tagged = tagged.withColumn("_here", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_carry")
+    numbered = with_carry(tagged, ["chrom"], F.col("_new"), "sum")
+    return numbered.withColumn("island", F.coalesce("_carry", F.lit(0)) + F.col("_here")).drop("_block", "_carry", "_reach", "_new", "_here")
 
 
 def island_totals(tagged: DataFrame, first: str, last: str) -> DataFrame:

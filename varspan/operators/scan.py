@@ -30,6 +30,21 @@ def _joined(df: DataFrame, blocks: DataFrame, part: list[str]) -> DataFrame:
     return df.join(right, same).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
+def with_carry(df: DataFrame, part: list[str], value: Column, kind: str) -> DataFrame:
+    """df, cut into blocks (_block), with _carry: the sum or max of value over the blocks before its own. For parts that have few
+    blocks (contigs by position): these are broadcast."""
+    total = F.max("_value") if kind == "max" else F.sum("_value")
+    blocks = df.withColumn("_value", value).groupBy(*part, "_block").agg(total.alias("_total"))
+    before = Window.partitionBy(*part).orderBy(F.asc_nulls_last("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.max("_total").over(before) if kind == "max" else F.sum("_total").over(before)
+    return _joined(df, F.broadcast(blocks.select(*part, "_block", carry.alias("_carry"))), part)
+
+
+def carried(df: DataFrame, part: list[str], position: str, value: Column, kind: str, block: int = BLOCK) -> DataFrame:
+    """with_carry of df cut into blocks of position."""
+    return with_carry(_with_block(df, position, block), part, value, kind)
+
+
 def _two_levels(df: DataFrame, part: list[str], position: str, order: list[str], value: Column, out: str, block: int, kind: str) -> DataFrame:
     df = _with_block(df, position, block).withColumn("_value", value)
     total = F.max("_value") if kind == "max" else F.sum("_value")
