@@ -288,3 +288,13 @@ def score_histograms(df: DataFrame, most: int = 100) -> DataFrame:
 def reference_cells(cells: DataFrame) -> DataFrame:
     """The cells of diploid reference genotypes (phased or not), to list their depths."""
     return cells.where(F.col("gt").rlike("^0[/|]0$"))
+
+
+def between_depths(df: DataFrame, key: str, mean: int, deviation: int) -> DataFrame:
+    """key, mean, deviation (of the sample) of depths (dp, whole numbers), where the mean is above `mean` and the deviation below
+    `deviation`. From sums of whole numbers, so neither figure nor bound depends on the order in which tasks' parts meet."""
+    dp = F.col("dp").cast("long")
+    sums = df.groupBy(key).agg(F.count("dp").alias("_n"), F.sum(dp).alias("_s"), F.sum(dp * dp).alias("_q"))
+    n, spread = F.col("_n"), F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s")
+    kept = sums.where((F.col("_s") > mean * n) & (n > 1) & (spread < deviation**2 * n * (n - 1)))
+    return kept.select(key, (F.col("_s") / n).alias("mean"), F.sqrt(spread / (n * (n - 1))).alias("deviation"))

@@ -92,8 +92,7 @@ def _(t):
 
 @register("fl09_depth_statistics", "g", "select variant_id, round(avg(dp), 6) as mean, round(stddev_samp(dp), 6) as deviation from g group by 1 having avg(dp) > 20 and stddev_samp(dp) < 11")
 def _(t):
-    out = t.g.groupBy("variant_id").agg(F.avg("dp").alias("mean"), F.stddev_samp("dp").alias("deviation")).where("mean > 20 and deviation < 11")
-    return out.withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
+    return ST.between_depths(t.g, "variant_id", 20, 11).withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
 
 
 @register(
