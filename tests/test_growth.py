@@ -118,3 +118,20 @@ def test_depth_bounds_are_exact(spark):
     assert df.groupBy("variant_id").agg(F.stddev_samp("dp").alias("d")).where("variant_id like 'v%' and d < 11").count() > 0
     got = ST.between_depths(df, "variant_id", 20, 11).collect()
     assert [(r.variant_id, r.mean, round(r.deviation, 6)) for r in got] == [("in", 21.5, 0.707107)]
+
+
+def test_training_rows_are_spread(spark, monkeypatch):
+    """However few splits the table has, no task trains on more than its share; small tables stay as they are."""
+    from pyspark.ml.classification import GBTClassifier
+
+    from varspan.operators import scoring as SC
+
+    seen, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows, *a: (seen.append(rows.rdd.glom().map(len).collect()), fit(self, rows, *a))[1])
+    df = spark.range(0, 1000, 1, 1).selectExpr("id % 10 as a", "if(id % 7 = 0, null, id % 3) as b", "cast(id % 10 > 4 as int) as label")
+    whole = SC.train_scorer(df, ["a", "b"], maxIter=2)
+    monkeypatch.setattr(SC, "TRAINING_ROWS", 100, raising=False)
+    spread = SC.train_scorer(df, ["a", "b"], maxIter=2)
+    assert seen[0] == [1000] and sum(seen[1]) == 1000 and max(seen[1]) <= 101
+    one, other = (sorted(map(tuple, SC.score(m, df, ["a", "b"]).selectExpr("a", "b", "round(score, 9)").distinct().collect()), key=str) for m in (whole, spread))
+    assert one == other and len(one) > 1

@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task of the training holds: it reads them again for each tree, as objects of about 250 bytes.
+TRAINING_ROWS = 1 << 19
+
+
 def train_scorer(df: DataFrame, features: Sequence[str], label: str = "label", **params) -> PipelineModel:
     """Median imputation and boosted trees. Raises where a feature has no value at all. The model is saved and read with
-    its own write() and PipelineModel.load."""
-    seen = df.agg(*[F.count(c).alias(c) for c in features]).first()
+    its own write() and PipelineModel.load. All rows train, in as many partitions as they fill: splits of files hold more
+    rows the larger the files are."""
+    seen = df.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in features]).first()
     empty = [c for c in features if not seen[c]]
     if empty:
         raise ValueError(f"features without any value: {empty}")
@@ -23,9 +28,14 @@ def train_scorer(df: DataFrame, features: Sequence[str], label: str = "label", *
     stages = [
         Imputer(strategy="median", inputCols=list(features), outputCols=filled, relativeError=0.001),
         VectorAssembler(inputCols=filled, outputCol="features"),
-        GBTClassifier(labelCol=label, featuresCol="features", **({"maxIter": 10, "seed": 1} | params)),
     ]
-    return Pipeline(stages=stages).fit(df.withColumns({c: F.col(c).cast("double") for c in features}))
+    typed = df.withColumns({c: F.col(c).cast("double") for c in features})
+    prepared = Pipeline(stages=stages).fit(typed)
+    rows, tasks = prepared.transform(typed), -(-seen["_rows"] // TRAINING_ROWS)
+    if tasks > 1:
+        rows = rows.repartition(tasks)
+    trees = GBTClassifier(labelCol=label, featuresCol="features", **({"maxIter": 10, "seed": 1} | params)).fit(rows)
+    return PipelineModel(stages=[*prepared.stages, trees])
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
