@@ -135,3 +135,19 @@ def test_training_rows_are_spread(spark, monkeypatch):
     assert seen[0] == [1000] and sum(seen[1]) == 1000 and max(seen[1]) <= 101
     one, other = (sorted(map(tuple, SC.score(m, df, ["a", "b"]).selectExpr("a", "b", "round(score, 9)").distinct().collect()), key=str) for m in (whole, spread))
     assert one == other and len(one) > 1
+
+
+def test_same_position_without_expansion(spark):
+    """No row is written once a distinct count; nulls are no value."""
+    from varspan.operators import statistics as ST
+
+    rows = [
+        ("a", 1, "DEL", 5, 10), ("a", 1, None, 5, 40), ("a", 2, "DEL", None, 7), ("a", 2, "INS", 3, 7), ("a", 3, "DEL", 1, 7), ("a", 4, None, None, None), ("a", 4, None, None, None),
+        ("b", 1, "DEL", 1, 0), ("b", 1, "DEL", 2, 5), ("b", 1, "DUP", 2, 9), (None, None, "DEL", 1, 2), (None, None, "DEL", 1, 4),
+    ]
+    out = ST.same_position(spark.createDataFrame(rows, "chrom string, pos int, svtype string, qual int, svlen int"))
+    assert "Expand" not in plan(out) and "SortAggregate" not in plan(out)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([
+        ("a", 1, 2, False, False, 30, 4.0), ("a", 2, 2, True, False, 0, 1.0), ("a", 4, 2, False, False, None, None),
+        ("b", 1, 3, True, True, 9, None), (None, None, 2, False, False, 2, 2.0),
+    ], key=str)

@@ -172,13 +172,17 @@ def call_counts(df: DataFrame, lengths: Sequence[int]) -> DataFrame:
 
 
 def same_position(df: DataFrame) -> DataFrame:
-    """Records of one (chrom, pos): how many, and how they differ."""
-    return df.groupBy("chrom", "pos").agg(
-        F.count("*").alias("n"),
-        (F.count_distinct("svtype") > 1).alias("types_differ"),
-        (F.count_distinct("qual") > 1).alias("quals_differ"),
-        (F.max("svlen") - F.min("svlen")).alias("length_range"),
-        F.try_divide(F.max("svlen").cast("double"), F.min("svlen")).alias("length_ratio"),
+    """Records of one (chrom, pos): how many, and how they differ. Types are a key of the first of two aggregations, quals
+    differ where least and greatest do: distinct counts would write each row three times."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("qual", "svlen") for f in (F.min, F.max)]
+    types = df.groupBy("chrom", "pos", "svtype").agg(F.count("*").alias("n"), *ends)
+    least, most = F.min("min_svlen"), F.max("max_svlen")
+    return types.groupBy("chrom", "pos").agg(
+        F.sum("n").alias("n"),
+        (F.count("svtype") > 1).alias("types_differ"),
+        F.coalesce(F.min("min_qual") < F.max("max_qual"), F.lit(False)).alias("quals_differ"),
+        (most - least).alias("length_range"),
+        F.try_divide(most.cast("double"), least).alias("length_ratio"),
     ).where("n > 1")
 
 
