@@ -151,3 +151,28 @@ def test_same_position_without_expansion(spark):
         ("a", 1, 2, False, False, 30, 4.0), ("a", 2, 2, True, False, 0, 1.0), ("a", 4, 2, False, False, None, None),
         ("b", 1, 3, True, True, 9, None), (None, None, 2, False, False, 2, 2.0),
     ], key=str)
+
+
+def test_trios_shuffle_cells_once(spark, sf):
+    """Cells go to their samples, then to their trios; a join a role would send them again and again."""
+    for name in ("ag01_de_novo_rate", "ag02_depth_histogram", "ag03_de_novo_by_depth", "ag09_mendelian"):
+        moved = [line for line in plan(QUERIES[name](spark, sf)).splitlines() if "Exchange hashpartitioning(variant_id" in line or "REPARTITION_BY_COL" in line]
+        assert len(moved) == 2, moved
+
+
+def test_trios_of_repeated_rows(spark):
+    """A trio for each choice of a child's, father's and mother's cell and of a line of the pedigree; one person may be both parents."""
+    from varspan.operators import statistics as ST
+
+    cells = [("v", "c", "0/1", 1, 2, 7), ("v", "c", "1/1", 3, 4, 8), ("v", "f", "0/0", 5, 6, 9), ("v", "m", None, None, 8, 9), ("v", "m", "0/1", 9, 9, 9), ("v", "d", "0/1", 2, 2, None)]
+    cells += [("w", "c", "0/1", 1, 1, 1), ("w", "f", "0/1", 1, 1, 1), (None, "c", "0/1", 1, 1, 1), (None, "f", "0/1", 1, 1, 1), (None, "m", "0/1", 1, 1, 1), ("v", None, "0/1", 1, 1, 1)]
+    lines = [("c", "f", "m"), ("c", "f", "m"), ("d", "f", "f"), ("m", "f", "0"), ("d", "f", None), ("f", "x", "m"), (None, "f", "m")]
+    df = spark.createDataFrame(cells, "variant_id string, sample_id string, gt string, ad_ref int, ad_alt int, svlen int")
+    out = ST.trios(df, spark.createDataFrame(lines, "child string, father string, mother string"), keep=["svlen"])
+    expected = [
+        (c[0], *line, *c[2:5], *f[2:5], *m[2:5], c[5])
+        for line in lines if "0" not in line and None not in line
+        for c in cells for f in cells for m in cells if c[0] and c[0] == f[0] == m[0] and (c[1], f[1], m[1]) == line
+    ]
+    columns = ["variant_id", "child", "father", "mother", *(f"{p}_{x}" for p in "cfm" for x in ("gt", "ref", "alt")), "svlen"]
+    assert sorted(map(tuple, out.select(columns).collect()), key=str) == sorted(expected, key=str) and len(expected) == 9

@@ -11,19 +11,26 @@ from varspan.functions import genotypes as G
 from varspan.functions.binning import clamp, quantum_bin
 
 
-def trios(cells: DataFrame, pedigree: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
-    """(variant_id, child, gt and depths of child c_, father f_, mother m_) of every complete trio. pedigree: child, father,
-    mother; with coverage (id), all three must have some and no parent is 0. The pedigree is small; cells shuffle once a
-    role by (variant, sample)."""
+def trios(cells: DataFrame, pedigree: DataFrame, coverage: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(variant_id, child, father, mother, gt and depths of child c_, father f_, mother m_) of every complete trio, and the
+    columns `keep` of the child's cell. pedigree: child, father, mother; with coverage (id), all three must have some and no
+    parent is 0. Cells meet the pedigree by sample and shuffle once by trio, where incomplete ones leave."""
+    members, kind = ("child", "father", "mother"), cells.schema["sample_id"].dataType
     ped = pedigree.where((F.col("father").cast("string") != "0") & (F.col("mother").cast("string") != "0"))
     if coverage is not None:
-        for role in ("child", "father", "mother"):
+        for role in members:
             ped = ped.join(coverage.select(F.col("id").alias(role)).distinct(), role, "left_semi")
-    out = None
-    for role, p in (("child", "c"), ("father", "f"), ("mother", "m")):
-        own = cells.select("variant_id", F.col("sample_id").alias(role), F.col("gt").alias(f"{p}_gt"), F.col("ad_ref").alias(f"{p}_ref"), F.col("ad_alt").alias(f"{p}_alt"))
-        out = own.join(ped.select("child", "father", "mother"), "child") if out is None else out.join(own, ["variant_id", role])
-    return out
+    lines = ped.select(*[F.col(m).cast(kind).alias(m) for m in members]).groupBy(*members).agg(F.count("*").cast("int").alias("_lines"))
+    roles = lines.withColumn("_r", F.explode(F.array(*[F.struct(F.col(m).alias("sample_id"), F.lit(1 << i).alias("role")) for i, m in enumerate(members)])))
+    own = cells.where("variant_id is not null").select("variant_id", "sample_id", "gt", "ad_ref", "ad_alt", *keep)
+    met = own.join(roles.select(*members, "_lines", "_r.sample_id", F.col("_r.role").alias("_role")), "sample_id").drop("sample_id")
+    whole = met.withColumn("_all", F.bit_or("_role").over(Window.partitionBy("variant_id", *members))).where("_all = 7")
+    listed = [F.collect_list(F.when(F.col("_role") == 1 << i, F.struct("gt", "ad_ref", "ad_alt", *keep))).alias(f"_{m}") for i, m in enumerate(members)]
+    out = whole.groupBy("variant_id", *members, "_lines").agg(*listed)
+    for m in members:
+        out = out.withColumn(f"_{m}", F.explode(f"_{m}"))
+    values = [F.col(f"_{m}.{c}").alias(f"{m[0]}_{c[c.find('_') + 1:]}") for m in members for c in ("gt", "ad_ref", "ad_alt")]
+    return out.withColumn("_line", F.explode(F.array_repeat(F.lit(0), F.col("_lines")))).select("variant_id", *members, *values, *[F.col(f"_child.{c}").alias(c) for c in keep])
 
 
 def eligible() -> Column:

@@ -29,13 +29,10 @@ def _trio(t):
     from pyspark.sql import Window
 
     n = F.col("sample_id").cast("int")
-    w = Window.partitionBy("variant_id", "sample_id").orderBy("line", "gt", "ad_ref", "ad_alt", "svlen")
-    one = t.g.withColumn("r", F.row_number().over(w)).where("r = 1")
-    folded = one.withColumn("s", (F.floor(n / 60) * 3 + n % 3).cast("string"))
-    w = Window.partitionBy("variant_id", "s").orderBy(n)
+    folded = t.g.withColumn("s", (F.floor(n / 60) * 3 + n % 3).cast("string")).where("s is not null").repartition("s")  # the pedigree's key too
+    w = Window.partitionBy("variant_id", "s").orderBy(n, "line", "gt", "ad_ref", "ad_alt", "svlen")
     cells = folded.withColumn("r", F.row_number().over(w)).where("r = 1").drop("sample_id").withColumnRenamed("s", "sample_id")
-    table = ST.trios(cells, t.ped)
-    return table.join(cells.select("variant_id", F.col("sample_id").alias("child"), "svlen"), ["variant_id", "child"])
+    return ST.trios(cells, t.ped, keep=["svlen"])
 
 
 @register(
