@@ -176,3 +176,30 @@ def test_trios_of_repeated_rows(spark):
     ]
     columns = ["variant_id", "child", "father", "mother", *(f"{p}_{x}" for p in "cfm" for x in ("gt", "ref", "alt")), "svlen"]
     assert sorted(map(tuple, out.select(columns).collect()), key=str) == sorted(expected, key=str) and len(expected) == 9
+
+
+def test_type_and_length_name_steps(spark, sf):
+    """No interpreted lambdas, alleles and INFO matched a few times a row, and row code that HotSpot compiles."""
+    out = QUERIES["pr01_type_and_length"](spark, sf)
+    spark.conf.set("spark.sql.maxToStringFields", "1000")
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.maxToStringFields")
+    assert "lambda" not in text and text.count("RLIKE") <= 30
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_info_set_by_type(spark):
+    """Signs of replacement patterns, repeated keys, keys that others end in, empty values and no INFO."""
+    from varspan.functions import info as I
+
+    infos = [".", None, "", "K=1", "A=1;K=2;K=3;F", "XK=1", "A;XK=2;K=", "K", "k=1;B=$1\\", "K=1;;A=2", "A=1\nK=2"]
+    values = ["v", "$1", "a\\b$", ""]
+    df = spark.createDataFrame([(i, v) for i in infos for v in values], "info string, v string")
+    pair = df.select(I.set_info_field(F.col("info"), "K", F.col("v")).alias("x"), I.set_in_column(F.col("info"), "K", F.col("v")).alias("y")).collect()
+    assert all(r.x == r.y for r in pair) and len(pair) == 44
+    rows = [("A", "AC", "K=1;SVTYPE=$1x;SVLEN=9"), ("A", "<DEL>", "SVLEN=-5;XSVTYPE=INV"), ("AC", "A", None), (None, "A", "."), ("A", None, "SVTYPE=;A"), ("A", "<DUP>", "END=30")]
+    df = spark.createDataFrame([(20, *r) for r in rows], "pos int, ref string, alt string, info string")
+    assert [tuple(r)[3:] for r in R.add_type_and_length(df).collect()] == [
+        ("K=1;SVTYPE=$1x;SVLEN=0", "$1x", 0), ("SVLEN=5;XSVTYPE=INV;SVTYPE=DEL", "DEL", 5), ("SVTYPE=DEL;SVLEN=1", "DEL", 1),
+        ("SVTYPE=UNK", "UNK", 0), ("SVTYPE=UNK;A", "UNK", 0), ("END=30;SVTYPE=DUP;SVLEN=10", "DUP", 10),
+    ]

@@ -28,9 +28,10 @@ def symbolic_length(pos: Column, info: Column) -> Column:
     return F.coalesce(F.abs(info_field(info, "SVLEN").try_cast("int")), F.when(span > 0, span), F.lit(-1))
 
 
-def svtype(ref: Column, alt: Column) -> Column:
-    """INS, DEL, SUB by allele lengths; a symbolic ALT's first three letters; BND; UNK."""
-    kind, r, a = alt_kind(alt), F.length(ref), F.length(alt)
+def svtype(ref: Column, alt: Column, kind: Column | None = None) -> Column:
+    """INS, DEL, SUB by allele lengths; a symbolic ALT's first three letters; BND; UNK. kind: a column that has ALT's kind,
+    which else is computed at each use."""
+    kind, r, a = alt_kind(alt) if kind is None else kind, F.length(ref), F.length(alt)
     return (
         F.when(kind == SYMBOLIC, F.substring(alt, 2, 3))
         .when(kind == BREAKEND, "BND")

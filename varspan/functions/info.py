@@ -50,6 +50,16 @@ def set_info_field(info: Column, key: str, value: Column) -> Column:
     return _with_value(info, value, use)
 
 
+def set_in_column(info: Column, key: str, value: Column) -> Column:
+    """set_info_field without lambdas, which are interpreted, where info is a column of its own and value is never null:
+    both are named more than once."""
+    literal = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    replaced = F.regexp_replace(info, F.lit(f"(^|;){re.escape(key)}=[^;]*"), F.concat(F.lit(f"$1{key}="), literal))
+    new = F.concat(F.lit(f"{key}="), value)
+    there = info.contains(f"{key}=") & has_info_field(info, key)
+    return F.when(info == ".", new).when(there, replaced).otherwise(F.concat_ws(";", info, new))
+
+
 def info_map(info: Column) -> Column:
     """Keys to values (flags: null); of a repeated key the first value counts."""
     pairs = F.filter(F.split(info, ";"), lambda kv: (kv != ".") & (kv != ""))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from varspan.functions import alleles as A
 from varspan.functions import genotypes as G
 from varspan.functions import sequence as S
-from varspan.functions.info import delete_info_field, has_info_field, info_field, replace_info_field, set_info_field
+from varspan.functions.info import delete_info_field, has_info_field, info_field, replace_info_field, set_in_column, set_info_field
+from varspan.shared import compiled
 
 SIZED = ("DEL", "INV", "DUP", "CNV")
 
@@ -17,22 +18,24 @@ def add_type_and_length(df: DataFrame) -> DataFrame:
     """svtype, svlen, and both in info. A type that info has stays, cut to three letters; else it is inferred from the alleles.
     The length of sequences comes from the alleles, of symbolic records from SVLEN or END; unknown ones and breakends have 0.
     SVLEN is written where it is positive or was there."""
-    own = F.substring(info_field(F.col("info"), "SVTYPE"), 1, 3)
-    kind = F.coalesce(F.when(own != "", own), A.svtype(F.col("ref"), F.col("alt")))
-    shape = A.alt_kind(F.col("alt"))
-    symbolic = F.greatest(A.symbolic_length(F.col("pos"), F.col("info")), F.lit(0))
-    both = (shape == A.DNA) & (A.alt_kind(F.col("ref")) == A.DNA)
+    compiled(df.sparkSession)
+    info, shape = F.col("info"), F.col("_alt")
+    own = F.when(info.contains("SVTYPE="), F.substring(info_field(info, "SVTYPE"), 1, 3))
+    known = df.withColumns({"_own": own, "_alt": A.alt_kind(F.col("alt")), "_ref": A.alt_kind(F.col("ref"))})
+    kind = F.coalesce(F.when(F.col("_own") != "", F.col("_own")), A.svtype(F.col("ref"), F.col("alt"), shape))
+    both = (shape == A.DNA) & (F.col("_ref") == A.DNA)
     size = (
         F.when(F.upper("svtype") == "BND", 0)
         .when(both & (F.upper("svtype") == "INS"), F.length("alt") - 1)
         .when(both, F.length("ref") - 1)
-        .when(shape == A.SYMBOLIC, symbolic)
+        .when(shape == A.SYMBOLIC, F.greatest(A.symbolic_length(F.col("pos"), info), F.lit(0)))
         .otherwise(0)
     )
-    out = df.withColumn("svtype", kind).withColumn("svlen", size)
-    typed = set_info_field(F.col("info"), "SVTYPE", F.col("svtype"))
-    write = (F.col("svlen") > 0) | has_info_field(F.col("info"), "SVLEN")
-    return out.withColumn("info", F.when(write, set_info_field(typed, "SVLEN", F.col("svlen").cast("string"))).otherwise(typed))
+    # each step is a column, so that what the next one names again is not computed again
+    typed = known.withColumn("svtype", kind).withColumn("svlen", size).withColumn("_typed", set_in_column(info, "SVTYPE", F.col("svtype")))
+    write = (F.col("svlen") > 0) | info.contains("SVLEN=") & has_info_field(info, "SVLEN")
+    both_set = F.when(write, set_in_column(F.col("_typed"), "SVLEN", F.col("svlen").cast("string"))).otherwise(F.col("_typed"))
+    return typed.withColumn("info", both_set).drop("_own", "_alt", "_ref", "_typed")
 
 
 def length_into_alt(df: DataFrame, with_insertions: bool = False) -> DataFrame:

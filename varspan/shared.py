@@ -39,6 +39,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def compiled(spark: SparkSession) -> None:
+    """Row code over 8000 bytes, which HotSpot never compiles, is generated as smaller methods, where the session has Spark's default."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Tables written inside go to a folder that is deleted at the end; nothing that reads them may be used afterwards."""
