@@ -111,3 +111,26 @@ def test_left_align_query(spark, sf):
     expected = sorted((r.id, r.chrom, *plain_align(seqs[r.chrom], r.pos, r.ref, r.alt)) for r in records._indels(t).collect())
     got = sorted(map(tuple, QUERIES["pr32_left_align"](spark, sf).collect()))
     assert got == expected and len({g[2] for g in got}) > 50
+
+
+def test_steady_records_are_those_that_stay(spark):
+    """Whatever the bases to the left are: what counts as steady stays, and so no lookup is missed."""
+    rnd = random.Random(4)
+    rows = [("".join(rnd.choices("ACa", k=rnd.randrange(1, 5))), "".join(rnd.choices("ACa", k=rnd.randrange(1, 5)))) for _ in range(600)]
+    got = spark.createDataFrame(rows, "ref string, alt string").withColumn("steady", RF._steady(F.col("ref"), F.col("alt"))).collect()
+    for r in got:
+        ends = [RF.moved_left(9, r.ref.upper(), r.alt.upper(), left) for left in ("GGGGGGGG", "AAAAAAAA", "ACACACAC", "CACACACA")]
+        assert r.steady == all(e == (9, r.ref, r.alt, True) for e in ends), r
+
+
+def test_left_align_sends_no_sequences_where_a_block_will_do(spark, genome, monkeypatch):
+    """Steady records ask for nothing, others look into their block; only what moves out of it fetches spans."""
+    asked, inner = [], RF.sequences_of
+    monkeypatch.setattr(RF, "sequences_of", lambda spans, *a: (asked.append(spans.count()), inner(spans, *a))[1])
+    blocks, _ = tables(spark, genome, 4096)
+    rows = [("c1", 98, "m1", "ACA", "A", "s"), ("c1", 99, "m2", "CAC", "C", "s"), ("c2", 20, "m3", "A", "AA", "s"), ("c2", 305, "s1", "T", "TC", "s")]
+    got = {r.id: (r.pos, r.ref, r.alt) for r in RF.left_align(spark.createDataFrame(rows, CALL), blocks, 4096).collect()}
+    assert got == {i: plain_align(genome[c], p, r, a) for c, p, i, r, a, _ in rows} and asked == []
+    blocks, _ = tables(spark, genome, 8)
+    again = RF.left_align(spark.createDataFrame(rows, CALL), blocks, 8, 4)
+    assert {r.id: (r.pos, r.ref, r.alt) for r in again.collect()} == got and asked and max(asked) < len(rows)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructType
 
 from varspan.operators.rewrite import sequences_of
-from varspan.shared import written
+from varspan.shared import compiled, written
 
 #: Bases to the left of a record that the first round of left alignment fetches; each round fetches four times as many.
 WINDOW = 256
@@ -88,33 +88,58 @@ def _moved(pos: pa.Array, ref: pa.Array, alt: pa.Array, left: pa.Array) -> pa.Ar
     return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["pos", "ref", "alt", "done"])
 
 
+def _steady(ref: Column, alt: Column) -> Column:
+    """Whether alignment leaves a record of upper-case alleles as it is, wherever it lies: their last bases differ, so it can't
+    move, and so do the first ones, or one allele is one base, so nothing can be trimmed."""
+    short = F.least(F.length(ref), F.length(alt)) == 1
+    apart = F.substring(ref, -1, 1) != F.substring(alt, -1, 1)
+    return (ref == F.upper(ref)) & (alt == F.upper(alt)) & ((ref == alt) & short | apart & (short | (F.substring(ref, 1, 1) != F.substring(alt, 1, 1))))
+
+
+def _from_blocks(moving: DataFrame, blocks: DataFrame, block_size: int, window: int) -> DataFrame:
+    """moving with _left, the bases to the left of each record as far as window and the block of the base before it reach (null
+    off the contig): records meet their blocks in one join, and no sequence travels."""
+    at = F.col("pos") - 2
+    asked = moving.withColumn("_block", F.floor(at / block_size).cast("int"))
+    # bytes: a place in them is found without a walk through the block's letters
+    sequences = blocks.select("chrom", F.col("block").alias("_block"), F.col("seq").cast("binary").alias("_seq"))
+    # size estimates don't see the blocks' sequences: a broadcast by these would bring the whole reference to the driver
+    met = asked.hint("merge").join(sequences.hint("merge"), ["chrom", "_block"], "left")
+    reach = at - F.col("_block") * block_size + 1
+    n = F.least(reach, F.lit(window))
+    left = F.when(F.length("_seq") >= reach, F.upper(F.substring(F.col("_seq"), (reach - n + 1).cast("int"), n.cast("int")).cast("string")))
+    return met.withColumn("_left", left).drop("_block", "_seq")
+
+
+def _from_spans(moving: DataFrame, blocks: DataFrame, block_size: int, window: int) -> DataFrame:
+    """moving with _left, window bases to the left of each record, over as many blocks as they take."""
+    asked = moving.withColumns({"_from": F.greatest(F.col("pos") - window, F.lit(1)), "_to": F.col("pos") - 1})
+    found = sequences_of(asked.select("chrom", F.col("_from").alias("first"), F.col("_to").alias("last")), blocks, block_size)
+    found = found.select("chrom", F.col("first").alias("_from"), F.col("last").alias("_to"), F.upper("seq").alias("_left"))
+    return asked.join(found, ["chrom", "_from", "_to"], "left").drop("_from", "_to")
+
+
 def left_align(df: DataFrame, blocks: DataFrame, block_size: int, window: int = WINDOW) -> DataFrame:
     """df with the alleles of sequence records trimmed and moved to their leftmost place; others (symbolic, breakends, several
     ALTs, off the contig) stay as they are. Records must agree with the reference (check_reference).
 
-    Rounds: each fetches bases to the left of the records that still move, four times as many as the one before, and a
-    record leaves when it stops. Rounds are tables; their number grows with the logarithm of the longest repeat."""
+    Records that alignment can't change ask for nothing. The others go to their block once; those that move out of it (or by
+    more than window) fetch bases in rounds, four times as many as the one before, and a record leaves when it stops. Rounds
+    are tables; their number grows with the logarithm of the longest repeat."""
+    compiled(df.sparkSession)
     plain = F.col("ref").rlike(BASES) & F.col("alt").rlike(BASES) & (F.col("pos") >= 1)
-    rest = df.where(~F.coalesce(plain, F.lit(False)))
-    moving = df.where(F.coalesce(plain, F.lit(False))).withColumns({"_was": F.struct("pos", "ref", "alt"), "ref": F.upper("ref"), "alt": F.upper("alt")})
-    finished = []
+    marked = written(df.withColumn("_moves", F.coalesce(plain & ~_steady(F.col("ref"), F.col("alt")), F.lit(False))), "left-align")
+    out = marked.where("not _moves").select(*df.columns)
+    moving, lookup = marked.where("_moves").drop("_moves").withColumn("_was", F.struct("pos", "ref", "alt")), _from_blocks
     while True:
-        first = F.greatest(F.col("pos") - window, F.lit(1))
-        asked = moving.withColumns({"_from": first, "_to": F.col("pos") - 1})
-        found = sequences_of(asked.select("chrom", F.col("_from").alias("first"), F.col("_to").alias("last")), blocks, block_size)
-        found = found.select("chrom", F.col("first").alias("_from"), F.col("last").alias("_to"), F.upper("seq").alias("_left"))
-        seen = asked.join(found, ["chrom", "_from", "_to"], "left")
+        seen = lookup(moving, blocks, block_size, window)
         known = F.col("_left").isNotNull() | (F.col("pos") == 1)
-        new = F.when(known, _moved(F.col("pos").cast("int"), "ref", "alt", F.coalesce("_left", F.lit(""))))
-        step = written(seen.withColumn("_new", new).drop("_from", "_to", "_left"), "left-align")
+        new = F.when(known, _moved(F.col("pos").cast("int"), F.upper("ref"), F.upper("alt"), F.coalesce("_left", F.lit(""))))
+        step = written(seen.withColumn("_new", new).drop("_left"), "left-align")
         still = F.coalesce(~F.col("_new.done"), F.lit(False))
         place = {c: F.coalesce(F.col(f"_new.{c}"), F.col(f"_was.{c}")) for c in ("pos", "ref", "alt")}
-        finished.append(step.where(~still).withColumns(place).select(*df.columns))
-        moving = step.where(still).withColumns(place).drop("_new")
+        out = out.unionByName(step.where(~still).withColumns(place).select(*df.columns))
+        moving = written(step.where(still).withColumns(place).drop("_new"), "left-align")
         if moving.isEmpty():
-            break
-        window *= 4
-    out = rest
-    for part in finished:
-        out = out.unionByName(part)
-    return out
+            return out
+        window, lookup = window * 4, _from_spans
