@@ -141,3 +141,31 @@ def test_collapse_with_sequences(spark):
     df = spark.createDataFrame(rows, "id string, chrom string, pos int, svtype string, svlen int, qual int, ref string, alt string")
     got = {r.id: r.keeper for r in collapse(df, similar_pairs(df, 10, 0.9, 0.9), written).collect()}
     assert got == {"a": "a", "b": "a", "d": "d"}
+
+
+def executed(df):
+    """The final plan of a query that has run."""
+    return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan")[0]
+
+
+def test_similar_sequences_shuffles_rows_once(spark, sf):
+    """One exchange for both sides of the join, and pairs are made once for easy and hard sequences."""
+    from varspan.plans.catalog import QUERIES
+
+    out = QUERIES["wn18_similar_sequences"](spark, sf)
+    assert len(out.collect()) > 0
+    text = executed(out)
+    assert text.count("SortMergeJoin") == 1 and "Union" not in text
+    assert text.count("ReusedExchange") == 1 and text.count("Exchange hashpartitioning") == 2  # one of them is the reused one's name
+
+
+@pytest.mark.parametrize("distance", [0, 1, 30, 5000])
+def test_close_pairs(spark, distance):
+    """Against all pairs: bin borders, positions below zero, repeated rows and nulls."""
+    rnd = random.Random(distance)
+    rows = [(rnd.choice(["c", "d"]), rnd.choice([rnd.randrange(-40, 60), 1024 * rnd.randrange(-2, 9) + rnd.randrange(-3, 3)]), rnd.choice("xy"), i) for i in range(150)]
+    rows += rows[:3] + [(None, 5, "x", 900), ("c", None, "x", 901), ("c", 5, None, 902)]
+    df = spark.createDataFrame(rows, "chrom string, start int, kind string, n int")
+    got = sorted((r.a_n, r.b_n) for r in proximity.close_pairs(df, distance, ("kind",)).collect())
+    kept = [r for r in rows if None not in r]
+    assert got == sorted((x[3], y[3]) for x in kept for y in kept if x[0] == y[0] and x[2] == y[2] and abs(x[1] - y[1]) <= distance)

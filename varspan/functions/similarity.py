@@ -93,7 +93,8 @@ def edits_allowed(a: Column, b: Column, similarity: float) -> Column:
 
 def may_be_similar(a: Column, b: Column, similarity: float) -> Column:
     """Whether lengths and letter counts leave room for the similarity."""
-    more = [F.length(F.regexp_replace(a, f"[^{x}]", "")) - F.length(F.regexp_replace(b, f"[^{x}]", "")) for x in "ACGT"]
+    counts = [[F.length(s) - F.length(F.replace(s, F.lit(x))) for s in (a, b)] for x in "ACGT"]
+    more = [x - y for x, y in counts]
     gains, losses = (sum((F.greatest(sign * d, F.lit(0)) for d in more), F.lit(0)) for sign in (1, -1))
     return (F.abs(F.length(a) - F.length(b)) <= edits_allowed(a, b, similarity)) & (F.greatest(gains, losses) <= edits_allowed(a, b, similarity))
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from varspan.functions.alleles import length_similarity
 from varspan.functions.similarity import own_sequence
-from varspan.operators.intervals import overlap_join
-from varspan.operators.proximity import points, with_similar_sequences
+from varspan.operators.proximity import close_pairs, points, with_similar_sequences
 
 
 def similar_pairs(df: DataFrame, distance: int, size: float, sequence: float | None = None) -> DataFrame:
@@ -19,9 +18,9 @@ def similar_pairs(df: DataFrame, distance: int, size: float, sequence: float | N
     if sequence:
         df = df.withColumn("seq", own_sequence(F.col("ref"), F.col("alt")))
     at = points(df, "chrom", "pos", keep + ["seq"] * bool(sequence))
-    pairs = overlap_join(at, at, slack=distance, also=("svtype",), longest=(1, 1))
+    pairs = close_pairs(at, distance, also=("svtype",))
     better = F.struct(-F.col("a_qual"), "a_pos", "a_id") < F.struct(-F.col("b_qual"), "b_pos", "b_id")
-    pairs = pairs.where(better & (length_similarity(F.col("a_svlen"), F.col("b_svlen")) >= size))
+    pairs = pairs.where((length_similarity(F.col("a_svlen"), F.col("b_svlen")) >= size) & better)
     if sequence:
         pairs = with_similar_sequences(pairs, sequence)
     return pairs.select(F.col("a_id").alias("better"), F.col("b_id").alias("worse"))

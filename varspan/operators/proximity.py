@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varspan.functions.alleles import length_similarity
 from varspan.functions.info import set_info_field
-from varspan.functions.similarity import may_be_similar, own_sequence, similar
+from varspan.functions.similarity import edit_distance_within, edits_allowed, may_be_similar, own_sequence
 from varspan.operators.intervals import overlap_join
 from varspan.operators.rewrite import chromosome_number
 
@@ -22,6 +22,19 @@ def near(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
     return overlap_join(a, b, slack=distance, longest=(1, 1))
 
 
+def close_pairs(df: DataFrame, distance: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (columns a_* and b_*) of points of one table, at most distance apart and alike in the columns `also`; in both orders, and
+    each with itself. As near(df, df, distance), but rows are shuffled once: both sides of the join ask for the same exchange."""
+    width = 1 << (8 * distance).bit_length()
+    own, last = F.floor(F.col("start") / width), F.floor((F.col("start") + distance) / width)
+    keyed = df.where("chrom is not null and start is not null").withColumn("_own", own).withColumn("_bin", F.explode(F.sequence(own, last)))
+    a, b = (keyed.select(*[F.col(c).alias(f"{side}_{c}") for c in keyed.columns]).hint("merge") for side in "ab")
+    pairs = a.join(b, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in (*also, "chrom", "_bin")])
+    # a pair meets in the bin of the later one, and perhaps in the next: it counts where one of both is at home
+    close = (F.abs(F.col("a_start") - F.col("b_start")) <= distance) & (F.col("a__bin") == F.greatest("a__own", "b__own"))
+    return pairs.where(close).select(*[f"{side}_{c}" for side in "ab" for c in df.columns])
+
+
 def ends_near(bnd: DataFrame, breakpoints: DataFrame, distance: int, both: bool, key: str = "id") -> DataFrame:
     """Breakends (key, chrom, pos, other_chrom, other_pos) of which one end, or both, lies near a breakpoint."""
     ends = points(bnd, "chrom", "pos", [key]).withColumn("side", F.lit(1)).unionByName(
@@ -112,12 +125,13 @@ def truth_candidates(
 
 
 def with_similar_sequences(pairs: DataFrame, sequence: float) -> DataFrame:
-    """The pairs (a_seq, b_seq) whose sequences are similar, and those that lack one."""
+    """The pairs (a_seq, b_seq) whose sequences are similar, and those that lack one. Pairs are computed once, and only what lengths
+    and letters leave open goes to Python with its sequences."""
     a, b = F.col("a_seq"), F.col("b_seq")
-    both = a.isNotNull() & b.isNotNull()
-    easy = pairs.where(~both | (a == b))
-    hard = pairs.where(both & (a != b) & may_be_similar(a, b, sequence))
-    return easy.unionByName(hard.where(similar(a, b, sequence)))
+    easy, limit = F.coalesce(a == b, F.lit(True)), edits_allowed(a, b, sequence)
+    hard = ~easy & may_be_similar(a, b, sequence)
+    edits = edit_distance_within(F.when(hard, a), F.when(hard, b), limit)
+    return pairs.withColumn("_edits", edits).where(easy | (F.col("_edits") <= limit)).drop("_edits")
 
 
 def match_multi(base: DataFrame, comp: DataFrame, candidates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
