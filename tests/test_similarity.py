@@ -169,3 +169,43 @@ def test_close_pairs(spark, distance):
     got = sorted((r.a_n, r.b_n) for r in proximity.close_pairs(df, distance, ("kind",)).collect())
     kept = [r for r in rows if None not in r]
     assert got == sorted((x[3], y[3]) for x in kept for y in kept if x[0] == y[0] and x[2] == y[2] and abs(x[1] - y[1]) <= distance)
+
+
+def test_collapse_rounds_hold_pairs_alone(spark):
+    """Records in no pair are in no table of the rounds; ranks come from the pairs or from the records; repeated rows stay."""
+    rows = [(f"n{i:03}", "c", 10000 * i, "INS", 50, i % 9) for i in range(300)]
+    rows += [("a", "d", 10, "DEL", 50, 1), ("b", "d", 15, "DEL", 50, 5), ("e", "d", 20, "DEL", 50, 3), ("f", "d", 25, "DEL", 50, 5), ("g", "d", 32, "DEL", 50, 2), rows[0]]
+    df = spark.createDataFrame(rows, "id string, chrom string, pos int, svtype string, svlen int, qual int")
+    expected = sorted([(r[0], r[0]) for r in rows if r[0][0] == "n"] + [("a", "b"), ("b", "b"), ("e", "b"), ("f", "f"), ("g", "f")])
+    for ranked in (True, False):
+        sizes = []
+
+        def counted(x):
+            out = written(x)
+            sizes.append(out.count())
+            return out
+
+        got = sorted(map(tuple, collapse(df, similar_pairs(df, 8, 0.9, ranked=ranked), counted).collect()))
+        assert got == expected and max(sizes) <= 4, sizes
+    none = collapse(df, similar_pairs(df, 8, 2.0, ranked=True), written)
+    assert sorted(map(tuple, none.collect())) == sorted((r[0], r[0]) for r in rows)
+
+
+@pytest.mark.parametrize("pairs, message", [([("a", "b"), ("b", "c"), ("c", "a")], "circle"), ([("a", None)], "identifier"), ([(None, "a")], "identifier")])
+def test_collapse_raises(spark, pairs, message):
+    df = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 1), (None, 1, 1)], "id string, pos int, qual int")
+    with pytest.raises(ValueError, match=message):
+        collapse(df, spark.createDataFrame([(*p, (1, 1, "x")) for p in pairs], "better string, worse string, rank struct<qual: int, pos: int, id: string>"), written)
+
+
+def test_collapse_is_the_sequential_rule_where_chains_are_long(spark):
+    """Dense records, many rounds, ties in quality."""
+    rnd = random.Random(8)
+    rows = [(f"r{i:03}", "c", rnd.randrange(0, 900), "INS", rnd.choice([50, 52, 90]), rnd.randrange(4)) for i in range(250)]
+    df = spark.createDataFrame(rows, "id string, chrom string, pos int, svtype string, svlen int, qual int")
+    kept, keeper = [], {}
+    for r in sorted(rows, key=lambda r: (-r[5], r[2], r[0])):
+        best = next((k for k in kept if abs(k[2] - r[2]) <= 6 and min(k[4], r[4]) >= 0.9 * max(k[4], r[4])), None)
+        keeper[r[0]] = best[0] if best else r[0]
+        kept += [] if best else [r]
+    assert {r.id: r.keeper for r in collapse(df, similar_pairs(df, 6, 0.9, ranked=True), written).collect()} == keeper

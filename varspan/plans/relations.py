@@ -540,7 +540,7 @@ def _(t):
 
 @register("wn18_collapse", "v")
 def _(t):
-    return collapse(t.v, similar_pairs(t.v, 100, 0.9), written)
+    return collapse(t.v, similar_pairs(t.v, 100, 0.9, ranked=True), written)
 
 
 @register(
