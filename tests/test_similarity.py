@@ -177,7 +177,7 @@ def test_collapse_rounds_hold_pairs_alone(spark):
     rows += [("a", "d", 10, "DEL", 50, 1), ("b", "d", 15, "DEL", 50, 5), ("e", "d", 20, "DEL", 50, 3), ("f", "d", 25, "DEL", 50, 5), ("g", "d", 32, "DEL", 50, 2), rows[0]]
     df = spark.createDataFrame(rows, "id string, chrom string, pos int, svtype string, svlen int, qual int")
     expected = sorted([(r[0], r[0]) for r in rows if r[0][0] == "n"] + [("a", "b"), ("b", "b"), ("e", "b"), ("f", "f"), ("g", "f")])
-    for ranked in (True, False):
+    for options in ({}, {"ranked": True}):
         sizes = []
 
         def counted(x):
@@ -185,7 +185,7 @@ def test_collapse_rounds_hold_pairs_alone(spark):
             sizes.append(out.count())
             return out
 
-        got = sorted(map(tuple, collapse(df, similar_pairs(df, 8, 0.9, ranked=ranked), counted).collect()))
+        got = sorted(map(tuple, collapse(df, similar_pairs(df, 8, 0.9, **options), counted).collect()))
         assert got == expected and max(sizes) <= 4, sizes
     none = collapse(df, similar_pairs(df, 8, 2.0, ranked=True), written)
     assert sorted(map(tuple, none.collect())) == sorted((r[0], r[0]) for r in rows)
